@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starflow.llm import langid, linededup, simhash
+from starflow.llm import langid, linededup, packing, simhash
 from starflow.llm.common import table
 
 
@@ -28,10 +28,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens, every window in the corpus's source proportions."""
+    out = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "source")
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_language_id": op5_language_id,
     "op8_line_dedup": op8_line_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLES = {
