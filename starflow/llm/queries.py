@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starflow.llm import langid, linededup, packing, simhash
+from starflow.llm import langid, linededup, mixing, packing, simhash
 from starflow.llm.common import table
 
 
+#: The tempering of the registered mix: target shares are the present shares to these powers.
+MIX = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+MIX_KEEP = 0.5
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sampling probability after raking to tempered source, language and topic shares."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    blank = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("source", "lang")]
+    out = mixing.mix(docs, MIX, MIX_KEEP)
+    return out.select("doc_id", *blank, F.col("mix_topic").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -35,6 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op5_language_id": op5_language_id,
     "op8_line_dedup": op8_line_dedup,
@@ -42,6 +56,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_mixing": mixing.mix_sql(MIX, MIX_KEEP),
     "op8_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
