@@ -18,12 +18,15 @@ cuts the ids. No ids are shuffled.
 
 from __future__ import annotations
 
+import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +34,10 @@ from pyspark.sql import types as T
 
 from starflow.llm.common import ASCII_LOWER, grown, stored, without
 
-WORDS_KEPT = 400_000  # words whose ids a worker keeps
+WORDS_KEPT = 300_000  # words whose ids a worker keeps before it starts anew
+PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([,.]?)")  # composed letters with one lower case, and a stop of its own
+MARK = "\x7f"
+END = MARK.encode()
 TEXTS_AT_ONCE = 256
 WEIGHTS = 1 << 16  # resolution of the sources' shares
 
@@ -40,36 +46,72 @@ class WordTokenizer:
     """Ids of whole texts by a public tokenizer that drops white space and joins nothing across it.
 
     Such a tokenizer gives a text the ids of its space-separated words one after the other, and a word in lower case
-    those of the word, so that each distinct word is encoded once. A comma or full stop after a letter is a token of
-    its own there, and the word before it is looked up without it.
+    those of the word, so that each distinct word is encoded once. Words of plain Latin letters, with a comma or full
+    stop after them (a token of its own), are encoded together by the tokenizer's own merges, with a byte that no such
+    word holds as the mark of a word's end; all others go through the tokenizer itself.
     """
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        path = path or public_tokenizers.path("word_bpe_49k.json")
+        self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self._merges(path)
+
+    def _merges(self, path: str) -> None:
+        """The tokenizer's merges over plain bytes; a word's last byte joins the mark of its end first of all."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model["end_of_word_suffix"]
+        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(letters)]
+        spelled = {chr(b): b for b in letters} | {chr(256 + k): b for k, b in enumerate(others)}  # how such files write bytes
+        plain = lambda t: bytes(map(spelled.__getitem__, t.removesuffix(suffix))) + END * t.endswith(suffix)
+        ranks = {bytes([b]): b for b in range(256)}
+        ids = [-1] * 256
+        for t in [spell + suffix for spell in spelled] + [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]:
+            if plain(t) not in ranks:
+                ranks[plain(t)] = len(ids)
+                ids.append(model["vocab"][t])
+        for spell, b in spelled.items():
+            ids[b] = model["vocab"].get(spell, -1)
+        self.ids = np.array(ids, np.int64)
+        self.ends = np.zeros(len(ids), bool)
+        self.ends[[r for t, r in ranks.items() if t.endswith(END)]] = True
+        self.stops = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("", ",", ".")}
+        self.letters = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
 
     def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        for word, e in zip(words, encoded, strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+        fast, cores, stops, slow, texts = [], [], [], [], []
+        for word, text in zip(words, b"\n".join(words).decode("utf-8", "surrogatepass").split("\n"), strict=True):
+            if match := PLAIN.fullmatch(text):
+                fast.append(word)
+                cores.append(match[1])
+                stops.append(match[2])
+            else:
+                slow.append(word)
+                texts.append(text)
+        if fast:
+            ranks = self.letters.encode_to_numpy((MARK + " ").join(cores).lower() + MARK)
+            ids, ends = self.ids[ranks].astype("<u4").tobytes(), ((np.flatnonzero(self.ends[ranks]) + 1) * 4).tolist()
+            found = [ids[lo:hi] + self.stops[stop] for lo, hi, stop in zip([0, *ends], ends, stops, strict=False)]
+            self.known.update(zip(fast, found, strict=True))
+        if slow:
+            for word, e in zip(slow, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers; none for null."""
         out = []
         for lo in range(0, len(texts), TEXTS_AT_ONCE):
             split = [(t or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() for t in texts[lo : lo + TEXTS_AT_ONCE]]
-            new = {w for words in split for w in words if w not in self.known}
-            if len(self.known) + len(new) > WORDS_KEPT:
+            used = set().union(*split)
+            if len(self.known) > WORDS_KEPT:
                 self.known = {}
-                new = {w for words in split for w in words}
-            ended = [w for w in new if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122]
-            plain = (new - set(ended)) | {w[:-1] for w in ended} | {w[-1:] for w in ended}
-            self._learn([w for w in plain if w not in self.known])
-            for w in ended:
-                self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+            if new := list(used.difference(self.known)):
+                self._learn(new)
             out += [b"".join(map(self.known.__getitem__, words)) for words in split]
         return out
 
@@ -209,7 +251,7 @@ def pack(
         number = {s: i for i, s in enumerate(names)}
         schedule = Schedule(totals, weights, window)
         spots: dict[tuple[int, int], int] = {}
-        for batch in batches:
+        for batch in (b.slice(lo, TEXTS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, TEXTS_AT_ONCE)):
             rows, pieces = [], []
             columns = [batch.column(width + k).to_pylist() for k in range(4)]
             for r, (ids, n, name, first) in enumerate(zip(*columns, strict=True)):
