@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starflow.llm import langid, linededup, mixing, packing, simhash, substrings
+from starflow.llm import langid, linededup, mixing, packing, simhash, substrings, topk, vectordedup
 from starflow.llm.common import table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 #: The tempering of the registered mix: target shares are the present shares to these powers.
 MIX = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 MIX_KEEP = 0.5
@@ -35,6 +41,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate components of all vectors at cosine 0.9."""
+    out = vectordedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of 13-word windows that a smaller document holds too."""
     out = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -54,16 +66,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op5_language_id": op5_language_id,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op10_packing": op10_packing,
 }
 
 ORACLES = {
+    "op1_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5""",
     "op2_mixing": mixing.mix_sql(MIX, MIX_KEEP),
+    "op6_vector_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counted USING (vec_id)""",
     "op7_substring_dedup": r"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
