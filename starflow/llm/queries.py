@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starflow.llm import langid, linededup, mixing, packing, simhash, substrings, topk, vectordedup
+from starflow.llm import langid, linededup, mixing, packing, pii, simhash, substrings, tokencounts, topk, vectordedup
 from starflow.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, each document encoded as a whole."""
+    return tokencounts.section_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -59,6 +64,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens, every window in the corpus's source proportions."""
     out = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -69,10 +79,12 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_packing": op10_packing,
 }
 
