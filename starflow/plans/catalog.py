@@ -2,6 +2,63 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starflow.functions import features
+from starflow.operators import prepare
+from starflow.operators.extract import extract
+from starflow.sources.tables import light_curves, light_curves_sql
+
 FLAGSHIP = "lc_features_basic"
-QUERIES: dict = {}
-ORACLES: dict = {}
+BASIC = ["meanMag", "variance", "root_mean_squared", "abs_energy", "stetsonK", "above1"]
+
+
+def settled(df: DataFrame, *keys: str) -> DataFrame:
+    """Doubles at seven significant digits, 0 for what is below 1e-9, so that engines which add in other orders agree."""
+    digits = lambda c: F.when(F.abs(c) < 1e-9, 0.0).otherwise(F.format_string("%.6e", F.col(c)).cast("double"))
+    return df.select(*[F.when(F.col(c).isNotNull(), digits(c)).alias(c) if t == "double" and c not in keys else F.col(c) for c, t in df.dtypes])
+
+
+def settled_sql(columns: list[str], source: str, keys: list[str], suffix: str = "") -> str:
+    """The clamp and the digits of ``settled`` in DuckDB."""
+
+    def one(c: str) -> str:
+        v = f"CASE WHEN {c} IS NULL OR NOT isfinite({c}) THEN NULL WHEN {c} > 1e10 THEN 1e10 WHEN {c} < -1e10 THEN -1e10 WHEN {c} > 0 AND {c} < 1e-10 THEN 1e-10 ELSE {c} END"
+        return f"CASE WHEN abs({c}) < 1e-9 THEN 0e0 ELSE cast(format('{{:.6e}}', {v}) AS DOUBLE) END AS {c}{suffix}"
+
+    return f"SELECT {', '.join([*keys, *map(one, columns)])} FROM ({source})"
+
+
+def _features(spark: SparkSession, sf_dir: str, *, view: str, wanted: list[str], weighted: bool, space: str) -> DataFrame:
+    names = [w + ("_deriv" if space == "deriv" else "") for w in wanted]
+    return settled(extract(light_curves(spark, sf_dir, view), names, weighted, view == "mag"))
+
+
+def _features_sql(view: str, wanted: list[str], weighted: bool, space: str) -> str:
+    suffix = "_deriv" if space == "deriv" else ""
+    parts = []
+    for raw in (False, True):
+        own = [w for w in wanted if (w in features.RAW) == raw]
+        if own:
+            name, before = prepare.space_sql("lc", space, raw, view == "mag", 24.0)
+            before = f"lc AS ({light_curves_sql(view)}), {before}"
+            parts.append((own, f"({features.query(own, weighted, features.DUCKDB, name, before)})"))
+    inner = f"SELECT * FROM (SELECT DISTINCT lc_id FROM ({light_curves_sql(view)})) " + " ".join(f"LEFT JOIN {sql} AS p{k} USING (lc_id)" for k, (_, sql) in enumerate(parts))
+    return settled_sql([w for own, _ in parts for w in own], inner, ["lc_id"], suffix)
+
+
+def _groups(weighted: bool) -> list[str]:
+    return [n for n in features.names(weighted) if n not in features.GROUPED or not weighted]
+
+
+QUERIES: dict = {FLAGSHIP: partial(_features, view="flux", wanted=BASIC, weighted=True, space="flux")}
+ORACLES: dict = {FLAGSHIP: _features_sql("flux", BASIC, True, "flux")}
+for _view in ("flux", "mag", "orders"):
+    for _weighted in (True, False):
+        for _space in ("flux", "deriv"):
+            _name = f"lc_features_{_view}_{'weighted' if _weighted else 'plain'}" + ("_deriv" if _space == "deriv" else "")
+            QUERIES[_name] = partial(_features, view=_view, wanted=_groups(_weighted), weighted=_weighted, space=_space)
+            ORACLES[_name] = _features_sql(_view, _groups(_weighted), _weighted, _space)
