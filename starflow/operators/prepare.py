@@ -32,10 +32,10 @@ flux AS (SELECT lc_id, seq, time, r, re, r / nullif(peak, 0) AS x, re * ((r / nu
 
 def _gradient(f: str) -> str:
     """Second-order difference of unevenly spaced values, first-order at the ends, in the window t."""
-    before, after = f"({f} - lag({f}) OVER t)", f"(lead({f}) OVER t - {f})"
-    hs, hd = "(time - lag(time) OVER t)", "(lead(time) OVER t - time)"
+    before, after = f"({f} - (lag({f}) OVER t))", f"((lead({f}) OVER t) - {f})"
+    hs, hd = "(time - (lag(time) OVER t))", "((lead(time) OVER t) - time)"
     inner = f"({hs} * {hs} * {after} + {hd} * {hd} * {before}) / nullif({hs} * {hd} * ({hs} + {hd}), 0)"
-    return f"CASE WHEN lag(time) OVER t IS NULL THEN {after} / nullif({hd}, 0) WHEN lead(time) OVER t IS NULL THEN {before} / nullif({hs}, 0) ELSE {inner} END"
+    return f"CASE WHEN (lag(time) OVER t) IS NULL THEN {after} / nullif({hd}, 0) WHEN (lead(time) OVER t) IS NULL THEN {before} / nullif({hs}, 0) ELSE {inner} END"
 
 
 def derivative_sql() -> str:

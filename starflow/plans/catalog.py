@@ -12,13 +12,16 @@ from starflow.operators import prepare
 from starflow.operators.extract import extract
 from starflow.sources.tables import light_curves, light_curves_sql
 
+OFF_TIES = 1 + 3e-10
 FLAGSHIP = "lc_features_basic"
 BASIC = ["meanMag", "variance", "root_mean_squared", "abs_energy", "stetsonK", "above1"]
 
 
 def settled(df: DataFrame, *keys: str) -> DataFrame:
-    """Doubles at seven significant digits, 0 for what is below 1e-9, so that engines which add in other orders agree."""
-    digits = lambda c: F.when(F.abs(c) < 1e-9, 0.0).otherwise(F.format_string("%.6e", F.col(c)).cast("double"))
+    """Doubles at seven significant digits, 0 for what is below 1e-9, so that engines which add in other orders agree.
+
+    The small factor moves decimal fractions off the middle between two such numbers."""
+    digits = lambda c: F.when(F.abs(c) < 1e-9, 0.0).otherwise(F.format_string("%.6e", F.col(c) * OFF_TIES).cast("double"))
     return df.select(*[F.when(F.col(c).isNotNull(), digits(c)).alias(c) if t == "double" and c not in keys else F.col(c) for c, t in df.dtypes])
 
 
@@ -27,7 +30,7 @@ def settled_sql(columns: list[str], source: str, keys: list[str], suffix: str =
 
     def one(c: str) -> str:
         v = f"CASE WHEN {c} IS NULL OR NOT isfinite({c}) THEN NULL WHEN {c} > 1e10 THEN 1e10 WHEN {c} < -1e10 THEN -1e10 WHEN {c} > 0 AND {c} < 1e-10 THEN 1e-10 ELSE {c} END"
-        return f"CASE WHEN abs({c}) < 1e-9 THEN 0e0 ELSE cast(format('{{:.6e}}', {v}) AS DOUBLE) END AS {c}{suffix}"
+        return f"CASE WHEN abs({c}) < 1e-9 THEN 0e0 ELSE cast(format('{{:.6e}}', ({v}) * {OFF_TIES}) AS DOUBLE) END AS {c}{suffix}"
 
     return f"SELECT {', '.join([*keys, *map(one, columns)])} FROM ({source})"
 
