@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starflow.functions import features
-from starflow.operators import prepare
+from starflow.operators import learn, matrix, periods, prepare, simulate
 from starflow.operators.extract import extract
+from starflow.session import table
 from starflow.sources.tables import light_curves, light_curves_sql
+from starflow.streaming import online
 
 OFF_TIES = 1 + 3e-10
 FLAGSHIP = "lc_features_basic"
@@ -65,3 +67,198 @@ for _view in ("flux", "mag", "orders"):
             _name = f"lc_features_{_view}_{'weighted' if _weighted else 'plain'}" + ("_deriv" if _space == "deriv" else "")
             QUERIES[_name] = partial(_features, view=_view, wanted=_groups(_weighted), weighted=_weighted, space=_space)
             ORACLES[_name] = _features_sql(_view, _groups(_weighted), _weighted, _space)
+
+
+# --- features that NumPy computes per series ---------------------------------------------------------------------
+
+PAIRWISE = ["check_for_duplicate", "ratio_recurring_points", "sample_entropy"]
+SPECIAL = [n for n in features.GROUPED if n not in PAIRWISE]
+QUERIES["lc_pairwise"] = partial(_features, view="flux", wanted=PAIRWISE, weighted=True, space="flux")
+QUERIES["lc_special"] = partial(_features, view="flux", wanted=SPECIAL, weighted=True, space="flux")
+_norm, _before = prepare.space_sql("lc", "flux", False, False, 24.0)
+ORACLES["lc_pairwise"] = settled_sql(PAIRWISE, f"""
+WITH lc AS ({light_curves_sql("flux")}), {_before},
+p AS (SELECT *, row_number() OVER (PARTITION BY lc_id ORDER BY time, seq) AS i, 0.2 * stddev_pop(x) OVER (PARTITION BY lc_id) AS r,
+      lead(x, 1) OVER (PARTITION BY lc_id ORDER BY time, seq) AS x1, lead(x, 2) OVER (PARTITION BY lc_id ORDER BY time, seq) AS x2 FROM {_norm}),
+pairs AS (SELECT a.lc_id, max(CASE WHEN abs(a.x - b.x) <= 2 * sqrt(a.e * a.e + b.e * b.e) THEN 1e0 ELSE 0e0 END) AS near,
+      sum(CASE WHEN abs(a.x - b.x) <= a.r AND abs(a.x1 - b.x1) <= a.r THEN 1 ELSE 0 END) AS two,
+      sum(CASE WHEN abs(a.x - b.x) <= a.r AND abs(a.x1 - b.x1) <= a.r AND abs(a.x2 - b.x2) <= a.r THEN 1 ELSE 0 END) AS three
+    FROM p a JOIN p b ON a.lc_id = b.lc_id AND a.i < b.i GROUP BY a.lc_id),
+hits AS (SELECT v.lc_id, v.x, sum(CASE WHEN abs(q.x - v.x) <= q.e + 1e-5 * abs(v.x) THEN 1 ELSE 0 END) AS n
+    FROM (SELECT DISTINCT lc_id, x FROM p) v JOIN p q ON v.lc_id = q.lc_id GROUP BY v.lc_id, v.x),
+shares AS (SELECT lc_id, avg(CASE WHEN n > 1 THEN 1e0 ELSE 0e0 END) AS recurring FROM hits GROUP BY lc_id)
+SELECT lc_id, near AS check_for_duplicate, recurring AS ratio_recurring_points,
+       CASE WHEN two > 0 AND three > 0 THEN -ln(three / cast(two AS DOUBLE)) END AS sample_entropy FROM pairs JOIN shares USING (lc_id)""", ["lc_id"])
+
+
+def extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 168 columns of the magnitude view."""
+    return extract(light_curves(spark, sf_dir, "mag"))
+
+
+QUERIES["lc_extract_all"] = extract_all
+
+
+# --- queries whose text runs on both engines ---------------------------------------------------------------------
+
+
+def _shared(spark: SparkSession, sf_dir: str, *, text: str, view: str, keys: tuple[str, ...]) -> DataFrame:
+    points = prepare.finite(light_curves(spark, sf_dir, view))
+    return settled(spark.sql(text.replace("lc_points", "{lc_points}"), lc_points=points), *keys)
+
+
+def register(name: str, view: str, keys: tuple[str, ...], values: tuple[str, ...], text) -> None:
+    """A query over ``lc_points`` whose text is ``text(engine)``: key columns as they are, values settled."""
+    QUERIES[name] = partial(_shared, text=f"WITH {text('spark')}", view=view, keys=keys)
+    inner = f"WITH lc_points AS ({light_curves_sql(view)}), {text('duckdb')}"
+    ORACLES[name] = settled_sql(list(values), inner, list(keys))
+
+
+_FLUX = prepare.flux_sql("lc_points", False)
+register("lc_prepared", "mag", ("lc_id", "seq"), ("r", "re", "x", "e"), lambda _: f"{prepare.flux_sql('lc_points')} SELECT lc_id, seq, r, re, x, e FROM flux")
+register("lc_derivative", "flux", ("lc_id", "seq"), ("nfd", "nfde"), lambda _: f"{_FLUX}, {prepare.derivative_sql()} SELECT lc_id, seq, nfd, nfde FROM deriv2")
+_NORM = f"{_FLUX}, norm AS (SELECT lc_id, seq, time, x, e FROM flux)"
+register("lc_periodogram", "flux", ("lc_id", "k"), ("frequency", "power"),
+         lambda engine: f"{_NORM}, {periods.periodogram_sql('norm', engine, most=50)} SELECT lc_id, k, frequency, power FROM power")
+
+_TRIES = "tries AS (SELECT lc_id, seq, time, attempt, 19e0 AS baseline FROM lc_points CROSS JOIN (SELECT 0 AS attempt UNION ALL SELECT 1 UNION ALL SELECT 2) a)"
+
+
+def _simulated(engine: str, chain, relation: str, test: str = "", passing: str = "") -> str:
+    d = simulate.Draws(engine)
+    body = f"{_TRIES}, {chain('tries', d)}, {simulate.noisy_sql(relation, d)}"
+    if test:
+        return f"{body}, {test} SELECT lc_id, attempt, 1 AS passed FROM {passing}"
+    return f"{body} SELECT lc_id, attempt, seq, mag, noisy_mag, magerr FROM noisy"
+
+
+for _name, _chain, _relation in (("sim_microlensing", simulate.microlensing_sql, "lensed"), ("sim_cataclysmic", simulate.cataclysmic_sql, "erupting"), ("sim_periodic", simulate.periodic_sql, "pulsing")):
+    register(_name, "flux", ("lc_id", "attempt", "seq"), ("mag", "noisy_mag", "magerr"), partial(_simulated, chain=_chain, relation=_relation))
+register("sim_quality_microlensing", "flux", ("lc_id", "attempt", "passed"), (), partial(
+    _simulated, chain=simulate.microlensing_sql, relation="lensed", test=simulate.microlensing_quality_sql("noisy"), passing="passing"))
+register("sim_quality_cataclysmic", "flux", ("lc_id", "attempt", "passed"), (), partial(
+    _simulated, chain=simulate.cataclysmic_sql, relation="erupting", test=simulate.cataclysmic_quality_sql("noisy", "outbursts"), passing="erupted"))
+
+
+def sim_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of simulated curves of five classes on the cadences of the events."""
+    points = simulate.training_points(light_curves(spark, sf_dir, "flux"))
+    labels = points.groupBy("lc_id").agg(F.first("class").alias("label"))
+    return extract(points, ["meanMag", "variance", "skewness", "stetsonJ", "amplitude"]).join(labels, "lc_id")
+
+
+QUERIES["sim_training_set"] = sim_training_set
+
+
+# --- feature tables ------------------------------------------------------------------------------------------------
+
+WIDTH = 8
+COLUMNS = [f"c{k}" for k in range(WIDTH)]
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str, holes: bool = False) -> DataFrame:
+    """``(id, label, c0..c7)`` of the vectors' first components, with every eleventh cell (and most of c7) missing."""
+    cell = lambda k: F.col("embedding")[k].cast("double")
+    gap = lambda k: (F.col("vec_id") * 7 + k) % 11 == 0 if k < 7 else F.col("vec_id") % 3 > 0
+    value = lambda k: F.when(~gap(k), cell(k)) if holes else cell(k)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), *[value(k).alias(c) for k, c in enumerate(COLUMNS)])
+
+
+def _matrix_sql(holes: bool) -> str:
+    gap = lambda k: f"(vec_id * 7 + {k}) % 11 = 0" if k < 7 else "vec_id % 3 > 0"
+    value = lambda k: f"CASE WHEN NOT ({gap(k)}) THEN embedding[{k + 1}]::DOUBLE END" if holes else f"embedding[{k + 1}]::DOUBLE"
+    return f"SELECT vec_id AS id, label::VARCHAR AS label, {', '.join(f'{value(k)} AS {c}' for k, c in enumerate(COLUMNS))} FROM embeddings"
+
+
+def _imputed(spark: SparkSession, sf_dir: str, *, strategy: str) -> DataFrame:
+    return settled(matrix.impute(feature_matrix(spark, sf_dir, True), COLUMNS, strategy, constant=0.5))
+
+
+def _scaled(spark: SparkSession, sf_dir: str, *, method: str) -> DataFrame:
+    return settled(matrix.scale(feature_matrix(spark, sf_dir), COLUMNS, method))
+
+
+_FILLS = {
+    "mean": lambda c: f"avg({c}) OVER ()",
+    "median": lambda c: f"median({c}) OVER ()",
+    "mode": lambda c: f"(SELECT {c} FROM m WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)",
+    "constant": lambda c: "0.5e0",
+}
+for _strategy, _fill in _FILLS.items():
+    QUERIES[f"impute_{_strategy}"] = partial(_imputed, strategy=_strategy)
+    _cells = ", ".join(f"CASE WHEN avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END) OVER () > 0.5 THEN 0e0 ELSE coalesce({c}, {_fill(c)}) END AS {c}" for c in COLUMNS)
+    ORACLES[f"impute_{_strategy}"] = settled_sql(COLUMNS, f"WITH m AS ({_matrix_sql(True)}) SELECT id, label, {_cells} FROM m", ["id", "label"])
+QUERIES["impute_knn"] = partial(_imputed, strategy="knn")
+_seven = COLUMNS[:7]
+_gaps = "[" + ", ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _seven) + "]"
+ORACLES["impute_knn"] = settled_sql(COLUMNS, f"""
+WITH m AS ({_matrix_sql(True)}),
+near AS (SELECT a.id AS i, b.id AS j, list_sum(list_filter({_gaps}, lambda g: g IS NOT NULL)) * 7 / len(list_filter({_gaps}, lambda g: g IS NOT NULL)) AS d,
+         {', '.join(f'CASE WHEN a.{c} IS NULL THEN b.{c} END AS {c}' for c in _seven)} FROM m a JOIN m b ON a.id <> b.id),
+{', '.join(f'f{k} AS (SELECT i, avg({c}) AS {c} FROM (SELECT i, {c}, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM near WHERE {c} IS NOT NULL AND d IS NOT NULL) WHERE r <= 3 GROUP BY i)' for k, c in enumerate(_seven))}
+SELECT id, label, {', '.join(f'coalesce(m.{c}, f{k}.{c}) AS {c}' for k, c in enumerate(_seven))}, 0e0 AS c7
+FROM m {' '.join(f'LEFT JOIN f{k} ON f{k}.i = m.id' for k in range(7))}""", ["id", "label"])
+_SCALES = {
+    "standard": ("avg({0}) OVER ()", "stddev_pop({0}) OVER ()"),
+    "minmax": ("min({0}) OVER ()", "(max({0}) OVER () - min({0}) OVER ())"),
+    "robust": ("median({0}) OVER ()", "(quantile_cont({0}, 0.75) OVER () - quantile_cont({0}, 0.25) OVER ())"),
+}
+for _method, (_lo, _by) in _SCALES.items():
+    QUERIES[f"scale_{_method}"] = partial(_scaled, method=_method)
+    _cells = ", ".join(f"({c} - {_lo.format(c)}) / {_by.format(c)} AS {c}" for c in COLUMNS)
+    ORACLES[f"scale_{_method}"] = settled_sql(COLUMNS, f"SELECT id, label, {_cells} FROM ({_matrix_sql(False)})", ["id", "label"])
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------
+
+
+def eval_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROC curve of one component as a score for the lower half of the labels."""
+    scored = table(spark, sf_dir, "embeddings").select(F.col("embedding")[0].cast("double").alias("score"), (F.col("label") < 5).alias("positive"))
+    return settled(learn.roc(scored))
+
+
+QUERIES["eval_roc"] = eval_roc
+ORACLES["eval_roc"] = settled_sql(["threshold", "tpr", "fpr"], """
+SELECT threshold, sum(p) OVER (ORDER BY threshold DESC) / sum(p) OVER () AS tpr, sum(n) OVER (ORDER BY threshold DESC) / sum(n) OVER () AS fpr
+FROM (SELECT embedding[1]::DOUBLE AS threshold, sum((label < 5)::INT)::DOUBLE AS p, sum((label >= 5)::INT)::DOUBLE AS n FROM embeddings GROUP BY 1)""", [])
+
+
+def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion matrix of a rule: the largest of the first ten components names the label."""
+    ten = F.slice("embedding", 1, 10)
+    guess = (F.array_position(ten, F.array_max(ten)) - 1).cast("string")
+    return settled(learn.confusion(table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("actual"), guess.alias("predicted"))))
+
+
+QUERIES["eval_confusion"] = eval_confusion
+ORACLES["eval_confusion"] = settled_sql(["share"], """
+WITH g AS (SELECT label::VARCHAR AS actual, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::VARCHAR AS predicted FROM embeddings),
+names AS (SELECT actual AS c FROM g UNION SELECT predicted FROM g),
+counts AS (SELECT a.c AS actual, b.c AS predicted, count(g.actual) AS n FROM names a CROSS JOIN names b LEFT JOIN g ON g.actual = a.c AND g.predicted = b.c GROUP BY ALL)
+SELECT actual, predicted, n, coalesce(n / nullif(sum(n) OVER (PARTITION BY actual), 0), 0e0) AS share FROM counts""", ["actual", "predicted", "n"])
+
+
+def ml_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion matrix of a forest on the vectors' first components, three folds."""
+    return learn.confusion(learn.cross_predict(feature_matrix(spark, sf_dir), COLUMNS, kind="rf", k=3, numTrees=10))
+
+
+def ml_feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances and decisions of a few trials against shuffled shadows."""
+    return learn.selection_table(spark, *learn.select_features(feature_matrix(spark, sf_dir), COLUMNS, trials=3, trees=5))
+
+
+def lc_window_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of each series by day, as the streaming operator takes them."""
+    points = table(spark, sf_dir, "events").select(F.col("user_id").alias("lc_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("mag"), (0.5 + 0.02 * F.col("value")).alias("magerr"))
+    out = online.windowed_moments(points)
+    day = F.unix_micros("window.start").alias("day")
+    return settled(out.select("lc_id", day, "n", "mean", "variance", "weighted_mean", "smallest", "largest"))
+
+
+QUERIES |= {"ml_cross_validated": ml_cross_validated, "ml_feature_selection": ml_feature_selection, "lc_window_moments": lc_window_moments}
+ORACLES["lc_window_moments"] = settled_sql(["mean", "variance", "weighted_mean", "smallest", "largest"], """
+SELECT user_id AS lc_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day, count(*) AS n, avg(value) AS mean, var_pop(value) AS variance,
+       sum(CASE WHEN e > 0 THEN value / (e * e) ELSE 0 END) / nullif(sum(CASE WHEN e > 0 THEN 1 / (e * e) ELSE 0 END), 0) AS weighted_mean, min(value) AS smallest, max(value) AS largest
+FROM (SELECT *, 0.5e0 + 0.02e0 * value AS e FROM events) GROUP BY 1, 2""", ["lc_id", "day", "n"])
