@@ -89,7 +89,7 @@ def write_features_text(features: DataFrame, path: str, loaded: bool = False) ->
     values = [c for c in features.columns if c not in (*LABELS, "lc_id")]
     columns = [*(("filename", "label", "id") if loaded else ("label",)), *values]
     text = features.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in columns])
-    text.toDF("# " + columns[0], *columns[1:]).write.mode("overwrite").option("sep", " ").option("header", True).option("quote", "").csv(path)
+    text.toDF("#" + columns[0], *columns[1:]).write.mode("overwrite").option("sep", " ").option("header", True).csv(path)
 
 
 def points_of(points: DataFrame, lc_id: int | None = None, label: str | None = None, seed: int = 0) -> DataFrame:
