@@ -5,11 +5,10 @@ that winnowing picks: in every stretch of ``width - gram + 1`` grams the smalles
 grams and so pick the same one, at the same place: a window that stands in two documents always leaves an equal
 fingerprint in both, while the index has about ``2 / (width - gram + 2)`` entries a word.
 
-Runs of the index are immutable tables ``(h, doc, more)``, sorted by fingerprint: the smallest document that holds it
-and whether any other does. Each new batch is merge-joined with the runs before it, then becomes a run itself; full
-levels are compacted, as in a log-structured merge tree. The fingerprints that more than one document holds point to
-candidate windows; these are verified by a 128-bit digest of their whole word sequence, of which the smallest document
-is found by an aggregation. Every step groups by fingerprint or digest and combines before it shuffles.
+Runs of the index are immutable tables ``(h, doc)``, bucketed and sorted by fingerprint: one of each batch. Batches are
+merge-joined with all other runs, bucket by bucket and without a shuffle; full levels are compacted, as in a
+log-structured merge tree. The fingerprints that more than one document holds point to candidate windows; these are
+verified by a digest of their whole word sequence, of which the smallest document is found.
 
 Texts that equal one with a smaller key are found by their digest first: they lose all words, if they have a window at
 all, and don't enter the index.
@@ -17,19 +16,22 @@ all, and don't enter the index.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starflow.llm.common import grown, stored, without
+from starflow.llm.common import cut, grown, stored, without
 
 TEXTS_AT_ONCE = 512
+HOT = 20_000  # rows of a fingerprint, from which on they don't meet in one task
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,41 +65,46 @@ def smallest(grams: np.ndarray, stretch: int) -> np.ndarray:
     return np.minimum(out[:n], out[stretch - span : stretch - span + n])
 
 
-def window_digests(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit digest of each window, as two arrays."""
-    return gram_hashes(hashes, width, 0x5851F42D), gram_hashes(hashes ^ np.uint64(0xD6E8FEB86659FD93), width, 0x2545F491)
-
-
 @dataclass
 class FingerprintIndex:
-    """Runs of fingerprints by level; a level of ``fanout`` runs is compacted into one of the next."""
+    """Runs ``(h, doc)`` by level, each a table bucketed and sorted by fingerprint; a level of ``fanout`` runs is
+    compacted into one of the next. Runs of one bucket number are merge-joined without a shuffle."""
 
-    fanout: int = 2
+    buckets: int
+    fanout: int = 4
     levels: dict[int, list[DataFrame]] = field(default_factory=dict)
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.union(run)
-        return out.groupBy("h").agg(F.min("doc").alias("doc"), (F.max("more") | (F.min("doc") < F.max("doc"))).alias("more"))
-
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels.values() for run in level]
 
+    def _write(self, rows: DataFrame) -> DataFrame:
+        name = f"run_{uuid.uuid4().hex}"
+        spread = rows.repartition(self.buckets, "h").sortWithinPartitions("h", "doc")
+        spread.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        return rows.sparkSession.table(name)
+
     def add(self, batch: DataFrame) -> None:
-        """Add the run of a batch ``(h, doc)``."""
-        run = self._merge([batch.select("h", "doc", F.lit(False).alias("more"))])
+        """Add the run of a batch ``(h, doc)`` and compact the levels that are full."""
         level = 0
-        self.levels.setdefault(0, []).append(stored(run, "h"))
+        self.levels.setdefault(0, []).append(self._write(batch))
         while len(self.levels[level]) >= self.fanout:
-            merged = self._merge(self.levels.pop(level))
+            full = self.levels.pop(level)
             level += 1
-            self.levels.setdefault(level, []).append(stored(merged, "h"))
+            self.levels.setdefault(level, []).append(self._write(reduce(DataFrame.union, full)))
 
     def shared(self) -> DataFrame:
-        """The fingerprints that more than one document holds."""
-        return self._merge(self.runs()).where("more").select("h")
+        """``(doc, h)``: the entries whose fingerprint another document holds too."""
+        runs = self.runs()
+        ends = [run.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")) for run in runs]
+        parts = []
+        for k, run in enumerate(runs):
+            known = ends[k].select("h", (F.col("lo") < F.col("hi")).alias("more"))
+            for j, other in enumerate(ends):
+                if j != k:
+                    known = known.join(other.select("h", F.lit(True).alias("there")), "h", "left")
+                    known = known.select("h", (F.col("more") | F.coalesce("there", F.lit(False))).alias("more"))
+            parts.append(run.join(known.where("more").select("h"), "h").select("doc", "h"))
+        return reduce(DataFrame.union, parts)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -121,28 +128,54 @@ def picks(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """``(doc, pos, d1, d2)`` from ``docs(doc, text, hs)``: the windows whose picked gram is among the row's ``hs``."""
+    """``(h, doc, pos, digests)`` from ``docs(doc, text, hs)``: for each picked gram that is among the row's ``hs``, the
+    first of the consecutive windows that pick it and the 64-bit digests of all of them, packed. With the gram's own
+    hash that is 128 bits a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, TEXTS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, TEXTS_AT_ONCE)):
-            ids, digests = [], []
-            at: list[np.ndarray] = []
+            ids, hashed, at, packed = [], [], [], []
             for doc, text, hs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 hashes = word_hashes(words_of(text))
                 if len(hashes) < width:
                     continue
-                grams = gram_hashes(hashes, gram)
-                least = smallest(grams, width - gram + 1)
-                found = np.flatnonzero(np.isin(least, np.array(hs, np.int64).view(np.uint64)))
-                ids.append(np.full(len(found), doc, np.int64))
-                at.append(found.astype(np.int32))
-                digests.append(np.stack([d[found].view(np.int64) for d in window_digests(hashes, width)]))
+                least = smallest(gram_hashes(hashes, gram), width - gram + 1)
+                begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+                end = np.r_[begin[1:], len(least)]
+                wanted = np.isin(least[begin], np.array(hs, np.int64).view(np.uint64))
+                digests = gram_hashes(hashes, width, 0x5851F42D).astype("<u8").tobytes()
+                for lo, hi in zip(begin[wanted].tolist(), end[wanted].tolist(), strict=True):
+                    at.append(lo)
+                    packed.append(digests[8 * lo : 8 * hi])
+                ids.append(np.full(int(wanted.sum()), doc, np.int64))
+                hashed.append(least[begin[wanted]])
             if ids:
-                d1, d2 = np.concatenate(digests, 1)
-                columns = [np.concatenate(ids), np.concatenate(at), d1, d2]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "pos", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(np.concatenate(hashed)), pa.array(np.concatenate(ids)), pa.array(at, pa.int32()), pa.array(packed, pa.binary())],
+                    names=["h", "doc", "pos", "digests"],
+                )
+
+    return docs.mapInArrow(run, "h long, doc long, pos int, digests binary")
 
-    return docs.mapInArrow(run, "doc long, pos int, d1 long, d2 long")
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """``(h, doc, pos, d)``: a row a window."""
+    n = (F.octet_length("digests") / 8).cast("int")
+    opened = rows.select("h", "doc", "pos", "digests", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    return opened.select("h", "doc", (F.col("pos") + F.col("k")).alias("pos"), F.substring("digests", F.col("k") * 8 + 1, F.lit(8)).alias("d"))
+
+
+def repeated_windows(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``(doc, pos)`` of the windows of ``candidates`` rows whose sequence stands in a smaller document.
+
+    Windows of a fingerprint are compared where the fingerprint's rows meet. The fingerprints in ``hot(h)`` have too
+    many rows for that: their windows are aggregated before they are shuffled, and joined with the result.
+    """
+    least = F.min("doc").over(Window.partitionBy("h", "d"))
+    cold = _unpacked(rows.join(hot, "h", "left_anti").repartition("h")).withColumn("first", least)
+    many = _unpacked(rows.join(hot, "h", "left_semi"))
+    firsts = many.groupBy("h", "d").agg(F.min("doc").alias("first"))
+    return cold.where("doc > first").select("doc", "pos").union(many.join(firsts, ["h", "d"]).where("doc > first").select("doc", "pos"))
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -203,16 +236,17 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", w
     copies = rows.select("doc", *digest).join(firsts, ["id1", "id2"]).where("doc > first").select("doc").distinct()
     copies = stored(copies.withColumn("copy_", F.lit(True)))
 
-    fingerprints = stored(picks(rows.join(copies, "doc", "left_anti"), width, gram))
-    index = FingerprintIndex(fanout)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = FingerprintIndex(buckets, fanout)
+    fresh = rows.join(copies, "doc", "left_anti")
     batch = F.pmod(F.xxhash64("doc"), F.lit(batches))
     for b in range(batches):
-        index.add(fingerprints.where(batch == b))
-    hs = fingerprints.join(index.shared(), "h").groupBy("doc").agg(F.collect_set("h").alias("hs"))
+        index.add(picks(fresh.where(batch == b), width, gram))
+    shared = stored(index.shared())
+    hot = cut(shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("h"))
+    hs = shared.groupBy("doc").agg(F.collect_set("h").alias("hs"))
     windows = stored(candidates(rows.join(hs, "doc").select("doc", "text", "hs"), width, gram))
-    least = windows.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    gone = windows.join(least.select("d1", "d2", "first"), ["d1", "d2"]).where("doc > first")
-    starts = gone.groupBy("doc").agg(F.collect_list("pos").alias("starts_"))
+    starts = repeated_windows(windows, hot).groupBy("doc").agg(F.collect_set("pos").alias("starts_"))
 
     lost = starts.join(copies, "doc", "full").select(F.col("doc").alias("key_"), "copy_", "starts_")
     return _removed(docs.join(lost, F.col(key).cast("long") == F.col("key_"), "left"), text, width)
