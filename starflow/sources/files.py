@@ -88,8 +88,10 @@ def write_features_text(features: DataFrame, path: str, loaded: bool = False) ->
     """A feature table as space-separated text with a comment line of its names at the top of each file."""
     values = [c for c in features.columns if c not in (*LABELS, "lc_id")]
     columns = [*(("filename", "label", "id") if loaded else ("label",)), *values]
-    text = features.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in columns])
-    text.toDF("#" + columns[0], *columns[1:]).write.mode("overwrite").option("sep", " ").option("header", True).csv(path)
+    line = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns])
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of a partition, and so of a file
+    text = F.when(first, F.concat(F.lit(f"# {' '.join(columns)}\n"), line)).otherwise(line)
+    features.select(text.alias("value")).write.mode("overwrite").text(path)
 
 
 def points_of(points: DataFrame, lc_id: int | None = None, label: str | None = None, seed: int = 0) -> DataFrame:
