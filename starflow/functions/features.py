@@ -14,6 +14,7 @@ Rows with null or non-finite values are to be removed before (``operators.prepar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,18 +24,25 @@ GROUPED = ("AndersonDarling", "check_for_duplicate", "number_cwt_like_peaks", "p
 #: Features of the flux itself; all others are of the flux divided by its maximum.
 RAW = ("amplitude", "median_buffer_range")
 TOLERANCE = "1e-12"  # of cumulative shares, whose sums depend on the order of addition
-QUANTILES = (0.03, 0.05, 0.1, 0.175, 0.25, 0.325, 0.4, 0.5, 0.6, 0.675, 0.75, 0.825, 0.9, 0.95, 0.97)
 
 
 @dataclass(frozen=True)
 class Dialect:
-    """What differs between SQL engines: the exact, linearly interpolated quantile."""
+    """What differs between SQL engines: the exact, linearly interpolated quantile of a value. The quantiles of a
+    series' values are taken together, so that the values are gathered once."""
 
-    quantile: Callable[[str, float], str]
+    single: Callable[[str, float], str]
+    several: Callable[[str, str, int], str]
 
+    def quantile(self, x: str, q: float) -> str:
+        if x != "x":
+            return self.single(x, q)
+        return self.several(x, ", ".join(map(str, PLAIN)), PLAIN.index(q))
 
-SPARK = Dialect(lambda x, q: f"percentile({x}, {q})")
-DUCKDB = Dialect(lambda x, q: f"quantile_cont({x}, {q})")
+
+PLAIN = (0.01, 0.05, 0.1, 0.175, 0.25, 0.325, 0.4, 0.5, 0.6, 0.675, 0.75, 0.825, 0.9, 0.95, 0.99)
+SPARK = Dialect(lambda x, q: f"percentile({x}, {q})", lambda x, qs, k: f"percentile({x}, array({qs}))[{k}]")
+DUCKDB = Dialect(lambda x, q: f"quantile_cont({x}, {q})", lambda x, qs, k: f"quantile_cont({x}, [{qs}])[{k + 1}]")
 
 LEVELS = {"above1": 1, "above3": 3, "above5": 5, "below1": -1, "below3": -3, "below5": -5}
 RUNS = {f"con_{side}{k}": (f"x >= med + {k} * spread" if side == "above" else f"x <= med - {k} * spread") for side in ("above", "below") for k in (1, 3, 5)}
@@ -52,7 +60,7 @@ def _shared(weighted: bool, d: Dialect, source: str) -> str:
     run = lambda name, test: f"i - coalesce(max(CASE WHEN NOT ({test}) THEN i END) OVER (PARTITION BY lc_id ORDER BY time, seq ROWS UNBOUNDED PRECEDING), -1) AS {name}"
     up, down = ("x > wmed + e", "x < wmed - e") if weighted else ("x > med", "x < med")
     at = lambda q: f"coalesce({_interpolated('x', 'cdf', 'rn', q, ' OVER p')}, med)"
-    quantile = lambda x, q: f"{d.quantile(x, q)} OVER p"
+    quantile = lambda x, q: f"{d.single(x, q)} OVER p"
     wmed, q3, q97 = (at(0.5), at(0.03), at(0.97)) if weighted else ("med", quantile("x", 0.03), quantile("x", 0.97))
     return f"""
 weighed AS (
@@ -89,6 +97,32 @@ points AS (
   FROM centred WINDOW p AS (PARTITION BY lc_id))"""
 
 
+def _pruned(chain: str, used: str) -> str:
+    """The stages without the columns that neither a later stage nor ``used`` names: less for the engine to plan."""
+    stages = re.split(r"(?<=\)),\n(?=\w+ AS \()", chain.strip())
+    for k in range(len(stages) - 1, -1, -1):
+        head, columns, tail = _select(stages[k])
+        later = set(re.findall(r"\w+", used))
+        kept = [c for c in columns if c == "*" or re.search(r"(\w+)$", c)[1] in later]
+        stages[k] = f"{head}{', '.join(kept)}{tail}"
+        used += " " + " ".join(kept) + tail
+    return "\n" + ",\n".join(stages)
+
+
+def _select(stage: str) -> tuple[str, list[str], str]:
+    """A stage as what stands before its columns, the columns, and what follows them."""
+    start = stage.index("SELECT ") + 7
+    depth, parts, last = 0, [], start
+    for k in range(start, len(stage)):
+        depth += (stage[k] == "(") - (stage[k] == ")")
+        if depth == 0 and (stage[k] == "," or stage.startswith("FROM ", k) and stage[k - 1] in " \n"):
+            parts.append(stage[last:k].strip())
+            last = k + 1
+            if stage[k] != ",":
+                return stage[:start], parts, " " + stage[k:]
+    raise ValueError(stage)
+
+
 def _rank(x: str, later: tuple[str, ...], earlier: tuple[str, ...]) -> str:
     """How many of a point's neighbours sort before it, the earlier of equals first."""
     tests = [f"CASE WHEN {y} < {x} THEN 1 ELSE 0 END" for y in later] + [f"CASE WHEN {y} <= {x} THEN 1 ELSE 0 END" for y in earlier]
@@ -247,7 +281,8 @@ def query(wanted: list[str], weighted: bool, d: Dialect, source: str, before: st
     """SQL for ``(lc_id, <wanted>)`` over the relation ``source``; ``before`` holds further table expressions."""
     found = expressions(weighted, d)
     plain = [w for w in wanted if w != "median_buffer_range"]
-    chain = f"WITH {before + ',' if before else ''}{_shared(weighted, d, source)}"
+    shared = _pruned(_shared(weighted, d, source), " ".join(found[w] for w in wanted) + " lc_id seq time x e")
+    chain = f"WITH {before + ',' if before else ''}{shared}"
     columns = ", ".join(f"cast({found[w]} AS DOUBLE) AS {w}" for w in plain)
     if "median_buffer_range" not in wanted:
         return f"{chain}\nSELECT lc_id, {columns} FROM points GROUP BY lc_id"

@@ -11,24 +11,21 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starflow.functions import features, grouped
 from starflow.operators import prepare
 
-LIMIT, LEAST = 1e10, 1e-10
+LIMIT, LEAST = "1e10", "1e-10"
 
 
-def clamp(value: Column) -> Column:
+def clamp_sql(c: str) -> str:
     """Null for what isn't a finite number, and the bounds of the feature table."""
     return (
-        F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), F.lit(None).cast("double"))
-        .when(value > LIMIT, LIMIT)
-        .when(value < -LIMIT, -LIMIT)
-        .when((value > 0) & (value < LEAST), LEAST)
-        .otherwise(value)
+        f"CASE WHEN {c} IS NULL OR isnan({c}) OR abs({c}) = double('infinity') THEN NULL WHEN {c} > {LIMIT}D THEN {LIMIT}D WHEN {c} < -{LIMIT}D THEN -{LIMIT}D "
+        f"WHEN {c} > 0 AND {c} < {LEAST}D THEN {LEAST}D ELSE {c} END"
     )
 
 
@@ -80,6 +77,6 @@ def extract(
         own = [c.removesuffix("_deriv") for c in columns if c.endswith("_deriv") == (space == "deriv")]
         for part in (sql_features(points, own, space, weighted, convert, zp), grouped_features(points, own, space, weighted, convert, zp)):
             if part is not None:
-                named = [F.col(c).alias(c + "_deriv" if space == "deriv" else c) for c in part.columns if c != "lc_id"]
-                out = out.join(part.select("lc_id", *named), "lc_id", "left")
-    return out.select("lc_id", *[F.when(F.col("n_") > 1, clamp(F.col(c))).alias(c) for c in columns])
+                named = [f"{c} AS {c}_deriv" if space == "deriv" else c for c in part.columns if c != "lc_id"]
+                out = out.join(part.selectExpr("lc_id", *named), "lc_id", "left")
+    return out.selectExpr("lc_id", *[f"CASE WHEN n_ > 1 THEN {clamp_sql(c)} END AS {c}" for c in columns])

@@ -10,7 +10,7 @@ from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starflow.operators.extract import clamp
+from starflow.operators.extract import clamp_sql
 
 
 def _each(df: DataFrame, columns: list[str], change) -> DataFrame:
@@ -24,7 +24,7 @@ def finite_or_null(c: str) -> Column:
 
 def clamped(df: DataFrame, columns: list[str]) -> DataFrame:
     """Non-finite values become null, others lie within the bounds of the feature table."""
-    return _each(df, columns, lambda c: clamp(F.col(c).cast("double")))
+    return _each(df, columns, lambda c: F.expr(clamp_sql(f"cast(`{c}` AS DOUBLE)")))
 
 
 def impute(df: DataFrame, columns: list[str], strategy: str = "mean", k: int = 3, constant: float = 0.0, null_share: float = 0.5, key: str = "id") -> DataFrame:

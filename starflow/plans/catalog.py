@@ -23,8 +23,8 @@ def settled(df: DataFrame, *keys: str) -> DataFrame:
     """Doubles at seven significant digits, 0 for what is below 1e-9, so that engines which add in other orders agree.
 
     The small factor moves decimal fractions off the middle between two such numbers."""
-    digits = lambda c: F.when(F.abs(c) < 1e-9, 0.0).otherwise(F.format_string("%.6e", F.col(c) * OFF_TIES).cast("double"))
-    return df.select(*[F.when(F.col(c).isNotNull(), digits(c)).alias(c) if t == "double" and c not in keys else F.col(c) for c, t in df.dtypes])
+    digits = "CASE WHEN abs({0}) < 1e-9 THEN 0D WHEN {0} IS NOT NULL THEN cast(format_string('%.6e', {0} * {1}D) AS DOUBLE) END AS {0}"
+    return df.selectExpr(*[digits.format(c, OFF_TIES) if t == "double" and c not in keys else c for c, t in df.dtypes])
 
 
 def settled_sql(columns: list[str], source: str, keys: list[str], suffix: str = "") -> str:
