@@ -32,7 +32,7 @@ NEUTRAL = ("Dr", "Prof")
 
 _HONORIFIC = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 DETECTORS = {
-    "email": re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*@[^\W_]+(?:-[^\W_]+)*(?:\.[^\W_]+(?:-[^\W_]+)*)+"),
+    "email": re.compile(r"(?<![\w%+-])(?<![\w%+-]\.)[\w%+-]++(?:\.[\w%+-]++)*+@[^\W_]+(?:-[^\W_]+)*(?:\.[^\W_]+(?:-[^\W_]+)*)+"),
     "secret": re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key)\b)\s*[=:]\s*[\"']?([\w+/-]{16,})"),
     "iban": re.compile(r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),

@@ -19,6 +19,11 @@ def test_detection(text, want):
     assert [(k, f) for _, _, k, f, _ in pii.find(text)] == want
 
 
+def test_very_long_words_take_linear_time():
+    text = "a" * 300_000 + " a@b.cd " + "9" * 300_000 + " .x@y.zz a..b@c.de " + "ab." * 100_000 + "Mr. " + "A" * 100_000
+    assert [f for k, _, _, f, _ in [(m[2], *m[:2], m[3], m[4]) for m in pii.find(text)] if k == "email"] == ["a@b.cd", "x@y.zz", "b@c.de"]
+
+
 def test_formats():
     key = b"k"
     card = pii.surrogate("card", "4111111111111111", "n", 0, key)
