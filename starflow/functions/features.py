@@ -21,6 +21,8 @@ from dataclasses import dataclass
 #: Features that Python computes per series (``functions.grouped``).
 GROUPED = ("AndersonDarling", "check_for_duplicate", "number_cwt_like_peaks", "prominence_peaks", "ratio_recurring_points",
            "sample_entropy", "shannon_entropy", "shapiro_wilk")
+#: Registered aggregate expressions by name, given whether to weight (``functions.registry``).
+OWN: dict[str, Callable[[bool], str]] = {}
 #: Features of the flux itself; all others are of the flux divided by its maximum.
 RAW = ("amplitude", "median_buffer_range")
 TOLERANCE = "1e-12"  # of cumulative shares, whose sums depend on the order of addition
@@ -260,7 +262,7 @@ def expressions(weighted: bool, d: Dialect) -> dict[str, str]:
         repeats = count("below_x = x AND (below_x2 IS NULL OR below_x2 <> x)")
         out["check_for_duplicate"] = flag(f"{count('below_x = x')} > 0")
         out["ratio_recurring_points"] = f"{repeats} / {count('below_x IS NULL OR below_x <> x')}"
-    return out
+    return out | {name: expression(weighted) for name, expression in OWN.items()}
 
 
 def _entropy(times: str, of: str) -> str:
@@ -273,8 +275,10 @@ def names(weighted: bool = True) -> tuple[str, ...]:
 
 
 def all_names() -> tuple[str, ...]:
-    """All 84 features in the order of their names, upper case first."""
-    return tuple(sorted({*names(True), *GROUPED}))
+    """All 84 features, and those registered, in the order of their names, upper case first."""
+    from starflow.functions import grouped
+
+    return tuple(sorted({*names(True), *grouped.FEATURES}))
 
 
 def query(wanted: list[str], weighted: bool, d: Dialect, source: str, before: str = "") -> str:
@@ -292,3 +296,6 @@ grouped AS (SELECT lc_id, {columns}{',' if columns else ''} {centre} AS centre_,
 SELECT lc_id, {''.join(f'max({w}) AS {w}, ' for w in plain)}
        avg(CASE WHEN x > centre_ - width_ AND x < centre_ + width_ THEN 1e0 ELSE 0e0 END) AS median_buffer_range
 FROM points JOIN grouped USING (lc_id) GROUP BY lc_id"""
+
+
+BUILT_IN = frozenset({*names(True), *GROUPED})

@@ -51,11 +51,13 @@ def grouped_features(points: DataFrame, wanted: Iterable[str], space: str, weigh
     name, before = prepare.space_sql("{points}", space, False, convert, zp)
     relation = points.sparkSession.sql(f"WITH {before} SELECT lc_id, seq, time, x, e FROM {name}", points=points)
 
+    functions = [grouped.FEATURES[w] for w in own]
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["time", "seq"])
         x, e = rows["x"].to_numpy(float), rows["e"].to_numpy(float)
         with np.errstate(all="ignore"):
-            return pd.DataFrame([(key[0], *(grouped.FEATURES[w](x, e, weighted) for w in own))], columns=["lc_id", *own])
+            return pd.DataFrame([(key[0], *(f(x, e, weighted) for f in functions))], columns=["lc_id", *own])
 
     kind = T.StructType([T.StructField("lc_id", points.schema["lc_id"].dataType), *[T.StructField(w, T.DoubleType()) for w in own]])
     return relation.groupBy("lc_id").applyInPandas(run, kind)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from series_oracle import derivative, features as expected
 
-from starflow.functions import features, grouped
+from starflow.functions import features, grouped, registry
 from starflow.operators.extract import extract
 
 
@@ -12,7 +12,8 @@ def series(seed):
     rows = []
     for lc, n in enumerate((16, 31, 40, 75)):
         t = np.sort(rng.uniform(0, 50, n))
-        x = np.round(20 + 3 * np.sin(t / 3) + rng.normal(0, 1, n), 1 if lc % 2 else 6)
+        step = 0.13 if lc % 2 else 1e-6  # steps of which no number makes a power of ten in flux
+        x = np.round((20 + 3 * np.sin(t / 3) + rng.normal(0, 1, n)) / step) * step
         e = rng.uniform(0.05, 0.6, n)
         order = rng.permutation(n)
         rows += [(lc, int(k), float(t[k]), float(x[k]), float(e[k])) for k in order]
@@ -68,6 +69,22 @@ def test_short_and_odd_series(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_registered_features(spark, points):
+    registry.register_sql("range_of", lambda weighted: "max(x) - min(x)" if weighted else "max(x)")
+    registry.register_series("spread_of", lambda x, e, weighted: float(np.ptp(x)))
+    try:
+        assert {"range_of", "spread_of"} < set(features.all_names()) and len(features.all_names()) == 86
+        rows = extract(points, ["range_of", "spread_of", "range_of_deriv"]).collect()
+        assert all(np.isclose(r.range_of, r.spread_of) and r.range_of_deriv > 0 for r in rows)
+        with pytest.raises(ValueError):
+            registry.register_sql("c3", lambda weighted: "1")
+        with pytest.raises(ValueError):
+            registry.register_series("a b", len)
+    finally:
+        registry.unregister("range_of"), registry.unregister("spread_of")
+    assert len(features.all_names()) == 84
+
+
 def test_special_functions():
     z = np.array([-40.0, -21, -19, -5, 0, 2])
     assert np.allclose(grouped.log_normal_cdf(z)[2:], np.log(grouped.normal_cdf(z[2:])))
