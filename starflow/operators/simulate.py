@@ -129,10 +129,10 @@ erupted AS (SELECT DISTINCT lc_id, attempt FROM seen_in WHERE points >= {n1} AND
 CLASSES = ("VARIABLE", "CONSTANT", "CV", "LPV", "ML")
 
 
-def training_points(cadence: DataFrame, baseline: float | str = 19.0, seed: int = 1, attempts: int = 8, most: int = 100, zp: float = 24.0) -> DataFrame:
+def training_points(cadence: DataFrame, baseline: float | str = 19.0, seed: int = 1, attempts: int = 8, zp: float = 24.0) -> DataFrame:
     """``(lc_id, seq, time, mag, magerr, class)``: each cadence ``(lc_id, seq, time)`` simulated once per class; ids are
-    made distinct by class. CV and ML series are drawn again until they pass their quality test, ``attempts`` at a time
-    and ``most`` at most; a cadence on which none passes has no series of that class."""
+    made distinct by class. CV and ML series are drawn up to ``attempts`` times, and the first that passes its quality test
+    counts; a cadence on which none passes has no series of that class."""
     spark, d = cadence.sparkSession, Draws("spark", seed)
     base = cadence.select("lc_id", "seq", F.col("time").cast("double").alias("time"))
 
@@ -151,7 +151,7 @@ def training_points(cadence: DataFrame, baseline: float | str = 19.0, seed: int
         ("CV", cataclysmic_sql("{src}", d), "erupting", cataclysmic_quality_sql("noisy", "outbursts"), "erupted"),
         ("ML", microlensing_sql("{src}", d), "lensed", microlensing_quality_sql("noisy"), "passing"),
     ):
-        numbers = F.explode(F.sequence(F.lit(0), F.lit(min(attempts, most) - 1)))
+        numbers = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
         tried = base.withColumn("attempt", numbers).withColumn("baseline", F.lit(baseline).cast("double"))
         text = f"""WITH {chain}, {noisy_sql(out, d, zp=zp)}, {test},
 best AS (SELECT lc_id, min(attempt) AS attempt FROM {keep} GROUP BY lc_id)

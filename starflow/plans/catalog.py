@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from starflow.functions import features
 from starflow.operators import learn, matrix, periods, prepare, simulate
 from starflow.operators.extract import extract
-from starflow.session import table
+from starflow.session import cut, table
 from starflow.sources.tables import light_curves, light_curves_sql
 from starflow.streaming import online
 
@@ -142,7 +142,7 @@ register("sim_quality_cataclysmic", "flux", ("lc_id", "attempt", "passed"), (),
 
 def sim_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of simulated curves of five classes on the cadences of the events."""
-    points = simulate.training_points(light_curves(spark, sf_dir, "flux"))
+    points = cut(simulate.training_points(light_curves(spark, sf_dir, "flux"), attempts=4))
     labels = points.groupBy("lc_id").agg(F.first("class").alias("label"))
     return extract(points, ["meanMag", "variance", "skewness", "stetsonJ", "amplitude"]).join(labels, "lc_id")
 
