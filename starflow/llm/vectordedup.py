@@ -1,13 +1,15 @@
-"""Embedding near-dedup by sorted projection passes.
-
-Each pass hashes a vector by signs of random projections and sorts all vectors by the concatenated signs, so that
-vectors that agree in the first hashes stand near each other. Every vector is compared with the ``window`` vectors
-after it; pairs of cosine ``threshold`` or more are links. The passes' links are united into groups.
-
-The exact ranks of a pass come from a range-partitioned sort and the sizes of its partitions; blocks of consecutive
-ranks, each with the ``window`` first vectors of the next, are compared in tasks of bounded size.
-
-The window bounds which links a pass sees, not which are reported: inside each group, links are then counted exactly.
+"""Embedding near-dedup by a sorted projection pass and all blocks within reach of each other.
+
+The pass hashes a vector by signs of random projections and sorts all vectors by the concatenated signs, so that
+vectors that agree in the first hashes stand near each other. The exact ranks come from a range-partitioned sort and
+the sizes of its partitions. Consecutive ranks are cut into parts, every pair of parts is a task, and inside a task
+parts are cut into blocks. Two blocks are compared in full unless the angle of their centres less both radii exceeds
+the threshold's angle, when no pair of theirs can be linked: no link is lost, whatever the order or the density.
+Products are taken in single precision, and again in double precision where they are near the threshold. A task
+returns a forest that spans its links; the forests are united into groups. The work grows with the square of the
+distinct vectors where the blocks' radii don't part them.
+
+Inside each group, links are then counted exactly.
 Angles to a group's pivot (its smallest vector) decide most of them without a comparison: with angles x and y to the
 pivot, two vectors are linked for certain if x + y is within the threshold's angle and not linked if x and y differ by
 more. Members in order of their angle are cut into blocks, and only pairs of blocks whose angles leave it open are
@@ -56,8 +58,8 @@ def _packed(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id long, v binary")
 
 
-def _keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
-    """``(id, pass, key, v)``: the concatenated hashes of each pass."""
+def _keys(vectors: DataFrame, seed: int) -> DataFrame:
+    """``(id, key, v)``: the concatenated hashes of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,15 +68,11 @@ def _keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
             for dim, at in _by_dimension(batch.column(1)):
                 rows = batch.take(pa.array(at))
                 x = _matrix(rows.column(1))
-                for p in range(passes):
-                    planes = np.random.default_rng([seed, p, dim]).standard_normal((x.shape[1], BITS))
-                    key = ((x @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1))).astype(np.int64) | (np.int64(dim % 1000) << BITS)
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column(0), pa.array(np.full(len(key), p, np.int32)), pa.array(key), rows.column(1)],
-                        names=["id", "pass", "key", "v"],
-                    )
+                planes = np.random.default_rng([seed, dim]).standard_normal((x.shape[1], BITS))
+                key = ((x @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1))).astype(np.int64) | (np.int64(dim % 1000) << BITS)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(key), rows.column(1)], names=["id", "key", "v"])
 
-    return vectors.mapInArrow(run, "id long, pass int, key long, v binary")
+    return vectors.mapInArrow(run, "id long, key long, v binary")
 
 
 def _by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,7 +82,7 @@ def _by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _ranked(keys: DataFrame) -> DataFrame:
-    """``keys`` with ``rank``, the place in the order of (pass, key, id) over all partitions."""
+    """``keys`` with ``rank``, the place in the order of (key, id) over all partitions."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, part = 0, TaskContext.get().partitionId()
@@ -95,34 +93,109 @@ def _ranked(keys: DataFrame) -> DataFrame:
                 [*batch.columns, place, pa.array(np.full(batch.num_rows, part, np.int64))], names=[*batch.schema.names, "place", "part"]
             )
 
-    ordered = keys.repartitionByRange("pass", "key", "id").sortWithinPartitions("pass", "key", "id")
-    placed = stored(ordered.mapInArrow(number, "id long, pass int, key long, v binary, place long, part long"))
+    ordered = keys.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    placed = stored(ordered.mapInArrow(number, "id long, key long, v binary, place long, part long"))
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # a row a partition
     starts = cut(sizes.select("part", before.alias("before")))
-    return placed.join(starts, "part").select("id", "pass", "v", (F.col("place") + F.col("before")).alias("rank"))
-
-
-def window_links(vectors: DataFrame, threshold: float, passes: int, window: int, seed: int, block: int = 4096) -> DataFrame:
-    """Verified links ``(a, b)`` of ``vectors(id, v)`` that stand within ``window`` places in one of the passes."""
-    ranked = _ranked(_keys(vectors, passes, seed))
-    place, home = F.pmod("rank", F.lit(block)), F.floor(F.col("rank") / block)
-    homes = F.when(place < window, F.array(home, home - 1)).otherwise(F.array(home))
-    blocks = ranked.withColumn("block", F.explode(homes))
+    return placed.join(starts, "part").select("id", "v", (F.col("place") + F.col("before")).alias("rank"))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(root, member)`` for every end of the links that is not the smallest of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(root[x], root[y]), root.copy()
+        for side in (root[x], root[y]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[moved]], nodes[moved]
+
+
+def _spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that span what ``near`` (left x right) links: themselves if they are few, else a star a component."""
+    if np.count_nonzero(near) <= len(left) + len(right):
+        i, j = np.nonzero(near)
+        yield left[i], right[j]
+        return
+    todo = near.any(1)
+    while todo.any():
+        rows, columns, front = np.zeros(len(left), bool), np.zeros(len(right), bool), np.array([todo.argmax()])
+        while len(front):
+            rows[front] = True
+            found = near[front].any(0) & ~columns
+            columns |= found
+            front = np.flatnonzero(near[:, found].any(1) & ~rows)
+        ids = np.concatenate([left[rows], right[columns]])
+        yield np.full(len(ids), ids.min()), ids
+        todo &= ~rows
+
+
+def _blocks(x: np.ndarray, block: int) -> list[tuple[slice, np.ndarray, float]]:
+    """Slices of unit vectors with a centre and the largest angle to it."""
+    out = []
+    for at in range(0, len(x), block):
+        part = x[at : at + block]
+        mean = part.mean(0)
+        centre = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-9 else part[0]
+        out.append((slice(at, at + block), centre, float(np.arccos(np.clip(part @ centre, -1, 1)).max())))
+    return out
+
+
+def _near(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, threshold: float) -> np.ndarray:
+    """Which unit vectors of ``x`` and ``y`` have a cosine of ``threshold`` or more."""
+    slack = 1e-6 + 1.2e-7 * x.shape[1]  # above the rounding of single precision
+    cos = x32 @ y32.T
+    near = cos >= threshold + slack
+    i, j = np.nonzero(~near & (cos >= threshold - slack))
+    for k in range(0, len(i), 65536):
+        p, q = i[k : k + 65536], j[k : k + 65536]
+        near[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= threshold
+    return near
+
+
+def spanning_links(vectors: DataFrame, threshold: float, seed: int, part: int = 32768, block: int = 1024) -> DataFrame:
+    """``(a, b)``: links that span the components of all pairs of ``vectors(id, v)`` of cosine ``threshold`` or more."""
+    n = vectors.count()
+    parts = max(1, min(4, -(-n // 2048)), -(-n // part))
+    limit = float(np.arccos(threshold))
+    home, other = F.floor(F.col("rank") / max(1, -(-n // parts))), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    dealt = _ranked(_keys(vectors, seed)).select("id", "v", "rank", home.cast("int").alias("home"), other.alias("other"))
+    dealt = dealt.withColumn("lo", F.least("home", "other")).withColumn("hi", F.greatest("home", "other"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank")
-        out = []
-        for _, same in rows.groupby(["pass", rows["v"].map(len)], sort=True):
-            x, ids, own = _matrix(pa.array(same["v"])), same["id"].to_numpy(), (same["rank"] // block == same["block"]).to_numpy()
-            for k in range(1, min(window, len(x) - 1) + 1):
-                near = (np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold) & own[:-k]
-                if near.any():
-                    out.append(np.stack([ids[:-k][near], ids[k:][near]]))
-        a, b = np.concatenate(out, 1) if out else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b})
-
-    return blocks.groupBy("block").applyInPandas(compare, "a long, b long").distinct()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, same in rows.groupby(rows["v"].map(len), sort=True):
+            left, right = same[same["home"] == same["lo"]], same[same["home"] == same["hi"]]
+            if not len(left) or not len(right):
+                continue
+            one = same["lo"].iloc[0] == same["hi"].iloc[0]
+            x = _matrix(pa.array(left["v"]))
+            y = x if one else _matrix(pa.array(right["v"]))
+            x32, ids = x.astype(np.float32), left["id"].to_numpy()
+            y32, ids_2 = (x32, ids) if one else (y.astype(np.float32), right["id"].to_numpy())
+            own, others = _blocks(x, block), _blocks(y, block)
+            for p, centre, radius in own:
+                for q, centre_2, radius_2 in others:
+                    gap = float(np.arccos(np.clip(centre @ centre_2, -1, 1))) - radius - radius_2
+                    if (one and q.start < p.start) or gap > limit + 1e-6:
+                        continue
+                    near = _near(x[p], y[q], x32[p], y32[q], threshold)
+                    if one and p == q:
+                        np.fill_diagonal(near, False)
+                    for ends, ends_2 in _spanning(near, ids[p], ids_2[q]):
+                        a.append(ends)
+                        b.append(ends_2)
+        root, member = _forest(np.concatenate(a), np.concatenate(b))
+        return pd.DataFrame({"a": root, "b": member})
+
+    return dealt.groupBy("lo", "hi").applyInPandas(compare, "a long, b long").distinct()
 
 
 def exact_links(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
@@ -199,8 +272,6 @@ def near_duplicates(
     vector: str = "embedding",
     key: str = "vec_id",
     threshold: float = 0.9,
-    passes: int = 12,
-    window: int = 24,
     seed: int = 7,
 ) -> DataFrame:
     """Every row of ``vectors`` with ``n_links`` (other rows of cosine ``threshold`` or more), ``component_id`` (the
@@ -219,7 +290,7 @@ def near_duplicates(
     firsts = stored(firsts)
     distinct = plain.join(firsts.where("n > 0"), ["h1", "h2"]).where("id = rep").dropDuplicates(["id", "h1", "h2"])
     members = stored(_packed(distinct.select("id", "x")).join(firsts.select(F.col("rep").alias("id"), "n"), "id"))
-    groups = components(window_links(members.select("id", "v"), threshold, passes, window, seed))
+    groups = components(spanning_links(members.select("id", "v"), threshold, seed))
     heads = groups.select(F.col("component").alias("node"), "component").distinct()
     grouped = members.join(groups.union(heads), F.col("id") == F.col("node")).select("id", "n", "v", F.col("component").alias("group"))
     links = exact_links(stored(grouped), threshold)

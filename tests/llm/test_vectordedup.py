@@ -52,3 +52,29 @@ def test_exact_links_over_blocks(spark):
 
 def test_empty(spark):
     assert vectordedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def planted(n, pairs, cosine, dim=64, seed=11):
+    """Vectors a third of which share a cone of mutual cosine 0.75, with pairs of a given cosine in and out of it."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x[: n // 3] = x[: n // 3] / np.linalg.norm(x[: n // 3], axis=1, keepdims=True) * 0.5 + np.eye(dim)[0] * 0.75**0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    twins = np.r_[np.arange(pairs // 2), n // 3 + np.arange(pairs - pairs // 2)]
+    across = rng.standard_normal((pairs, dim))
+    across -= (across * x[twins]).sum(1, keepdims=True) * x[twins]
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    return np.concatenate([x, cosine * x[twins] + (1 - cosine**2) ** 0.5 * across])
+
+
+def test_no_link_is_lost_in_a_crowd(spark):
+    x = planted(6000, 300, 0.905)
+    x = x[np.random.default_rng(1).permutation(len(x))]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectordedup.near_duplicates(df).collect()}
+    label = np.arange(len(x))
+    while (new := np.array([min(label[k], label[near[k]].min(initial=label[k])) for k in range(len(x))])).tolist() != label.tolist():
+        label = new
+    assert near.sum() >= 600 and got == {i: (int(near[i].sum()), int(label[i])) for i in range(len(x))}
