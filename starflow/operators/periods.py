@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def periodogram_sql(source: str, engine: str = "spark", oversampling: float = 5, nyquist: float = 3, most: int = 200) -> str:
+def periodogram_sql(source: str, engine: str = "spark", oversampling: float = 5, nyquist: float = 3, most: int | None = None) -> str:
     """``power (lc_id, frequency, power)`` of ``(lc_id, seq, time, x, e)``.
 
     Frequencies are multiples of ``1 / (span * oversampling)``, half of ``oversampling * nyquist`` times the points of
-    the series but ``most`` at most. The power is the share of the weighted scatter that a sinusoid at that frequency explains.
+    the series, or ``most`` at most if given. The power is the share of the weighted scatter that a sinusoid at that frequency explains.
     """
     spread = "explode(sequence(1, cast({} AS INT)))" if engine == "spark" else "unnest(generate_series(1, cast({} AS INT)))"
-    grid = spread.format(f"least({most}, greatest(1, floor(0.5 * {oversampling} * {nyquist} * n)))")
+    whole = f"greatest(1, floor(0.5 * {oversampling} * {nyquist} * n))"
+    grid = spread.format(whole if most is None else f"least({most}, {whole})")
     return f"""
 heavy AS (SELECT *, CASE WHEN e > 0 THEN 1 / (e * e) ELSE 0e0 END AS w FROM {source}),
 means AS (SELECT lc_id, count(*) AS n, min(time) AS t0, max(time) - min(time) AS span, sum(w * x) / nullif(sum(w), 0) AS mu FROM heavy GROUP BY lc_id),

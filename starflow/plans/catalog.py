@@ -121,6 +121,16 @@ _NORM = f"{_FLUX}, norm AS (SELECT lc_id, seq, time, x, e FROM flux)"
 register("lc_periodogram", "flux", ("lc_id", "k"), ("frequency", "power"),
          lambda engine: f"{_NORM}, {periods.periodogram_sql('norm', engine, most=50)} SELECT lc_id, k, frequency, power FROM power")
 
+
+
+def lc_periodogram_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power of every series on its whole grid of frequencies; the SQL of ``lc_periodogram`` holds the first 50."""
+    text = f"WITH {_NORM}, {periods.periodogram_sql('norm')} SELECT lc_id, k, frequency, power FROM power"
+    return _shared(spark, sf_dir, text=text, view="flux", keys=("lc_id", "k"))
+
+
+QUERIES["lc_periodogram_full"] = lc_periodogram_full
+
 _TRIES = "tries AS (SELECT lc_id, seq, time, attempt, 19e0 AS baseline FROM lc_points CROSS JOIN (SELECT 0 AS attempt UNION ALL SELECT 1 UNION ALL SELECT 2) a)"
 
 

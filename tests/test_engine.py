@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starflow.operators import learn, matrix, periods, prepare, simulate
+from starflow.plans import catalog
 from starflow.sources import files
 from starflow.streaming import online
 
@@ -179,3 +180,22 @@ def test_stream(spark, tmp_path):
     query = online.extract_sessions(stream, lambda df, n: seen.extend(df.collect()), ["meanMag", "c3"]).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.series, round(r.meanMag * 1000)) for r in seen} <= {(lc, round((d + 2.5 + lc) / (d + 5 + lc) * 1000)) for lc in (1, 2) for d in (1, 2, 5)} and len(seen) >= 2
+
+
+def test_whole_frequency_grid(spark):
+    rng = np.random.default_rng(8)
+    t = np.sort(rng.uniform(0, 60, 120))
+    x = 2 + 0.5 * np.sin(2 * np.pi * t / 0.5) + rng.normal(0, 0.05, 120)
+    points = spark.createDataFrame([(1, k, float(a), float(b), 0.05) for k, (a, b) in enumerate(zip(t, x))], "lc_id long, seq long, time double, x double, e double")
+    power = spark.sql(f"WITH {periods.periodogram_sql('{p}')} SELECT * FROM power", p=points).cache()
+    rows = power.orderBy("k").collect()
+    assert [r.k for r in rows] == list(range(1, 901))
+    y = x - x.mean()
+    for r in rows[::90]:
+        waves = np.stack([np.cos(2 * np.pi * r.frequency * (t - t[0])), np.sin(2 * np.pi * r.frequency * (t - t[0]))], 1)
+        left = y - waves @ np.linalg.lstsq(waves, y, rcond=None)[0]
+        assert r.power == pytest.approx(1 - (left @ left) / (y @ y), abs=1e-9)
+    assert abs(periods.best_periods(power).first().period - 0.5) < 0.005
+    sizes = {r.user_id: r["count"] for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("user_id").count().collect()}
+    got = {r.lc_id: r["count"] for r in catalog.QUERIES["lc_periodogram_full"](spark, "/root/testdata/sf0.001").groupBy("lc_id").count().collect()}
+    assert got == {lc: int(7.5 * n) for lc, n in sizes.items()}
