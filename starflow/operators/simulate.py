@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starflow.session import cut
+
 
 @dataclass(frozen=True)
 class Draws:
@@ -129,10 +131,11 @@ erupted AS (SELECT DISTINCT lc_id, attempt FROM seen_in WHERE points >= {n1} AND
 CLASSES = ("VARIABLE", "CONSTANT", "CV", "LPV", "ML")
 
 
-def training_points(cadence: DataFrame, baseline: float | str = 19.0, seed: int = 1, attempts: int = 8, zp: float = 24.0) -> DataFrame:
+def training_points(cadence: DataFrame, baseline: float | str = 19.0, seed: int = 1, attempts: int = 100, zp: float = 24.0) -> DataFrame:
     """``(lc_id, seq, time, mag, magerr, class)``: each cadence ``(lc_id, seq, time)`` simulated once per class; ids are
     made distinct by class. CV and ML series are drawn up to ``attempts`` times, and the first that passes its quality test
-    counts; a cadence on which none passes has no series of that class."""
+    counts. Rounds of attempts, each twice as long as the last, are over the cadences that are still open; a ValueError names
+    those on which none passes."""
     spark, d = cadence.sparkSession, Draws("spark", seed)
     base = cadence.select("lc_id", "seq", F.col("time").cast("double").alias("time"))
 
@@ -151,12 +154,21 @@ def training_points(cadence: DataFrame, baseline: float | str = 19.0, seed: int
         ("CV", cataclysmic_sql("{src}", d), "erupting", cataclysmic_quality_sql("noisy", "outbursts"), "erupted"),
         ("ML", microlensing_sql("{src}", d), "lensed", microlensing_quality_sql("noisy"), "passing"),
     ):
-        numbers = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
-        tried = base.withColumn("attempt", numbers).withColumn("baseline", F.lit(baseline).cast("double"))
         text = f"""WITH {chain}, {noisy_sql(out, d, zp=zp)}, {test},
 best AS (SELECT lc_id, min(attempt) AS attempt FROM {keep} GROUP BY lc_id)
 SELECT n.lc_id, seq, time, noisy_mag AS mag, magerr FROM noisy n JOIN best b ON n.lc_id = b.lc_id AND n.attempt = b.attempt"""
-        parts.append((label, run(text, src=tried)))
+        left, start, size = base, 0, 4
+        while start < attempts:
+            numbers = F.explode(F.sequence(F.lit(start), F.lit(min(start + size, attempts) - 1)))
+            done = cut(run(text, src=left.withColumn("attempt", numbers).withColumn("baseline", F.lit(baseline).cast("double"))))
+            parts.append((label, done))
+            left = cut(left.join(done.select("lc_id").distinct(), "lc_id", "left_anti"))
+            if left.isEmpty():
+                break
+            start, size = start + size, 2 * size
+        if not left.isEmpty():
+            failed = left.select("lc_id").distinct()
+            raise ValueError(f"no {label} series passes in {attempts} attempts on {failed.count()} cadences, such as {[r.lc_id for r in failed.orderBy('lc_id').limit(5).collect()]}")
     out = None
     for label, part in parts:
         one = part.withColumn("class", F.lit(label)).withColumn("lc_id", F.col("lc_id") * len(CLASSES) + CLASSES.index(label))

@@ -152,7 +152,7 @@ register("sim_quality_cataclysmic", "flux", ("lc_id", "attempt", "passed"), (),
 
 def sim_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of simulated curves of five classes on the cadences of the events."""
-    points = cut(simulate.training_points(light_curves(spark, sf_dir, "flux"), attempts=4))
+    points = cut(simulate.training_points(light_curves(spark, sf_dir, "flux")))
     labels = points.groupBy("lc_id").agg(F.first("class").alias("label"))
     return extract(points, ["meanMag", "variance", "skewness", "stetsonJ", "amplitude"]).join(labels, "lc_id")
 

@@ -199,3 +199,12 @@ def test_whole_frequency_grid(spark):
     sizes = {r.user_id: r["count"] for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("user_id").count().collect()}
     got = {r.lc_id: r["count"] for r in catalog.QUERIES["lc_periodogram_full"](spark, "/root/testdata/sf0.001").groupBy("lc_id").count().collect()}
     assert got == {lc: int(7.5 * n) for lc, n in sizes.items()}
+
+
+def test_no_cadence_vanishes(spark):
+    cadence = spark.range(60).selectExpr("id AS lc_id", "explode(sequence(0, 79)) AS seq").selectExpr("lc_id", "cast(seq AS BIGINT) AS seq", "seq * 3D AS time")
+    points = simulate.training_points(cadence, seed=5)
+    counts = {r["class"]: r.n for r in points.groupBy("class").agg(F.countDistinct("lc_id").alias("n")).collect()}
+    assert counts == dict.fromkeys(simulate.CLASSES, 60)
+    with pytest.raises(ValueError, match="no CV series passes"):
+        simulate.training_points(cadence.where("seq < 3"), seed=5, attempts=6)
