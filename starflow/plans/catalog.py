@@ -255,8 +255,8 @@ def ml_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml_feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importances and decisions of a few trials against shuffled shadows."""
-    return learn.selection_table(spark, *learn.select_features(feature_matrix(spark, sf_dir), COLUMNS, trials=3, trees=5))
+    """Importances and decisions of the trials against shuffled shadows."""
+    return learn.selection_table(spark, *learn.select_features(feature_matrix(spark, sf_dir), COLUMNS))
 
 
 def lc_window_moments(spark: SparkSession, sf_dir: str) -> DataFrame:

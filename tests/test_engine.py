@@ -208,3 +208,13 @@ def test_no_cadence_vanishes(spark):
     assert counts == dict.fromkeys(simulate.CLASSES, 60)
     with pytest.raises(ValueError, match="no CV series passes"):
         simulate.training_points(cadence.where("seq < 3"), seed=5, attempts=6)
+
+
+def test_registered_selection_decides(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[i % 2], *map(float, rng.normal(size=8) + np.eye(8)[0] * 3 * (i % 2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, label string, " + ", ".join(f"{c} double" for c in catalog.COLUMNS)).cache()
+    monkeypatch.setattr(catalog, "feature_matrix", lambda *_: df)
+    decided = {r.feature: r.decision for r in catalog.ml_feature_selection(spark, "").collect()}
+    assert decided["c0"] == "accepted"
+    assert "rejected" in [decided[c] for c in catalog.COLUMNS[1:]] and "accepted" not in [decided[c] for c in catalog.COLUMNS[1:]]
