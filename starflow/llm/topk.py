@@ -1,13 +1,14 @@
-"""Exact top-k search by inner product without random access to scores.
+"""Exact top-k search by inner product with sequential reads of sorted lists and bounds, without random access.
 
-Candidates are held in blocks. A block has one list per dimension, sorted by component; a query reads a dimension's
-list from the end at which its own component makes the products largest. After each further depth, a vector's score
-lies between what is known of it plus the smallest, and plus the last read, product of each list in which it was not
-met yet. Vectors whose upper bound is below the k-th largest lower bound are out; when few are left (those never met
-included), or the lists are read to the end, the scores of the rest are resolved.
+Candidates are held in blocks. A block has one list per dimension, sorted by component, made once and stored. Lists are
+read step by step from both ends, so that what is unread of a dimension lies between the two components read last.
+After each step a vector's score lies between what is known of it plus the smallest, and plus the largest, that each
+of its unread components can add. A query's border is its k-th largest lower bound, or the k-th best score of the
+blocks before, if larger; vectors whose upper bound is below it are out. Reading stops when every query has few vectors
+left that could qualify, or at the end of the lists; what is left is resolved by reading on, into these vectors only.
 
-Blocks of candidates meet blocks of queries by an equality join on the query block's number, the stated query set
-against all rows. Each pair of blocks returns at most k rows a query, and Spark keeps the best k of them.
+Blocks meet queries in cells (block of queries, stripe of candidate blocks) of bounded size: the stated query set
+against all rows. A cell returns at most k rows a query, and Spark keeps the best k of them.
 """
 
 from __future__ import annotations
@@ -17,12 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starflow.llm.common import stored
 
-DEPTHS = (0.25, 0.5, 1.0)  # of a list, after which the bounds are compared
+STEPS = (1 / 8, 3 / 16, 1 / 4, 9 / 32, 5 / 16, 11 / 32, 3 / 8, 13 / 32, 7 / 16, 15 / 32, 1 / 2)  # of a list, from each end
+FEW = 4  # times k: how many vectors a query may have left when reading stops
+AT_ONCE = 256  # queries that share a read of a block's lists
+STRIPE = 8  # blocks a cell holds, at most, where there are enough cells for all cores
+EXACT = 2.0**53  # up to here doubles hold the integers
 
 
 def _usable(vector: str):
@@ -36,16 +42,150 @@ def _scaled(vectors: DataFrame, vector: str, key: str, scale: int) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("x"))
 
 
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """``(ids, xs, dim)``: up to ``size`` vectors of one length a row, packed; a task's rows in the order they come."""
+class Lists:
+    """The sorted lists of one block of integer vectors: ``order[d]`` and ``values[d]``, by rising component."""
+
+    def __init__(self, ids: np.ndarray, order: np.ndarray, values: np.ndarray):
+        self.ids, self.order, self.values = ids, order, values
+
+    @classmethod
+    def of(cls, ids: np.ndarray, xs: np.ndarray) -> Lists:
+        order = np.argsort(xs, axis=0, kind="stable").T
+        values = np.take_along_axis(xs.T, order, 1)
+        size = next(t for t in (np.int16, np.int32, np.int64) if np.abs(values).max(initial=0) <= np.iinfo(t).max)
+        return cls(ids, order.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), values.astype(size))
+
+
+class Reader:
+    """A pass over the lists of a block: what is read of each vector."""
+
+    def __init__(self, lists: Lists):
+        self.lists, self.at, self.n = lists, 0, len(lists.ids)
+        dims = len(lists.order)
+        self.known, self.unread = np.zeros((self.n, dims)), np.ones((self.n, dims))
+        self.column = np.arange(dims)[:, None]
+
+    def read(self, to: int) -> None:
+        """Go on to ``to`` entries from each end of every list."""
+        low = min(to, self.n - self.at)
+        for part in (slice(self.at, low), slice(max(low, self.n - to), self.n - self.at)):
+            rows = self.lists.order[:, part]
+            self.known[rows, self.column] = self.lists.values[:, part]
+            self.unread[rows, self.column] = 0
+        self.at = min(to, self.n)
+
+    @property
+    def ended(self) -> bool:
+        return 2 * self.at >= self.n
+
+    def bounds(self, qs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the most that an unread component of each dimension adds to each query's score."""
+        if self.ended:
+            return np.zeros(qs.shape), np.zeros(qs.shape)
+        ends = qs * self.lists.values[:, self.at], qs * self.lists.values[:, self.n - 1 - self.at]
+        return np.minimum(*ends), np.maximum(*ends)
+
+
+def _kth(values: np.ndarray, group: np.ndarray, groups: int, k: int) -> np.ndarray:
+    """The k-th largest value of each group, minus infinity where there are fewer."""
+    order = np.lexsort((-values, group))
+    first = np.searchsorted(group[order], np.arange(groups))
+    at = first + k - 1
+    ok = at < np.append(first[1:], len(group))
+    out = np.full(groups, -np.inf)
+    out[ok] = values[order][at[ok]]
+    return out
+
+
+def _paired(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i))
+    for lo in range(0, len(i), 1 << 14):
+        s = slice(lo, lo + (1 << 14))
+        out[s] = np.einsum("ij,ij->i", a[i[s]], b[j[s]])
+    return out
+
+
+def best(lists: Lists, own: np.ndarray, qs: np.ndarray, k: int, border: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``(row, query, score)`` of all candidates of a block that may be among the k best of a query, none of the query's
+    ``own`` id, scores exact; and the share of the lists that was read before the bounds left few.
+
+    ``border``: a score that k other candidates of each query are known to reach."""
+    reader, n, m = Reader(lists), len(lists.ids), len(qs)
+    mine = lists.ids[:, None] == own[None, :]
+    qs, border = qs.astype(float), border.copy()
+    rows = cols = None  # pairs that are left, once they are a small share
+    for step in STEPS:
+        reader.read(-(-n // 2) if step == STEPS[-1] else max(1, int(n * step)))
+        least, most = reader.bounds(qs)
+        if rows is None:
+            known = reader.known @ qs.T
+            lower, upper = known + reader.unread @ least.T, known + reader.unread @ most.T
+            lower[mine] = upper[mine] = -np.inf
+            if n > k:
+                border = np.maximum(border, np.partition(lower, n - k, axis=0)[n - k])
+            left = (upper >= border) & ~mine
+            if np.count_nonzero(left) <= left.size // 8 or reader.ended:
+                rows, cols = np.nonzero(left)
+        else:
+            known = _paired(reader.known, rows, qs, cols)
+            border = np.maximum(border, _kth(known + _paired(reader.unread, rows, least, cols), cols, m, k))
+            left = known + _paired(reader.unread, rows, most, cols) >= border[cols]
+            rows, cols = rows[left], cols[left]
+        if reader.ended or (rows is not None and np.bincount(cols, minlength=m).max(initial=0) <= FEW * k):
+            break
+    share = min(1.0, 2 * reader.at / n)
+    reader.read(-(-n // 2))
+    return rows, cols, _paired(reader.known, rows, qs, cols), share
+
+
+def _large(lists: Lists, qs: np.ndarray) -> bool:
+    """Whether scores may pass what doubles hold exactly."""
+    return float(np.abs(lists.values.astype(float)).max(initial=0)) * float(np.abs(qs.astype(float)).sum(1).max(initial=0)) >= EXACT
+
+
+def _exact(lists: Lists, own: np.ndarray, qs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All scores of a block in whole numbers of any size, cut off at what a long holds: for components whose bounds
+    doubles can't tell apart."""
+    xs = np.empty(lists.values.shape[::-1], object)
+    np.put_along_axis(xs, lists.order.T.astype(np.int64), lists.values.T.astype(object), 0)
+    rows, cols = np.nonzero(lists.ids[:, None] != own[None, :])
+    scores = (xs @ qs.T.astype(object))[rows, cols]
+    limit = (1 << 63) - 1
+    return rows, cols, np.array([max(-limit - 1, min(limit, int(s))) for s in scores], np.int64)
+
+
+def search(blocks: list[Lists], own: np.ndarray, qs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query number, id, score)`` of the k best of each query over all blocks, ties to the smaller id."""
+    border, found = np.full(len(qs), -np.inf), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for lists in blocks:
+        if _large(lists, qs):
+            rows, cols, scores = _exact(lists, own, qs)
+        else:
+            rows, cols, scores, _ = best(lists, own, qs, k, border)
+        q, ids, s = (np.concatenate(p) for p in zip(found, (cols, lists.ids[rows], scores.astype(np.int64)), strict=True))
+        order = np.lexsort((ids, -s, q))
+        place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+        order = order[place < k]
+        found = q[order], ids[order], s[order]
+        border = np.maximum(border, _kth(found[2].astype(float), found[0], len(qs), k))
+    return found
+
+
+def build_lists(vectors: DataFrame, size: int) -> DataFrame:
+    """``(block, dim, ids, orders, vals, bytes)``: sorted lists of up to ``size`` vectors of one length a row, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, tuple[list[int], list[list[int]]]] = {}
+        number, part = 0, TaskContext.get().partitionId()
 
         def row(dim: int) -> pa.RecordBatch:
+            nonlocal number
             ids, xs = waiting.pop(dim)
-            packed = [np.array(ids, np.int64).tobytes(), np.array(xs, np.int64).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([packed[0]]), pa.array([packed[1]]), pa.array([dim])], names=["ids", "xs", "dim"])
+            lists, number = Lists.of(np.array(ids, np.int64), np.array(xs, np.int64).reshape(len(ids), dim)), number + 1
+            packed = [pa.array([x.tobytes()]) for x in (lists.ids, lists.order, lists.values)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | number]), pa.array([dim]), *packed, pa.array([lists.values.itemsize])], names=["block", "dim", "ids", "orders", "vals", "bytes"]
+            )
 
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -57,81 +197,50 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
         for dim in list(waiting):
             yield row(dim)
 
-    return vectors.mapInArrow(run, "ids binary, xs binary, dim long")
+    return vectors.where(F.size("x") > 0).mapInArrow(run, "block long, dim long, ids binary, orders binary, vals binary, bytes long")
 
 
-class Lists:
-    """The sorted lists of one block of integer vectors."""
-
-    def __init__(self, ids: np.ndarray, xs: np.ndarray):
-        self.ids, self.xs = ids, xs
-        self.order = np.argsort(xs, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(xs.T, self.order, 1)
-
-    def best(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of a superset of the k best candidates but those of id ``own``, all scores exact."""
-        n, rows = len(self.ids), np.flatnonzero(self.ids != own)
-        if len(rows) <= k or not q.any():
-            return self.ids[rows], self.xs[rows] @ q
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        floor = np.concatenate([self.values[up, 0] * q[up], self.values[down, -1] * q[down]])
-        for depth in DEPTHS:
-            t = max(1, int(n * depth))
-            if t >= n:
-                break
-            met = np.concatenate([self.order[up, n - t :], self.order[down, :t]])
-            products = np.concatenate([self.values[up, n - t :] * q[up, None], self.values[down, :t] * q[down, None]])
-            last = np.concatenate([products[: len(up), 0], products[len(up) :, -1]])
-            at = met.ravel()
-            known = np.bincount(at, products.ravel(), n)
-            upper = known + last.sum() - np.bincount(at, np.repeat(last, t), n)
-            lower = known + floor.sum() - np.bincount(at, np.repeat(floor, t), n)
-            border = np.partition(lower[rows], len(rows) - k)[len(rows) - k]
-            left = rows[upper[rows] >= border]
-            if len(left) <= max(4 * k, n // 64):
-                rows = left
-                break
-        return self.ids[rows], self.xs[rows] @ q
+def _unpacked(row) -> Lists:
+    ids = np.frombuffer(row.ids, np.int64)
+    order = np.frombuffer(row.orders, np.uint16 if len(ids) <= 1 << 16 else np.uint32).reshape(row.dim, -1)
+    return Lists(ids, order, np.frombuffer(row.vals, f"<i{row.bytes}").reshape(row.dim, -1))
 
 
 def top_k(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", scale: int = 256, block: int = 4096, query_block: int = 512
+    vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", scale: int = 256, block: int = 4096, query_block: int = 4096
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` rows of ``vectors`` with the highest integer inner
     product (all, if fewer), but those of its own key; ties go to the smaller key.
 
-    Components are taken as ``floor(scale * x)``. Vectors that are null or hold a null or non-finite component, and
-    rows without a key, take no part; vectors of another length than the query's are no candidates. Repeated query
-    keys are answered once for each distinct vector they have; repeated candidate rows count each.
+    Components are taken as ``floor(scale * x)``. Vectors that are null, empty or hold a null or non-finite component,
+    and rows without a key, take no part; vectors of another length than the query's are no candidates. Repeated query
+    keys are answered once, with the best of what their distinct vectors find; repeated candidate rows count each, and
+    equal rows of one key take a rank each. Scores beyond a long are cut off at its ends. Further columns are ignored.
+    No queries, or no other rows, give no rows.
     """
+    rows = _scaled(vectors, vector, key, scale)
     asked = stored(_scaled(queries, vector, key, scale).distinct())
-    count = max(1, -(-asked.count() // query_block))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [
-            (rows["q"].iloc[0], same["id"].to_numpy(np.int64).tobytes(), np.array(same["x"].tolist(), np.int64).tobytes(), int(dim))
-            for dim, same in rows.groupby(rows["x"].map(len))
-        ]
-        return pd.DataFrame(out, columns=["q", "q_ids", "q_xs", "dim"])
-
-    grouped = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(count)))
-    packed = grouped.groupBy("q").applyInPandas(pack, "q long, q_ids binary, q_xs binary, dim long")
-    lists = _blocks(_scaled(vectors, vector, key, scale), block).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, xs, q_ids, q_xs, dim in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if not dim:
-                    continue
-                lists = Lists(np.frombuffer(ids, np.int64), np.frombuffer(xs, np.int64).reshape(-1, dim))
-                parts = []
-                for own, q in zip(np.frombuffer(q_ids, np.int64), np.frombuffer(q_xs, np.int64).reshape(-1, dim), strict=True):
-                    found, scores = lists.best(own, q, k)
-                    best = np.lexsort((found, -scores))[:k]
-                    parts.append(np.stack([np.full(len(best), own), found[best], scores[best]]))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(parts, 1)], names=["query_id", "vec_id", "score"])
-
-    found = lists.join(packed, ["q", "dim"]).select("ids", "xs", "q_ids", "q_xs", "dim").mapInArrow(search, "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    n, m = rows.count(), asked.count()
+    blocks, groups = max(1, -(-n // block)), max(1, -(-m // query_block))
+    stripes = min(blocks, max(-(-blocks // STRIPE), -(-spark.sparkContext.defaultParallelism // groups)))
+    lists = stored(build_lists(rows.repartition(blocks, F.xxhash64("id", "x")), block))
+    numbers = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    held = lists.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(stripes))).withColumn("q", numbers(groups))
+    posed = asked.select("id", "x", F.size("x").cast("long").alias("dim"), F.pmod(F.xxhash64("id", "x"), F.lit(groups)).alias("q")).withColumn("stripe", numbers(stripes))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((3, 0), np.int64)]
+        if len(left) and len(right):
+            blocks = [_unpacked(r) for r in left.sort_values("block").itertuples()]
+            for lo in range(0, len(right), AT_ONCE):
+                own, qs = right["id"].to_numpy(np.int64)[lo : lo + AT_ONCE], np.array(right["x"].iloc[lo : lo + AT_ONCE].tolist(), np.int64)
+                q, ids, scores = search(blocks, own, qs, k)
+                out.append(np.stack([own[q], ids, scores]))
+        return pd.DataFrame(np.concatenate(out, 1).T, columns=["query_id", "vec_id", "score"])
+
+    keys, cells = ("q", "stripe", "dim"), groups * stripes
+    spread = lambda df: df.repartition(cells, *keys).groupBy(*keys)
+    found = spread(held).cogroup(spread(posed)).applyInPandas(cell, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
