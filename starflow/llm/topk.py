@@ -151,7 +151,7 @@ def _exact(lists: Lists, own: np.ndarray, qs: np.ndarray) -> tuple[np.ndarray, n
     rows, cols = np.nonzero(lists.ids[:, None] != own[None, :])
     scores = (xs @ qs.T.astype(object))[rows, cols]
     limit = (1 << 63) - 1
-    return rows, cols, np.array([max(-limit - 1, min(limit, int(s))) for s in scores], np.int64)
+    return rows, cols, np.array([max(-limit, min(limit, int(s))) for s in scores], np.int64)
 
 
 def search(blocks: list[Lists], own: np.ndarray, qs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
