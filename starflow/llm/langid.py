@@ -3,7 +3,8 @@
 Every language has a probability for each piece of one fixed public vocabulary. The probability of a run of letters is
 the sum, over all ways to cut it into pieces, of the product of the piece probabilities; a forward pass computes it:
 ``alpha[i] = sum over pieces ending at i of alpha[i - len] * p(piece)``. A text scores the sum of the logarithms over
-its runs, and the posterior under equal priors is its score.
+its runs, and the posterior under equal priors is its score. Runs of any length are summed in one pass: the alphas are
+divided by the last of them as often as the longest piece is long, and the logarithms of the divisors are added.
 
 Texts are never shuffled: training sends sums by (language, piece) only, and the model (pieces x languages, bounded by
 the vocabulary) goes to the tasks once. The forward pass runs over whole arrays of distinct words; a worker keeps the
@@ -12,7 +13,7 @@ scores of the words it has met, up to a bound in words.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,70 +29,77 @@ from starflow.llm.common import grown, without
 
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"  # how the vocabulary marks the start of a word
-STRETCH = 24  # characters per forward pass; longer runs are cut into stretches of this length
 WORDS_KEPT = 300_000  # words whose scores a worker keeps
 TEXTS_AT_ONCE = 512
-PRIME = np.uint64(0x100000001B3)
+CELLS = 1 << 18  # characters that are looked up at once
+BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-def vocabulary(path: str | None = None, longest: int = 8) -> list[str]:
-    """Pieces of letters of a public sentencepiece model, lower-cased, of at most ``longest`` characters."""
+def vocabulary(path: str | None = None) -> list[str]:
+    """All pieces of letters of a public sentencepiece model, lower-cased, and the first letter of each."""
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    pieces = {p for p in pieces if LETTERS.fullmatch(p.removeprefix(START)) and len(p) <= longest}
+    pieces = {p for p in pieces if LETTERS.fullmatch(p.removeprefix(START))}
     return sorted(pieces | {p.removeprefix(START)[:1] for p in pieces})
 
 
-def _hashes(codes: np.ndarray) -> np.ndarray:
-    """One 64-bit value for each row of code points, of any width; the width is part of it."""
-    h = np.full(codes.shape[0], codes.shape[1] + 0x9E3779B9, np.uint64)
-    for k in range(codes.shape[1]):
-        h = (h ^ codes[:, k].astype(np.uint64)) * PRIME
-        h ^= h >> np.uint64(29)
-    return h
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of a number, modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 class Pieces:
-    """Finds every vocabulary piece inside arrays of words."""
+    """Finds every vocabulary piece inside arrays of runs, by a polynomial hash of each stretch of characters."""
 
     def __init__(self, pieces: list[str]):
-        self.longest = max(map(len, pieces), default=1)
         keys = np.zeros(len(pieces), np.uint64)
         by_length: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             by_length.setdefault(len(p), []).append(i)
         for n, ids in by_length.items():
-            keys[ids] = _hashes(np.array([[*map(ord, pieces[i])] for i in ids], np.uint32))
-        self.index = pd.Index(keys)
-        self.lengths = sorted(by_length)
-
-    def find(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """(end, length) -> piece number of each row, -1 where there is none. ``codes``: rows of one width."""
-        width = codes.shape[1]
-        return {
-            (end, n): self.index.get_indexer(_hashes(codes[:, end - n : end]))
-            for end in range(1, width + 1)
-            for n in self.lengths
-            if n <= end
-        }
-
-
-def _stretches(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(owners, code points) by width: every run of letters of each word, its start marked, in stretches."""
+            codes = np.array([[*map(ord, pieces[i])] for i in ids], np.uint64)
+            keys[ids] = (codes * _powers(BASE, n)).sum(1, dtype=np.uint64)
+        self.index, self.lengths = pd.Index(keys), sorted(by_length)
+        self.longest = max(by_length, default=1)
+
+    def find(self, codes: np.ndarray) -> Iterator[tuple[int, dict[int, np.ndarray]]]:
+        """``(first end, found)`` by chunks of columns, ``found[n][row, k]`` the number of the piece of n characters that
+        ends at ``first end + k``, -1 where there is none. ``codes``: rows of one width."""
+        rows, width = codes.shape
+        sums = np.zeros((rows, width + 1), np.uint64)
+        np.cumsum(codes * _powers(BASE, width), 1, out=sums[:, 1:])
+        back = _powers(INVERSE, width + 1)
+        step = max(self.longest, CELLS // max(rows, 1))
+        for first in range(1, width + 1, step):
+            last, found = min(width, first + step - 1), {}
+            for n in self.lengths:
+                lo = max(first, n)
+                if lo <= last:
+                    keys = (sums[:, lo : last + 1] - sums[:, lo - n : last + 1 - n]) * back[lo - n : last + 1 - n]
+                    found[n] = np.full((rows, last + 1 - first), -1, np.int64)
+                    found[n][:, lo - first :] = self.index.get_indexer(keys.ravel()).reshape(keys.shape)
+            yield first, found
+
+
+def _runs(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(owners, code points) by width: every run of letters of each word, its start marked, so many at once."""
     by_width: dict[int, tuple[list[int], list[str]]] = {}
     for owner, word in enumerate(words):
         for run in LETTERS.findall(word):
-            run = START + run
-            for lo in range(0, len(run), STRETCH):
-                owners, parts = by_width.setdefault(len(part := run[lo : lo + STRETCH]), ([], []))
-                owners.append(owner)
-                parts.append(part)
+            owners, parts = by_width.setdefault(len(run) + 1, ([], []))
+            owners.append(owner)
+            parts.append(START + run)
     for width, (owners, parts) in by_width.items():
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(-1, width)
-        yield np.array(owners), codes
+        size = max(1, CELLS // width)
+        for lo in range(0, len(parts), size):
+            joined = "".join(parts[lo : lo + size]).encode("utf-32-le", "surrogatepass")
+            yield np.array(owners[lo : lo + size]), np.frombuffer(joined, np.uint32).reshape(-1, width)
 
 
 @dataclass
@@ -120,17 +128,24 @@ class Scorer:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, summed over all segmentations."""
-        out = np.zeros((len(words), len(self.model.languages)))
-        for owners, codes in _stretches(words):
-            found = self.pieces.find(codes)
-            alpha = [np.ones((len(owners), len(self.model.languages)))]
-            for end in range(1, codes.shape[1] + 1):
-                total = alpha[end - 1] * self.model.unknown
-                for n in self.pieces.lengths:
-                    if n <= end and (hit := found[end, n] >= 0).any():
-                        total[hit] += alpha[end - n][hit] * self.model.probs[found[end, n][hit]]
-                alpha.append(total)
-            np.add.at(out, owners, np.log(alpha[-1]))
+        k, longest = len(self.model.languages), self.pieces.longest
+        out = np.zeros((len(words), k))
+        for owners, codes in _runs(words):
+            past = deque([np.ones((len(owners), k))], longest)  # of the last positions, the nearest first
+            logs = np.zeros((len(owners), k))
+            for first, found in self.pieces.find(codes):
+                some = {n: (ids >= 0).any(0).tolist() for n, ids in found.items()}
+                for at in range(len(next(iter(some.values())))):
+                    total = past[0] * self.model.unknown
+                    for n, ids in found.items():
+                        if some[n][at]:
+                            hit = ids[:, at] >= 0
+                            total[hit] += past[n - 1][hit] * self.model.probs[ids[hit, at]]
+                    past.appendleft(total)
+                    if (first + at) % longest == 0:  # alphas stay near 1, whatever the length of a run
+                        logs += np.log(total)
+                        past = deque([a / total for a in past], longest)
+            np.add.at(out, owners, logs + np.log(past[0]))
         return out
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -182,7 +197,6 @@ def fit(
     key: str = "doc_id",
     vocabulary_path: str | None = None,
     sample_per_language: int = 4000,
-    longest_piece: int = 8,
     smoothing: float = 0.5,
 ) -> LanguageModel:
     """Learn the piece probabilities of each language from labelled texts.
@@ -191,17 +205,18 @@ def fit(
     hash of ``key``). A piece's probability is its smoothed share of all occurrences of pieces in the language's words.
     Rows without text or label are left out; no rows give a model without languages, which calls every text ``und``.
     """
-    pieces = vocabulary(vocabulary_path, longest_piece)
+    pieces = vocabulary(vocabulary_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, sums, waiting = Pieces(pieces), {}, {}
 
         def add(language: str, words: Counter) -> None:
             seen, times = sums.setdefault(language, np.zeros(len(pieces))), np.fromiter(words.values(), np.int64)
-            for owners, codes in _stretches(list(words)):
-                for ids in finder.find(codes).values():
-                    hit = ids >= 0
-                    seen += np.bincount(ids[hit], times[owners[hit]], len(pieces))
+            for owners, codes in _runs(list(words)):
+                for _, found in finder.find(codes):
+                    for ids in found.values():
+                        rows, ends = np.nonzero(ids >= 0)
+                        seen += np.bincount(ids[rows, ends], times[owners[rows]], len(pieces))
             words.clear()
 
         for batch in batches:

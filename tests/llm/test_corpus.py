@@ -1,6 +1,8 @@
 """Language identification, line dedup, mixing and the pipeline."""
 
+import math
 import re
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -18,31 +20,66 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").cache()
 
 
+def all_cuts(run):
+    """All ways to cut a run, one list of parts after the other."""
+    if not run:
+        yield []
+    for n in range(1, len(run) + 1):
+        for rest in all_cuts(run[n:]):
+            yield [run[:n], *rest]
+
+
 def slow_log_probability(word, model, k):
-    """All segmentations of a run, by recursion over its prefixes, in stretches as the model defines them."""
+    """The sum over all segmentations of each run, written out; a character outside the pieces is a part of its own."""
     total = 0.0
     for run in re.findall(r"[^\W\d_]+", word):
-        run = langid.START + run
-        for lo in range(0, len(run), langid.STRETCH):
-            part = run[lo : lo + langid.STRETCH]
-            alpha = [1.0]
-            for end in range(1, len(part) + 1):
-                s = alpha[end - 1] * model.unknown
-                for n in range(1, end + 1):
-                    if part[end - n : end] in model.pieces:
-                        s += alpha[end - n] * model.probs[model.pieces.index(part[end - n : end]), k]
-                alpha.append(s)
-            total += np.log(alpha[-1])
+        ways = 0.0
+        for cut in all_cuts(langid.START + run):
+            p = 1.0
+            for part in cut:
+                own = model.probs[model.pieces.index(part), k] if part in model.pieces else 0.0
+                p *= own + (model.unknown if len(part) == 1 else 0.0)
+            ways += p
+        total += np.log(ways)
     return total
 
 
+def toy_model():
+    pieces = ["a", "ab", "b", "ba", "aba", langid.START + "a", langid.START, "é", "éa", "abababababab"]
+    return langid.LanguageModel(pieces, ["x", "y"], np.random.default_rng(0).dirichlet(np.ones(len(pieces)), 2).T)
+
+
 def test_forward_sums_all_segmentations():
-    rng = np.random.default_rng(0)
-    pieces = ["a", "ab", "b", "ba", "aba", langid.START + "a", langid.START, "é", "éa"]
-    model = langid.LanguageModel(pieces, ["x", "y"], rng.dirichlet(np.ones(len(pieces)), 2).T)
-    words = ["abab", "a", "éab", "b-a", "q", "ab" * 40, "12", "ba."]
+    model = toy_model()
+    words = ["abab", "a", "éab", "b-a", "q", "abababababab", "aqbabababa", "12", "ba."]
     got = model.scorer().words(words)
-    assert np.allclose(got, [[slow_log_probability(w, model, k) for k in (0, 1)] for w in words])
+    assert np.allclose(got, [[slow_log_probability(w, model, k) for k in (0, 1)] for w in words], rtol=1e-12)
+
+
+@pytest.mark.parametrize("cells", [langid.CELLS, 64])
+def test_forward_over_very_long_runs(cells, monkeypatch):
+    """One pass over a run of any length, against exact fractions."""
+    monkeypatch.setattr(langid, "CELLS", cells)
+    model = toy_model()
+    run = langid.START + "abaqé" * 60 + "ab" * 700
+    for k in (0, 1):
+        alpha = [Fraction(1)]
+        probs = {p: Fraction(float(model.probs[i, k])) for i, p in enumerate(model.pieces)}
+        for end in range(1, 401):
+            ways = alpha[end - 1] * Fraction(model.unknown)
+            alpha.append(ways + sum(alpha[end - n] * probs.get(run[end - n : end], 0) for n in range(1, min(end, 12) + 1)))
+        exact = math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+        assert model.scorer().words([run[1:400]])[0, k] == pytest.approx(exact, rel=1e-12)
+    assert np.isfinite(model.scorer().words([run[1:], "ab" * 50_000])).all()
+
+
+def test_vocabulary_is_whole():
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters = {p for i in range(model.get_piece_size()) if langid.LETTERS.fullmatch((p := model.id_to_piece(i).lower()).removeprefix(langid.START))}
+    assert letters <= set(langid.vocabulary()) and max(map(len, letters)) > 8
 
 
 def test_language_of_held_out_documents(spark, docs):
