@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from starflow.session import checkpoint_dir, cut, table
 
-__all__ = ["ASCII_LOWER", "SPACE", "WORD", "checkpoint_dir", "cut", "stored", "table", "without"]
+__all__ = ["ASCII_LOWER", "SPACE", "WORD", "checkpoint_dir", "cut", "delete_path", "grown", "scratch", "stored", "table", "without"]
 
 #: ASCII white space, as every contract here defines it; ``bytes.split()`` splits at the same six characters.
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,13 +20,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
+_scratch: dict[tuple[str, str], str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder in the shared folder, made once and removed when the application ends."""
+    base = checkpoint_dir(spark).rstrip("/")
+    owner = (spark.sparkContext.applicationId, base)
+    if owner not in _scratch:
+        path = f"{base}/{uuid.uuid4().hex}"
+        files, where = _files(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _scratch[owner] = path
+    return _scratch[owner]
+
+
 def stored(df: DataFrame, *sort: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: a cut of the lineage that keeps columns apart.
 
     With ``sort``, each file is sorted by these columns.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     if sort:
         df = df.sortWithinPartitions(*sort)
     df.write.option("compression", codec).parquet(path)
@@ -42,12 +69,3 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
 def grown(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     """The schema of ``df`` with further fields."""
     return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in fields]])
-
-
-def empty_text(column: str = "text"):
-    """The text, with null as the empty string."""
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def settings(spark: SparkSession, name: str, default: str) -> str:
-    return spark.conf.get(name, default)

@@ -1,105 +1,121 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame and SQL functions only.
 
-A run is an immutable table ``(h1, h2, n_docs, max_doc)``, sorted by the hash pair: how many documents of some batches
-hold a line, and the largest of them. ``LineRuns.add`` appends the run of a new batch at level 0; when a level holds
-``fanout`` runs they are merged into one run of the next level, so that ``b`` batches leave at most
-``fanout * log(b)`` runs and each line hash is rewritten ``log(b)`` times. ``LineRuns.drop`` merge-anti-joins documents
-with the runs.
-
-Only hash pairs (128 bits) of lines long enough are shuffled, once per distinct line of a document; counts and maxima
-are combined before the shuffle, so a line that every document holds costs one row a task. The text itself moves only
-in the last join, from documents to the lines they lose.
+A run is an immutable table ``(h1, h2, n_docs, max_doc, new)``, bucketed and sorted by the hash pair. A batch of
+documents is summed to one row a line, in how many documents it stands and in which largest one, and merge-anti-joined
+with the runs: lines that no run holds are new to the index, the others are further sightings of a known line. Both are
+the batch's own run; full levels are merged into one run of the next (``runs.Levels``). The lines that are dropped are
+the known ones with enough documents: a line of a single run that was never sighted again needs no look at other runs.
+
+Only hash pairs (128 bits) of lines long enough are shuffled; documents are counted before the shuffle, so a line that
+every document holds costs one row a task. Where lines are matched with the documents they leave, the few lines that
+hold a large share of all rows are broadcast, at most ``MOST_HOT`` of them, and all others meet by their hash. The text
+itself moves only in the last join, from documents to the places of the lines they lose.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starflow.llm.common import SPACE, stored, without
+from starflow.llm.common import SPACE, cut, stored, without
+from starflow.llm.runs import Levels
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MOST_HOT = 20_000  # lines that are broadcast, at most: those with over 1 / MOST_HOT of all rows each
+H = ("h1", "h2")
 
 
-def lines_of(text: str = "text"):
+def lines_of(text: str = "text") -> Column:
     """The lines of a text; null and empty texts have one empty line."""
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def line_key(line):
+def line_key(line: Column) -> Column:
     """A line without ASCII white space at its ends, A-Z lower-cased."""
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-def line_hash(line, shortest: int):
-    """The 128-bit hash of a line's key, or null where the key is shorter than ``shortest`` code points."""
-    key = line_key(line)
-    return F.when(
-        F.char_length(key) >= shortest,
-        F.struct(F.xxhash64(F.lit(1), key).alias("h1"), F.xxhash64(F.lit(2), key).alias("h2")),
-    )
+def text_id(text: str) -> Column:
+    """Tells the rows of one key apart."""
+    return F.xxhash64(F.lit(3), F.coalesce(F.col(text), F.lit("")))
+
 
+class LineIndex:
+    """Runs of line hashes. ``copies``: a line found in at least so many documents is dropped from all but the largest."""
 
-@dataclass
-class LineRuns:
-    """The runs so far. ``copies``: a line found in at least so many documents is dropped from all but the largest."""
+    def __init__(self, spark, shortest: int = 20, copies: int = 3, fanout: int = 4):
+        self.shortest, self.copies = shortest, copies
+        self.levels = Levels(spark, H, fanout, self._merged)
 
-    shortest: int = 20
-    copies: int = 3
-    fanout: int = 4
-    levels: dict[int, list[DataFrame]] = field(default_factory=dict)
+    @staticmethod
+    def _merged(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*H).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("new").alias("new"))
 
     def keys(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-        """``(doc_id, h1, h2)``: one row per row of ``docs`` and distinct long line of it."""
-        hashes = F.array_distinct(F.array_compact(F.transform(lines_of(text), lambda x: line_hash(x, self.shortest))))
+        """``(doc_id, text_id, h1, h2, pos, first)``: one row per long line of each row of ``docs``; ``first`` marks the
+        first of equal lines in it."""
+        hashed = F.transform(
+            lines_of(text),
+            lambda line, pos: F.transform(
+                F.filter(F.array(line_key(line)), lambda k: F.char_length(k) >= self.shortest),
+                lambda k: F.struct(F.xxhash64(F.lit(1), k).alias("h1"), F.xxhash64(F.lit(2), k).alias("h2"), pos.alias("pos")),
+            ),
+        )
         rows = docs.where(F.col(key).isNotNull() & (F.char_length(text) >= self.shortest))
-        return rows.select(F.col(key).cast("long").alias("doc_id"), F.explode(hashes).alias("h")).select("doc_id", "h.h1", "h.h2")
+        rows = rows.select(F.col(key).cast("long").alias("doc_id"), text_id(text).alias("text_id"), F.flatten(hashed).alias("lines"))
+        repeats = F.size(F.array_distinct(F.transform("lines", lambda x: x["h1"]))) < F.size("lines")
+        rows = rows.withColumn("repeats", repeats).withColumn("lines", F.when(F.col("repeats"), F.sort_array("lines")).otherwise(F.col("lines")))
+        same = lambda x, y: (x["h1"] == y["h1"]) & (x["h2"] == y["h2"])
+        before = F.when(F.col("repeats"), F.concat(F.array(F.lit(None)), F.slice("lines", 1, F.size("lines") - 1)))
+        marked = F.when(~F.col("repeats"), F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"), F.lit(True).alias("first"))))
+        marked = marked.otherwise(
+            F.zip_with("lines", before, lambda x, y: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"), F.coalesce(~same(x, y), F.lit(True)).alias("first")))
+        )
+        return rows.select("doc_id", "text_id", F.explode(marked).alias("line")).select("doc_id", "text_id", "line.*")
 
     def add(self, keys: DataFrame) -> None:
-        """Add the run of a batch, given as ``keys()``, and compact the levels that are full."""
-        run = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        level = 0
-        self.levels.setdefault(0, []).append(stored(run, "h1", "h2"))
-        while len(self.levels[level]) >= self.fanout:
-            merged = self._merge(self.levels.pop(level))
-            level += 1
-            self.levels.setdefault(level, []).append(stored(merged, "h1", "h2"))
-
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.union(run)
-        return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-
-    def repeated(self) -> DataFrame | None:
-        """``(h1, h2, max_doc)`` of the lines that lose copies, over all runs; None where there is no run."""
-        runs = [run for level in self.levels.values() for run in level]
-        return self._merge(runs).where(F.col("n_docs") >= self.copies).select("h1", "h2", "max_doc") if runs else None
-
-    def drop(self, docs: DataFrame, keys: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-        """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``; ``keys`` are those of ``docs``."""
-        docs = without(docs, ("n_lines", "n_dropped", "kept_text"))
-        lost = (
-            keys.join(self.repeated(), ["h1", "h2"])
-            .where("max_doc > doc_id")
-            .groupBy(F.col("doc_id").alias("lost_doc_"))
-            .agg(F.collect_set(F.struct("h1", "h2")).alias("lost_"))
-        )
-        joined = docs.join(lost, F.col(key).cast("long") == F.col("lost_doc_"), "left")
-        lines = lines_of(text)
-        kept = F.when(F.col("lost_").isNull(), lines).otherwise(
-            F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lost_"), line_hash(x, self.shortest)), F.lit(False)))
-        )
-        return (
-            joined.withColumn("kept_lines_", kept)
-            .withColumn("n_lines", F.size(lines).cast("long"))
-            .withColumn("n_dropped", (F.size(lines) - F.size("kept_lines_")).cast("long"))
-            .withColumn("kept_text", F.array_join("kept_lines_", "\n"))
-            .drop("lost_doc_", "lost_", "kept_lines_")
-        )
+        """Merge-anti-join a batch, given as ``keys()``, with the runs, and add its own run."""
+        batch = keys.groupBy(*H).agg(F.sum(F.col("first").cast("long")).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        known = F.lit(False)
+        for k, run in enumerate(self.levels.runs()):
+            batch = batch.join(run.where("new").select(*H, F.lit(True).alias(f"in_{k}")), [*H], "left")
+            known = known | F.coalesce(F.col(f"in_{k}"), F.lit(False))
+        self.levels.add(self.levels.write(batch.select(*H, "n_docs", "max_doc", (~known).alias("new"))))
+
+    def repeated(self) -> DataFrame:
+        """``(h1, h2, n_docs, max_doc)`` of the lines that lose copies, over all runs."""
+        none = "SELECT 0L AS h1, 0L AS h2, 0L AS n_docs, 0L AS max_doc, true AS new WHERE false"
+        rows = self.levels.spark.sql(none)
+        for run in self.levels.runs():
+            rows = rows.union(run)
+        return self._merged(rows).where(F.col("n_docs") >= self.copies).drop("new")
+
+
+def lost_places(keys: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``(doc_id, text_id, places)``: the places of the lines that each row of the keys' documents loses."""
+    repeated = stored(repeated)
+    most = max(1, keys.count() // MOST_HOT)
+    hot = F.broadcast(repeated.where(F.col("n_docs") > most).select(*H, "max_doc"))
+    cold = repeated.where(F.col("n_docs") <= most).select(*H, "max_doc")
+    there = keys.select("doc_id", "text_id", *H, "pos")
+    hits = there.join(hot, [*H]).union(there.join(hot.select(*H), [*H], "left_anti").join(cold, [*H]))
+    return hits.where("max_doc > doc_id").groupBy("doc_id", "text_id").agg(F.collect_list("pos").alias("places"))
+
+
+def without_lines(docs: DataFrame, lost: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``, less the lines at the ``lost`` places."""
+    lost = lost.select(F.col("doc_id").alias("lost_doc_"), F.col("text_id").alias("lost_text_"), F.col("places").alias("lost_"))
+    joined = docs.join(lost, (F.col(key).cast("long") == F.col("lost_doc_")) & (text_id(text) == F.col("lost_text_")), "left")
+    lines = lines_of(text)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lost_")
+    kept = F.when(F.col("lost_").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
+    return (
+        joined.withColumn("kept_text", kept)
+        .withColumn("n_lines", F.size(lines).cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size(F.array_distinct("lost_")), F.lit(0)).cast("long"))
+        .drop("lost_doc_", "lost_text_", "lost_")
+        .select(*docs.columns, "n_lines", "n_dropped", "kept_text")
+    )
 
 
 def dedup_lines(
@@ -115,9 +131,12 @@ def dedup_lines(
     the largest key keeps its lines in all its rows. Rows whose key is null keep all lines and count nowhere. Columns
     that bear the names of the results are replaced. An empty table stays empty.
     """
-    runs = LineRuns(shortest, copies, fanout)
-    keys = stored(runs.keys(docs, text, key))
+    docs = without(docs, ("n_lines", "n_dropped", "kept_text", "lost_doc_", "lost_text_", "lost_"))
+    index = LineIndex(docs.sparkSession, shortest, copies, fanout)
+    keys = stored(index.keys(docs, text, key))
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for b in range(batches):
-        runs.add(keys.where(batch == b))
-    return runs.drop(docs, keys, text, key)
+        index.add(keys.where(batch == b))
+    lost = cut(lost_places(keys, index.repeated()))
+    index.levels.remove()
+    return without_lines(docs, lost, text, key)

@@ -130,6 +130,33 @@ def test_line_dedup(spark, batches, fanout):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_a_large_text_and_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "MOST_HOT", 2)
+    many = "\n".join(f"this is the common line number {k % 3000}" for k in range(6000))
+    rows = [(i, many + f"\nand the own last line of {i}") for i in range(4)] + [(i, "one line that all of these hold") for i in range(10, 40)]
+    rows += [(10, "one line that all of these hold\nanother text of the same key"), (50, many[:-1])]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == slow_lines(rows)
+
+
+def test_runs_are_merge_anti_joined_and_compacted(spark):
+    index = linededup.LineIndex(spark, fanout=2)
+    row = lambda i, *lines: (i, "\n".join(x * 20 for x in lines))
+    for batch in ([row(1, "a", "b"), row(2, "a")], [row(3, "b", "c")], [row(4, "b", "d"), row(5, "c")]):
+        index.add(index.keys(spark.createDataFrame(batch, "doc_id long, text string")))
+    assert sorted(map(len, index.levels.names.values())) == [1, 1]  # two runs of level 0 have become one of level 1
+    key = {spark.sql(f"SELECT xxhash64(1, repeat('{c}', 20)) AS h").first().h: c for c in "abcd"}
+    top, low = ({key[r.h1]: (r.n_docs, r.max_doc, r.new) for r in index.levels.read(index.levels.names[level][0]).collect()} for level in (1, 0))
+    assert top == {"a": (2, 2, True), "b": (2, 3, True), "c": (1, 3, True)}
+    assert low == {"b": (1, 4, False), "c": (1, 5, False), "d": (1, 4, True)}
+    assert {key[r.h1]: (r.n_docs, r.max_doc) for r in index.repeated().collect()} == {"b": (3, 4)}
+    batch = index.keys(spark.createDataFrame([row(9, "a")], "doc_id long, text string")).groupBy("h1", "h2").count()
+    plan = batch.join(index.levels.read(index.levels.names[1][0]).hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # of the batch alone
+    index.levels.remove()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
 def test_mixing_meets_margins(spark, docs):
     mixed = mixing.mix(docs, {"source": 0.5, "lang": {"en": 0.4, "fr": 0.3}, "topic": 1.0}, 0.3).cache()
     total, kept = mixed.agg(F.sum("n_tokens"), F.sum(F.col("probability") * F.col("n_tokens"))).first()
