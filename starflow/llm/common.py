@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from starflow.session import checkpoint_dir, cut, table
 
-__all__ = ["ASCII_LOWER", "SPACE", "WORD", "checkpoint_dir", "cut", "delete_path", "grown", "scratch", "stored", "table", "without"]
+__all__ = ["ASCII_LOWER", "SPACE", "WORD", "checkpoint_dir", "cut", "delete_path", "grown", "scratch", "split_join", "stored", "table", "without"]
 
 #: ASCII white space, as every contract here defines it; ``bytes.split()`` splits at the same six characters.
 SPACE = " \t\n\x0b\x0c\r"
@@ -60,6 +60,20 @@ def stored(df: DataFrame, *sort: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MOST_HOT = 20_000  # keys that are broadcast, at most: those with over 1 / MOST_HOT of all rows each
+
+
+def split_join(rows: DataFrame, side: DataFrame, on: Sequence[str], total: int, most: int | None = None) -> DataFrame:
+    """``rows`` joined with ``side``, a stored table of one row a key, ``n`` the number of the key's ``rows`` (or more),
+    which are ``total`` at most. Keys that hold over ``1 / most`` of all rows, so fewer than ``most`` keys, are
+    broadcast and leave the others' shuffle: no key's rows meet in one task unless they are few."""
+    share = max(1, total // (most or MOST_HOT))
+    hot = F.broadcast(side.where(F.col("n") > share).drop("n"))
+    cold = side.where(F.col("n") <= share).drop("n")
+    on = list(on)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without the columns an operator is about to add, compared as Spark compares names."""
     taken = {n.lower() for n in names}

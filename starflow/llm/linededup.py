@@ -8,8 +8,8 @@ the known ones with enough documents: a line of a single run that was never sigh
 
 Only hash pairs (128 bits) of lines long enough are shuffled; documents are counted before the shuffle, so a line that
 every document holds costs one row a task. Where lines are matched with the documents they leave, the few lines that
-hold a large share of all rows are broadcast, at most ``MOST_HOT`` of them, and all others meet by their hash. The text
-itself moves only in the last join, from documents to the places of the lines they lose.
+hold a large share of all rows are broadcast (``common.split_join``) and all others meet by their hash. The text itself
+moves only in the last join, from documents to the places of the lines they lose.
 """
 
 from __future__ import annotations
@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starflow.llm.common import SPACE, cut, stored, without
+from starflow.llm.common import SPACE, cut, split_join, stored, without
 from starflow.llm.runs import Levels
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_HOT = 20_000  # lines that are broadcast, at most: those with over 1 / MOST_HOT of all rows each
 H = ("h1", "h2")
 
 
@@ -93,12 +92,8 @@ class LineIndex:
 
 def lost_places(keys: DataFrame, repeated: DataFrame) -> DataFrame:
     """``(doc_id, text_id, places)``: the places of the lines that each row of the keys' documents loses."""
-    repeated = stored(repeated)
-    most = max(1, keys.count() // MOST_HOT)
-    hot = F.broadcast(repeated.where(F.col("n_docs") > most).select(*H, "max_doc"))
-    cold = repeated.where(F.col("n_docs") <= most).select(*H, "max_doc")
-    there = keys.select("doc_id", "text_id", *H, "pos")
-    hits = there.join(hot, [*H]).union(there.join(hot.select(*H), [*H], "left_anti").join(cold, [*H]))
+    lines = stored(repeated.select(*H, F.col("n_docs").alias("n"), "max_doc"))
+    hits = split_join(keys.select("doc_id", "text_id", *H, "pos"), lines, H, keys.count())
     return hits.where("max_doc > doc_id").groupBy("doc_id", "text_id").agg(F.collect_list("pos").alias("places"))
 
 

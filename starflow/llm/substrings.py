@@ -5,33 +5,35 @@ that winnowing picks: in every stretch of ``width - gram + 1`` grams the smalles
 grams and so pick the same one, at the same place: a window that stands in two documents always leaves an equal
 fingerprint in both, while the index has about ``2 / (width - gram + 2)`` entries a word.
 
-Runs of the index are immutable tables ``(h, doc)``, bucketed and sorted by fingerprint: one of each batch. Batches are
-merge-joined with all other runs, bucket by bucket and without a shuffle; full levels are compacted, as in a
-log-structured merge tree. The fingerprints that more than one document holds point to candidate windows; these are
-verified by a digest of their whole word sequence, of which the smallest document is found.
+Runs of the index are immutable tables ``(h, doc)``, bucketed and sorted by fingerprint (``runs.Levels``). Each new
+batch is merge-joined with the runs there are, without a shuffle of theirs; the fingerprints that it shares with them,
+or within itself, point to candidate entries of both sides. Then the batch becomes a run, and full levels are merged.
+Candidate windows are verified by a digest of their whole word sequence, which together with the fingerprint has 128
+bits; of equal sequences the smallest document is found.
 
 Texts that equal one with a smaller key are found by their digest first: they lose all words, if they have a window at
-all, and don't enter the index.
+all, and don't enter the index. Whole texts are shuffled once, into a table bucketed by document; all later joins by
+document read it bucket by bucket. Fingerprints, windows and texts that hold a large share of all rows are broadcast
+where they are joined (``common.split_join``), after counts and minima that are combined before the shuffle.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starflow.llm.common import cut, grown, stored, without
+from starflow.llm import common
+from starflow.llm.common import cut, grown, split_join, stored, without
+from starflow.llm.runs import Levels
 
 TEXTS_AT_ONCE = 512
-HOT = 20_000  # rows of a fingerprint, from which on they don't meet in one task
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,46 +67,28 @@ def smallest(grams: np.ndarray, stretch: int) -> np.ndarray:
     return np.minimum(out[:n], out[stretch - span : stretch - span + n])
 
 
-@dataclass
 class FingerprintIndex:
-    """Runs ``(h, doc)`` by level, each a table bucketed and sorted by fingerprint; a level of ``fanout`` runs is
-    compacted into one of the next. Runs of one bucket number are merge-joined without a shuffle."""
-
-    buckets: int
-    fanout: int = 4
-    levels: dict[int, list[DataFrame]] = field(default_factory=dict)
-
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels.values() for run in level]
-
-    def _write(self, rows: DataFrame) -> DataFrame:
-        name = f"run_{uuid.uuid4().hex}"
-        spread = rows.repartition(self.buckets, "h").sortWithinPartitions("h", "doc")
-        spread.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
-        return rows.sparkSession.table(name)
-
-    def add(self, batch: DataFrame) -> None:
-        """Add the run of a batch ``(h, doc)`` and compact the levels that are full."""
-        level = 0
-        self.levels.setdefault(0, []).append(self._write(batch))
-        while len(self.levels[level]) >= self.fanout:
-            full = self.levels.pop(level)
-            level += 1
-            self.levels.setdefault(level, []).append(self._write(reduce(DataFrame.union, full)))
-
-    def shared(self) -> DataFrame:
-        """``(doc, h)``: the entries whose fingerprint another document holds too."""
-        runs = self.runs()
-        ends = [run.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")) for run in runs]
-        parts = []
-        for k, run in enumerate(runs):
-            known = ends[k].select("h", (F.col("lo") < F.col("hi")).alias("more"))
-            for j, other in enumerate(ends):
-                if j != k:
-                    known = known.join(other.select("h", F.lit(True).alias("there")), "h", "left")
-                    known = known.select("h", (F.col("more") | F.coalesce("there", F.lit(False))).alias("more"))
-            parts.append(run.join(known.where("more").select("h"), "h").select("doc", "h"))
-        return reduce(DataFrame.union, parts)
+    """Runs ``(h, doc)`` of fingerprints in levels of ``fanout``."""
+
+    def __init__(self, spark: SparkSession, fanout: int = 4):
+        self.levels = Levels(spark, ("h",), fanout)
+
+    def add(self, entries: DataFrame) -> DataFrame:
+        """Merge-join a batch ``(h, doc)`` with the runs, then add it; returns, stored, the entries ``(h, doc)`` of the
+        batch and of the runs whose fingerprint the batch shares with another document. An entry that an earlier batch
+        shared can come again."""
+        name = self.levels.write(entries)
+        batch, runs = self.levels.read(name), self.levels.runs()
+        known = batch.groupBy("h").agg((F.min("doc") < F.max("doc")).alias("more"))
+        for run in runs:
+            there = run.groupBy("h").agg(F.lit(True).alias("there"))
+            known = known.join(there, "h", "left").select("h", (F.col("more") | F.coalesce("there", F.lit(False))).alias("more"))
+        shared = batch.join(known.where("more").select("h"), "h").select("h", "doc")
+        for run in runs:
+            shared = shared.union(run.join(batch.select("h"), "h", "left_semi").select("h", "doc"))
+        shared = stored(shared)
+        self.levels.add(name)
+        return shared
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -165,17 +149,21 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     return opened.select("h", "doc", (F.col("pos") + F.col("k")).alias("pos"), F.substring("digests", F.col("k") * 8 + 1, F.lit(8)).alias("d"))
 
 
-def repeated_windows(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """``(doc, pos)`` of the windows of ``candidates`` rows whose sequence stands in a smaller document.
+def repeated_windows(rows: DataFrame) -> DataFrame:
+    """``(doc, pos)`` of the windows of stored ``candidates`` rows whose sequence stands in a smaller document.
 
-    Windows of a fingerprint are compared where the fingerprint's rows meet. The fingerprints in ``hot(h)`` have too
-    many rows for that: their windows are aggregated before they are shuffled, and joined with the result.
+    Windows of a fingerprint are compared where the fingerprint's rows meet. Fingerprints that hold a large share of
+    all rows, few by that, are broadcast: their windows are aggregated before they are shuffled, and joined again.
     """
+    share = max(1, rows.count() // common.MOST_HOT)
+    hot = F.broadcast(cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("h")))
     least = F.min("doc").over(Window.partitionBy("h", "d"))
     cold = _unpacked(rows.join(hot, "h", "left_anti").repartition("h")).withColumn("first", least)
     many = _unpacked(rows.join(hot, "h", "left_semi"))
-    firsts = many.groupBy("h", "d").agg(F.min("doc").alias("first"))
-    return cold.where("doc > first").select("doc", "pos").union(many.join(firsts, ["h", "d"]).where("doc > first").select("doc", "pos"))
+    firsts = stored(many.groupBy("h", "d").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"))
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    again = split_join(many, firsts.select("h", "d", "first", "n"), ("h", "d"), total)
+    return cold.where("doc > first").select("doc", "pos").union(again.where("doc > first").select("doc", "pos"))
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -189,7 +177,7 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 def _removed(docs: DataFrame, text: str, width: int) -> DataFrame:
     """Takes ``copy_`` (the text stands in a row with a smaller key) and ``starts_`` (places of removed windows) from
     ``docs`` and adds the three results."""
-    kept = [c for c in docs.columns if c not in ("copy_", "starts_", "key_", "id1_", "id2_")]
+    kept = [c for c in docs.columns if c not in ("copy_", "starts_")]
     places = [docs.columns.index(c) for c in (*kept, text, "copy_", "starts_")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +204,14 @@ def _removed(docs: DataFrame, text: str, width: int) -> DataFrame:
     return docs.mapInArrow(run, grown(docs.select(*kept), *more))
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 13, gram: int = 5, batches: int = 2, fanout: int = 4) -> DataFrame:
+def copies_of(ids: DataFrame) -> DataFrame:
+    """``(doc)`` of the texts ``ids(doc, id1, id2)`` that equal one of a smaller document."""
+    firsts = ids.groupBy("id1", "id2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = stored(firsts.where("first < last").select("id1", "id2", "first", "n"))
+    return split_join(ids, firsts, ("id1", "id2"), ids.count()).where("doc > first").select("doc").distinct()
+
+
+def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 13, gram: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_removed`` and ``kept_text``.
 
     A word goes if it lies in a window of ``width`` words whose word sequence also starts in a row with a smaller key;
@@ -228,25 +223,26 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", w
     has such a window counts for all, so such rows ought to be given keys of their own. Rows with a null key keep all
     words and count nowhere. Columns that bear the names of the results are replaced. An empty table stays empty.
     """
-    docs = without(docs, ("n_words", "n_removed", "kept_text", "key_", "id1_", "id2_", "copy_", "starts_"))
-    body = F.col(text).cast("string")
-    rows = docs.select(F.col(key).cast("long").alias("doc"), body.alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= 2 * width - 1))
-    digest = (F.xxhash64(F.lit(1), "text").alias("id1"), F.xxhash64(F.lit(2), "text").alias("id2"))
-    firsts = rows.groupBy(*digest).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    copies = rows.select("doc", *digest).join(firsts, ["id1", "id2"]).where("doc > first").select("doc").distinct()
+    docs = without(docs, ("n_words", "n_removed", "kept_text", "key_", "copy_", "starts_"))
+    spark, names = docs.sparkSession, docs.columns
+    plain = docs.withColumn(text, F.col(text).cast("string"))
+    held = Levels(spark, ("doc",))
+    keyed = plain.toDF(*[f"c{k}" for k in range(len(names))]).withColumn("doc", F.col(f"c{names.index(key)}").cast("long"))
+    texts = held.read(held.write(keyed.where("doc IS NOT NULL")))
+    rows = texts.select("doc", F.col(f"c{names.index(text)}").alias("text")).where(F.length("text") >= 2 * width - 1)
+    copies = copies_of(stored(rows.select("doc", F.xxhash64(F.lit(1), "text").alias("id1"), F.xxhash64(F.lit(2), "text").alias("id2"))))
     copies = stored(copies.withColumn("copy_", F.lit(True)))
 
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = FingerprintIndex(buckets, fanout)
+    index = FingerprintIndex(spark, fanout)
     fresh = rows.join(copies, "doc", "left_anti")
     batch = F.pmod(F.xxhash64("doc"), F.lit(batches))
-    for b in range(batches):
-        index.add(picks(fresh.where(batch == b), width, gram))
-    shared = stored(index.shared())
-    hot = cut(shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("h"))
+    shared = reduce(DataFrame.union, [index.add(picks(fresh.where(batch == b), width, gram)) for b in range(batches)])
+    index.levels.remove()
     hs = shared.groupBy("doc").agg(F.collect_set("h").alias("hs"))
     windows = stored(candidates(rows.join(hs, "doc").select("doc", "text", "hs"), width, gram))
-    starts = repeated_windows(windows, hot).groupBy("doc").agg(F.collect_set("pos").alias("starts_"))
+    starts = repeated_windows(windows).groupBy("doc").agg(F.collect_set("pos").alias("starts_"))
 
-    lost = starts.join(copies, "doc", "full").select(F.col("doc").alias("key_"), "copy_", "starts_")
-    return _removed(docs.join(lost, F.col(key).cast("long") == F.col("key_"), "left"), text, width)
+    lost = starts.join(copies, "doc", "full").select("doc", "copy_", "starts_")
+    again = texts.join(lost, "doc", "left").drop("doc").toDF(*names, "copy_", "starts_")
+    keyless = plain.where(F.col(key).cast("long").isNull()).withColumn("copy_", F.lit(None).cast("boolean")).withColumn("starts_", F.lit(None).cast("array<int>"))
+    return _removed(again.union(keyless), text, width)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starflow.llm import langid, linededup, mixing, packing, simhash
+from starflow.llm import common, langid, linededup, mixing, packing, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -131,7 +131,7 @@ def test_line_dedup(spark, batches, fanout):
 
 
 def test_lines_of_a_large_text_and_of_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "MOST_HOT", 2)
+    monkeypatch.setattr(common, "MOST_HOT", 10**9)
     many = "\n".join(f"this is the common line number {k % 3000}" for k in range(6000))
     rows = [(i, many + f"\nand the own last line of {i}") for i in range(4)] + [(i, "one line that all of these hold") for i in range(10, 40)]
     rows += [(10, "one line that all of these hold\nanother text of the same key"), (50, many[:-1])]

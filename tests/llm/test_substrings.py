@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from starflow.llm import substrings
+from starflow.llm import common, substrings
 
 
 def brute(rows, width=13):
@@ -42,10 +42,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot,batches,fanout", [(20_000, 2, 4), (2, 3, 2)])
-def test_matches_brute_force(spark, monkeypatch, hot, batches, fanout):
-    monkeypatch.setattr(substrings, "HOT", hot)
-    rows = corpus(hot)
+@pytest.mark.parametrize("most,batches,fanout", [(20_000, 2, 4), (10**9, 3, 2)])
+def test_matches_brute_force(spark, monkeypatch, most, batches, fanout):
+    monkeypatch.setattr(common, "MOST_HOT", most)
+    rows = corpus(batches)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = substrings.dedup_substrings(df, batches=batches, fanout=fanout).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got} == brute(rows)
@@ -65,3 +65,21 @@ def test_edge_rows(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.dedup_substrings(df).collect())
     assert got == [(0, 20, 0), (1, 21, 0), (2, 0, 0), (3, 20, 20), (3, 20, 20)]
     assert substrings.dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_batches_meet_the_runs_and_runs_are_merged(spark):
+    index = substrings.FingerprintIndex(spark, fanout=2)
+    entries = lambda *rows: spark.createDataFrame(rows, "h long, doc long")
+    found = [sorted(map(tuple, index.add(entries(*rows)).collect())) for rows in (
+        [(1, 10), (2, 10), (2, 11), (3, 11)], [(3, 20), (4, 20)], [(1, 30), (4, 31), (5, 31)], [(5, 40), (6, 40)])]
+    assert found == [[(2, 10), (2, 11)], [(3, 11), (3, 20)], [(1, 10), (1, 30), (4, 20), (4, 31)], [(5, 31), (5, 40)]]
+    assert {level: len(names) for level, names in index.levels.names.items() if names} == {2: 1}
+    assert index.levels.runs()[0].count() == 11
+    index.levels.remove()
+
+
+def test_very_long_text(spark):
+    body = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, body), (2, "x " + body + " y"), (3, "own words only")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (200_000, 0), 2: (200_002, 200_000), 3: (3, 0)}
