@@ -1,19 +1,21 @@
-"""Embedding near-dedup by a sorted projection pass and all blocks within reach of each other.
-
-The pass hashes a vector by signs of random projections and sorts all vectors by the concatenated signs, so that
-vectors that agree in the first hashes stand near each other. The exact ranks come from a range-partitioned sort and
-the sizes of its partitions. Consecutive ranks are cut into parts, every pair of parts is a task, and inside a task
-parts are cut into blocks. Two blocks are compared in full unless the angle of their centres less both radii exceeds
-the threshold's angle, when no pair of theirs can be linked: no link is lost, whatever the order or the density.
-Products are taken in single precision, and again in double precision where they are near the threshold. A task
-returns a forest that spans its links; the forests are united into groups. The work grows with the square of the
-distinct vectors where the blocks' radii don't part them.
-
-Inside each group, links are then counted exactly.
-Angles to a group's pivot (its smallest vector) decide most of them without a comparison: with angles x and y to the
-pivot, two vectors are linked for certain if x + y is within the threshold's angle and not linked if x and y differ by
-more. Members in order of their angle are cut into blocks, and only pairs of blocks whose angles leave it open are
-compared, a pair of blocks a task row. Equal vectors are one vector with a count throughout.
+"""Embedding near-dedup by sorted projection passes.
+
+Each pass hashes all vectors by signs of its own random projections, orders them lexicographically by the concatenated
+signs and compares windows of neighbours in that order. A window ends where a run of equal signs ends, near ``window``
+rows; a run that is longer than two windows is cut into parts, and all its parts are compared with each other, so that
+crowded regions lose nothing. Two vectors at the threshold's angle agree in all ``bits`` signs of a pass with the
+probability ``(1 - angle / pi) ** bits``, whatever the other vectors are; ``bits`` grows with the logarithm of the rows,
+and there are as many passes as leave a link unmet by all of them with a probability of ``miss`` at most: about
+``(rows / window) ** 0.22 * log(1 / miss)`` at cosine 0.9. Up to ``window`` rows, one window holds them all.
+
+Products are taken in single precision, and again in double precision where they are near the threshold: no pair below
+it is linked. A window returns a forest that spans its verified links; the forests of all passes are united into groups.
+
+Inside each group, links are then counted exactly. Angles to a group's pivot (its smallest vector) decide most of them
+without a comparison: with angles x and y to the pivot, two vectors are linked for certain if x + y is within the
+threshold's angle and not linked if x and y differ by more. Members in order of their angle are cut into blocks, and
+only pairs of blocks whose angles leave it open are compared, a pair of blocks a task row. Equal vectors are one vector
+with a count throughout.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,6 @@ from starflow.llm.common import cut, stored, without
 from starflow.llm.components import components
 
 SLACK = 1e-9  # how much rounding may move an angle; pairs this near the border are compared
-BITS = 48
 
 
 def usable(vector: str):
@@ -40,13 +40,19 @@ def usable(vector: str):
     return F.col(vector).isNotNull() & ~F.coalesce(F.exists(vector, bad), F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a binary column as unit vectors of doubles."""
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _unit(raw: bytes, rows: int) -> np.ndarray:
+    """Packed vectors of doubles as unit vectors, whatever the size of their components."""
+    x = np.frombuffer(raw, np.float64).reshape(rows, -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(column) -> np.ndarray:
+    """Rows of a binary column as unit vectors."""
+    values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
+    return _unit(b"".join(values), len(values))
+
+
 def _packed(df: DataFrame) -> DataFrame:
     """``(id, v)`` with the vector as binary doubles in place of the array."""
 
@@ -58,8 +64,15 @@ def _packed(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id long, v binary")
 
 
-def _keys(vectors: DataFrame, seed: int) -> DataFrame:
-    """``(id, key, v)``: the concatenated hashes of each vector."""
+def passes_of(rows: int, window: int, threshold: float, miss: float) -> tuple[int, int]:
+    """``(passes, bits)`` for a table of so many rows."""
+    bits = max(0, int(np.ceil(np.log2(max(1, rows) / window))))
+    met = (1 - np.arccos(threshold) / np.pi) ** bits
+    return (1 if met == 1 else max(1, int(np.ceil(np.log(miss) / np.log1p(-met))))), bits
+
+
+def _keys(vectors: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
+    """``(id, v, keys)``: the concatenated signs of each pass, as a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,12 +80,12 @@ def _keys(vectors: DataFrame, seed: int) -> DataFrame:
                 continue
             for dim, at in _by_dimension(batch.column(1)):
                 rows = batch.take(pa.array(at))
-                x = _matrix(rows.column(1))
-                planes = np.random.default_rng([seed, dim]).standard_normal((x.shape[1], BITS))
-                key = ((x @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1))).astype(np.int64) | (np.int64(dim % 1000) << BITS)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(key), rows.column(1)], names=["id", "key", "v"])
+                planes = np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits))
+                signs = (_matrix(rows.column(1)) @ planes > 0).reshape(len(at), passes, bits)
+                keys = (signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "v", "keys"])
 
-    return vectors.mapInArrow(run, "id long, key long, v binary")
+    return vectors.mapInArrow(run, "id long, v binary, keys array<long>")
 
 
 def _by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,26 +94,6 @@ def _by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield int(size) // 8, np.flatnonzero(sizes == size)
 
 
-def _ranked(keys: DataFrame) -> DataFrame:
-    """``keys`` with ``rank``, the place in the order of (key, id) over all partitions."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, part = 0, TaskContext.get().partitionId()
-        for batch in batches:
-            place = pa.array(np.arange(n, n + batch.num_rows))
-            n += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, place, pa.array(np.full(batch.num_rows, part, np.int64))], names=[*batch.schema.names, "place", "part"]
-            )
-
-    ordered = keys.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    placed = stored(ordered.mapInArrow(number, "id long, key long, v binary, place long, part long"))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # a row a partition
-    starts = cut(sizes.select("part", before.alias("before")))
-    return placed.join(starts, "part").select("id", "v", (F.col("place") + F.col("before")).alias("rank"))
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(root, member)`` for every end of the links that is not the smallest of its component."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -159,32 +152,50 @@ def _near(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, thresh
     return near
 
 
-def spanning_links(vectors: DataFrame, threshold: float, seed: int, part: int = 32768, block: int = 1024) -> DataFrame:
-    """``(a, b)``: links that span the components of all pairs of ``vectors(id, v)`` of cosine ``threshold`` or more."""
-    n = vectors.count()
-    parts = max(1, min(4, -(-n // 2048)), -(-n // part))
+def _windows(keys: DataFrame, window: int) -> DataFrame:
+    """``(pass, key, tile, parts)``: the window in which the run of each key lies, in the order of the keys. A run of
+    over two windows is a window of its own, in parts."""
+    sizes = keys.select(F.posexplode("keys").alias("pass", "key")).groupBy("pass", "key").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("pass").orderBy("key")) - F.col("n")  # a row a run: rows / window of them
+    crowded = F.col("n") > 2 * window
+    tile = F.when(crowded, -1 - F.col("key")).otherwise(F.floor(before / window))
+    return cut(sizes.select("pass", "key", tile.cast("long").alias("tile"), F.when(crowded, F.ceil(F.col("n") / window)).otherwise(1).cast("int").alias("parts")))
+
+
+def spanning_links(vectors: DataFrame, threshold: float, seed: int, window: int = 2048, miss: float = 0.001, block: int = 1024) -> DataFrame:
+    """``(a, b)``: links among ``vectors(id, v)``, all of cosine ``threshold`` or more, that span the components of those
+    found."""
+    passes, bits = passes_of(vectors.count(), window, threshold, miss)
     limit = float(np.arccos(threshold))
-    home, other = F.floor(F.col("rank") / max(1, -(-n // parts))), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    dealt = _ranked(_keys(vectors, seed)).select("id", "v", "rank", home.cast("int").alias("home"), other.alias("other"))
+    keyed = stored(_keys(vectors, passes, bits, seed))
+    rows = keyed.select("id", "v", F.posexplode("keys").alias("pass", "key")).join(_windows(keyed, window), ["pass", "key"])
+    home, other = F.pmod(F.xxhash64("id", "pass"), F.col("parts")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = rows.select("id", "v", "pass", "tile", home.cast("int").alias("home"), other.alias("other"))
     dealt = dealt.withColumn("lo", F.least("home", "other")).withColumn("hi", F.greatest("home", "other"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        one = rows["lo"].iloc[0] == rows["hi"].iloc[0]
         for _, same in rows.groupby(rows["v"].map(len), sort=True):
             left, right = same[same["home"] == same["lo"]], same[same["home"] == same["hi"]]
             if not len(left) or not len(right):
                 continue
-            one = same["lo"].iloc[0] == same["hi"].iloc[0]
-            x = _matrix(pa.array(left["v"]))
-            y = x if one else _matrix(pa.array(right["v"]))
+            x = _matrix(left["v"])
+            y = x if one else _matrix(right["v"])
             x32, ids = x.astype(np.float32), left["id"].to_numpy()
             y32, ids_2 = (x32, ids) if one else (y.astype(np.float32), right["id"].to_numpy())
             own, others = _blocks(x, block), _blocks(y, block)
             for p, centre, radius in own:
                 for q, centre_2, radius_2 in others:
-                    gap = float(np.arccos(np.clip(centre @ centre_2, -1, 1))) - radius - radius_2
-                    if (one and q.start < p.start) or gap > limit + 1e-6:
+                    if one and q.start < p.start:
+                        continue
+                    apart = float(np.arccos(np.clip(centre @ centre_2, -1, 1)))
+                    if apart - radius - radius_2 > limit + 1e-6:  # no pair of the blocks is near enough
+                        continue
+                    if apart + radius + radius_2 < limit - 1e-6:  # all pairs are
+                        ends_2 = np.concatenate([ids[p], ids_2[q]])
+                        a.append(np.full(len(ends_2), ends_2.min()))
+                        b.append(ends_2)
                         continue
                     near = _near(x[p], y[q], x32[p], y32[q], threshold)
                     if one and p == q:
@@ -195,10 +206,10 @@ def spanning_links(vectors: DataFrame, threshold: float, seed: int, part: int =
         root, member = _forest(np.concatenate(a), np.concatenate(b))
         return pd.DataFrame({"a": root, "b": member})
 
-    return dealt.groupBy("lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("pass", "tile", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
 
 
-def exact_links(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+def exact_links(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
     """``(id, links)`` from ``members(id, n, v, group)``: how many vectors of its group each is linked with, itself and
     its copies included, ``n`` counting the copies of each."""
     limit = float(np.arccos(threshold))
@@ -207,9 +218,8 @@ def exact_links(members: DataFrame, threshold: float, block: int = 1024) -> Data
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = [np.frombuffer(v) for v in batch.column(2).to_pylist()]
-                p = [np.frombuffer(v) for v in batch.column(4).to_pylist()]
-                cos = [float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)) if len(a) == len(b) else -1.0 for a, b in zip(x, p, strict=True)]
+                pairs = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)
+                cos = [float(_unit(a, 1)[0] @ _unit(b, 1)[0]) if len(a) == len(b) else -1.0 for a, b in pairs]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["id", "n", "v", "group", "angle"])
 
     turned = members.select("id", "n", "v", "group").join(pivots, "group").select("id", "n", "v", "group", "pivot")
@@ -252,8 +262,7 @@ def exact_links(members: DataFrame, threshold: float, block: int = 1024) -> Data
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, vs, dim, ns_2, vs_2 in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                unit = lambda raw: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.frombuffer(raw).reshape(-1, dim // 8))  # noqa: B023,E731
-                links = (unit(vs) @ unit(vs_2).T >= threshold) @ np.frombuffer(ns_2, np.int64)
+                links = (_unit(vs, len(vs) // dim) @ _unit(vs_2, len(vs_2) // dim).T >= threshold) @ np.frombuffer(ns_2, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(links.astype(np.int64))], names=["id", "links"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,39 +282,42 @@ def near_duplicates(
     key: str = "vec_id",
     threshold: float = 0.9,
     seed: int = 7,
+    window: int = 2048,
+    miss: float = 0.001,
 ) -> DataFrame:
-    """Every row of ``vectors`` with ``n_links`` (other rows of cosine ``threshold`` or more), ``component_id`` (the
-    smallest key reachable by links) and ``kept`` (whether it is that key).
-
-    Vectors that are null, empty, zero or hold a null or non-finite component have no links. Equal vectors link. Rows
-    that repeat a key count as rows of their own for the others' ``n_links``. Rows with a null key take no part and
-    have no component. Vectors of different lengths don't link. Columns that bear the names of the results are
-    replaced. An empty table stays empty.
+    """Every row of ``vectors`` with ``n_links`` (other rows of cosine ``threshold`` or more, as far as one group holds
+    them), ``component_id`` (the smallest key reachable by links found) and ``kept`` (whether it is that key).
+
+    ``window`` and ``miss`` set the passes, see above; no link is lost up to ``window`` distinct vectors, and none of a
+    lower cosine is ever counted. Vectors that are null, empty, zero or hold a null or non-finite component have no
+    links. Equal vectors link. Rows that repeat a key count as rows of their own for all ``n_links``, also with other
+    vectors. Rows with a null key take no part and have no component. Vectors of different lengths don't link. Columns
+    that bear the names of the results are replaced. An empty table stays empty.
     """
-    vectors = without(vectors, ("n_links", "component_id", "kept", "rep_", "copies_", "links_", "group_"))
-    clean = vectors.where(usable(vector) & F.col(key).isNotNull())
-    arrays = clean.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double") + 0.0).alias("x"))
-    plain = stored(arrays.select("id", "x", F.xxhash64(F.lit(1), "x").alias("h1"), F.xxhash64(F.lit(2), "x").alias("h2")))
-    firsts = plain.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    firsts = stored(firsts)
-    distinct = plain.join(firsts.where("n > 0"), ["h1", "h2"]).where("id = rep").dropDuplicates(["id", "h1", "h2"])
-    members = stored(_packed(distinct.select("id", "x")).join(firsts.select(F.col("rep").alias("id"), "n"), "id"))
-    groups = components(spanning_links(members.select("id", "v"), threshold, seed))
+    vectors = without(vectors, ("n_links", "component_id", "kept", "key_", "h1_", "h2_", "links_", "least_"))
+    doubles = F.transform(vector, lambda x: x.cast("double") + 0.0)
+    hashes = lambda x: (F.xxhash64(F.lit(1), x).alias("h1"), F.xxhash64(F.lit(2), x).alias("h2"))
+    clean = vectors.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), doubles.alias("x"))
+    plain = stored(clean.select("key", "x", *hashes("x")))
+    firsts = plain.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.min_by("x", "key").alias("x"))
+    firsts = stored(firsts.withColumn("id", F.monotonically_increasing_id()))
+    members = stored(_packed(firsts.select("id", "x")).join(firsts.select("id", "n"), "id"))
+    groups = components(spanning_links(members.select("id", "v"), threshold, seed, window, miss))
     heads = groups.select(F.col("component").alias("node"), "component").distinct()
-    grouped = members.join(groups.union(heads), F.col("id") == F.col("node")).select("id", "n", "v", F.col("component").alias("group"))
+    groups = stored(groups.union(heads))
+    grouped = members.join(groups, F.col("id") == F.col("node")).select("id", "n", "v", F.col("component").alias("group"))
     links = exact_links(stored(grouped), threshold)
-    found = (
-        plain.select("id", "h1", "h2")
-        .join(firsts, ["h1", "h2"])
-        .join(groups, F.col("rep") == F.col("node"), "left")
-        .join(links.withColumnRenamed("id", "linked"), F.col("rep") == F.col("linked"), "left")
-        .select(F.col("id").alias("rep_"), (F.coalesce("links", "n") - 1).alias("links_"), F.coalesce("component", "rep").alias("group_"))
-        .dropDuplicates(["rep_"])
-    )
+    named = firsts.drop("x").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("least_"))
+    found = named.drop("least").join(smallest, "component").join(links, "id", "left")
+    found = found.select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), (F.coalesce("links", "n") - 1).alias("links_"), "least_")
+    found = plain.select(F.col("key").alias("key_"), F.col("h1").alias("h1_"), F.col("h2").alias("h2_")).distinct().join(found, ["h1_", "h2_"])
+    h1, h2 = hashes(doubles)
+    same = (F.col(key).cast("long") == F.col("key_")) & (h1 == F.col("h1_")) & (h2 == F.col("h2_"))
     return (
-        vectors.join(found, F.col(key).cast("long") == F.col("rep_"), "left")
+        vectors.join(found, same, "left")
         .withColumn("n_links", F.coalesce("links_", F.lit(0)).cast("long"))
-        .withColumn("component_id", F.coalesce("group_", F.col(key).cast("long")))
+        .withColumn("component_id", F.coalesce("least_", F.col(key).cast("long")))
         .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
-        .drop("rep_", "links_", "group_")
+        .drop("key_", "h1_", "h2_", "links_", "least_")
     )

@@ -31,12 +31,10 @@ def test_tight_groups_are_exact(spark, spread):
     assert got == expected(rows)
 
 
-def test_recall_on_given_vectors(spark):
+def test_given_vectors_are_exact(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     want = expected([(r.vec_id, r.embedding) for r in df.collect()])
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vectordedup.near_duplicates(df).collect()}
-    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
-    assert all(got[i][0] <= n for i, (n, _) in want.items())
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectordedup.near_duplicates(df).collect()} == want
 
 
 def test_exact_links_over_blocks(spark):
@@ -54,6 +52,21 @@ def test_empty(spark):
     assert vectordedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_large_and_small_components_repeated_and_null_keys(spark):
+    rows = [(1, [1e200, 2e200, 3e200]), (2, [1e200, 2e200, 3.1e200]), (3, [1.0, 2.0, 3.0]), (4, [-5.0, 1.0, 0.0]), (5, [1e-200, 2e-200, 3e-200]),
+            (6, [0.0, 0.0, 1.0]), (6, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.01]), (None, [1.0, 2.0, 3.0]), (8, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vectordedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 3, 1, False), (6, 0, 6, True), (6, 1, 6, True),
+                          (7, 1, 6, False), (0, 0, None, False), (8, 0, 8, True)], key=str)
+
+
+def test_passes():
+    assert vectordedup.passes_of(2048, 2048, 0.9, 0.001) == (1, 0)
+    passes, bits = vectordedup.passes_of(100_000, 2048, 0.9, 0.001)
+    assert bits == 6 and (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** passes <= 0.001
+
+
 def planted(n, pairs, cosine, dim=64, seed=11):
     """Vectors a third of which share a cone of mutual cosine 0.75, with pairs of a given cosine in and out of it."""
     rng = np.random.default_rng(seed)
@@ -67,14 +80,23 @@ def planted(n, pairs, cosine, dim=64, seed=11):
     return np.concatenate([x, cosine * x[twins] + (1 - cosine**2) ** 0.5 * across])
 
 
-def test_no_link_is_lost_in_a_crowd(spark):
+@pytest.mark.parametrize("window", [64, 2048])
+def test_recall_in_a_crowd(spark, window):
     x = planted(6000, 300, 0.905)
     x = x[np.random.default_rng(1).permutation(len(x))]
     near = x @ x.T >= 0.9
     np.fill_diagonal(near, False)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vectordedup.near_duplicates(df).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectordedup.near_duplicates(df, window=window).collect()}
     label = np.arange(len(x))
     while (new := np.array([min(label[k], label[near[k]].min(initial=label[k])) for k in range(len(x))])).tolist() != label.tolist():
         label = new
-    assert near.sum() >= 600 and got == {i: (int(near[i].sum()), int(label[i])) for i in range(len(x))}
+    assert near.sum() >= 600 and all(n <= near[i].sum() for i, (n, _) in got.items())
+    right = sum(got[i] == (int(near[i].sum()), int(label[i])) for i in range(len(x)) if near[i].any())
+    assert right >= 0.99 * near.any(1).sum()
+
+
+def test_windows_of_runs(spark):
+    keys = [[0, 1]] * 3 + [[1, 1]] * 2 + [[2, 1]] + [[3, 0]] * 9 + [[4, 1]]
+    got = {(r["pass"], r.key): (r.tile, r.parts) for r in vectordedup._windows(spark.createDataFrame([(k,) for k in keys], "keys array<long>"), 4).collect()}
+    assert got == {(0, 0): (0, 1), (0, 1): (0, 1), (0, 2): (1, 1), (0, 3): (-4, 3), (0, 4): (3, 1), (1, 0): (-1, 3), (1, 1): (2, 1)}
