@@ -171,6 +171,33 @@ def test_mixing_meets_margins(spark, docs):
     assert abs(np.mean(u) - 0.5) < 0.03 and 0 <= min(u) and max(u) < 1
 
 
+def test_mixing_rounds_end_when_margins_hold(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"s{a}", b, c, int(rng.integers(1, 10**6))) for a in range(6) for b in "xy" for c in ("t", "u", "v") if rng.random() < 0.8]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"s0": 0.6, "s1": 0.1}, "lang": {"x": 0.9, "y": 0.1}, "topic": 0.2}
+    out = mixing.rake(cells, targets).toPandas()
+    out["raked"] = out["tokens"] * out["factor"]
+    shares = out.groupby("lang")["raked"].sum() / out["raked"].sum()
+    assert shares["x"] == pytest.approx(0.9, rel=1e-11)
+    with pytest.warns(UserWarning, match="margins are off"):
+        mixing.rake(cells, targets, rounds=1)
+
+
+def test_topics_and_token_estimates(spark, docs):
+    rows = [("x = {a: 1}; import os",), ("Copyright by all, under this License, without warranty",), ("a | b | c",), ("mail me@x.org",), ("see https://x.org or www.y.org",), ("plain words here",), (None,), ("word " * 3000 + "= {}",), (" ",)]
+    df = spark.createDataFrame(rows, "text string").select(mixing.topic_of().alias("t"), mixing.token_count().alias("n"))
+    assert [r.t for r in df.collect()] == ["code", "law", "table", "contact", "web", "prose", "prose", "prose", "prose"]
+    assert [r.n for r in df.collect()][5:7] == [3, 0]
+    own = spark.createDataFrame([("the cat",), ("a dog",)], "text string").select(mixing.topic_of(topics={"cats": "cat", "dogs": "dog"}).alias("t"))
+    assert [r.t for r in own.collect()] == ["cats", "dogs"]
+    given = docs.select("text", mixing.token_count().alias("n")).limit(200).collect()
+    real = [len(x) // 4 for x in packing.WordTokenizer().encode([r.text for r in given])]
+    assert np.corrcoef(np.log1p(real), np.log1p([r.n for r in given]))[0, 1] > 0.98
+    known = mixing.mix(docs.select("*", F.lit(7).alias("own")), tokens=F.col("own"), topic=F.col("source"))
+    assert known.agg(F.sum("n_tokens")).first()[0] == 7 * docs.count()
+
+
 def test_mixing_edge_rows(spark):
     rows = [(1, "a b", None, None, "x"), (1, "a b", None, None, "x"), (2, None, "s", "en", "x"), (3, "", "s", "en", None), (None, "c " * 5000, "s", "fr", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, KEPT string")
