@@ -142,28 +142,38 @@ def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, doc long, pos int, digests binary")
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    """``(h, doc, pos, d)``: a row a window."""
+def _unpacked(rows: DataFrame, *more: str) -> DataFrame:
+    """``rows(h, digests, more...)`` with ``k`` and ``d``, a row a window: its place in the packed digests and its own."""
     n = (F.octet_length("digests") / 8).cast("int")
-    opened = rows.select("h", "doc", "pos", "digests", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    return opened.select("h", "doc", (F.col("pos") + F.col("k")).alias("pos"), F.substring("digests", F.col("k") * 8 + 1, F.lit(8)).alias("d"))
+    opened = rows.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
+    return opened.select("h", *more, "k", F.substring("digests", F.col("k") * 8 + 1, F.lit(8)).alias("d"))
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """``(doc, pos)`` of the windows of stored ``candidates`` rows whose sequence stands in a smaller document.
+    """``(doc, starts)``: places, in lists, of the windows of stored ``candidates`` rows whose sequence stands in a
+    smaller document; a document can come in several rows.
 
-    Windows of a fingerprint are compared where the fingerprint's rows meet. Fingerprints that hold a large share of
-    all rows, few by that, are broadcast: their windows are aggregated before they are shuffled, and joined again.
+    Windows of a fingerprint are compared where the fingerprint's rows meet. The rows of fingerprints that hold a large
+    share of all rows, few by that, are united by their packed digests before they are shuffled: each different pack is
+    compared once, and its smallest documents, a list, go back to the rows that hold it.
     """
     share = max(1, rows.count() // common.MOST_HOT)
     hot = F.broadcast(cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("h")))
     least = F.min("doc").over(Window.partitionBy("h", "d"))
-    cold = _unpacked(rows.join(hot, "h", "left_anti").repartition("h")).withColumn("first", least)
-    many = _unpacked(rows.join(hot, "h", "left_semi"))
-    firsts = stored(many.groupBy("h", "d").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"))
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    again = split_join(many, firsts.select("h", "d", "first", "n"), ("h", "d"), total)
-    return cold.where("doc > first").select("doc", "pos").union(again.where("doc > first").select("doc", "pos"))
+    cold = _unpacked(rows.join(hot, "h", "left_anti").repartition("h"), "doc", "pos").withColumn("first", least)
+    cold = cold.where("doc > first").select("doc", F.array(F.col("pos") + F.col("k")).alias("starts"))
+
+    many = rows.join(hot, "h", "left_semi")
+    packs = stored(many.groupBy("h", "digests").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")))
+    opened = _unpacked(packs.withColumn("pack", F.xxhash64("h", "digests")), "pack", "doc")
+    firsts = stored(opened.groupBy("h", "d").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")))
+    placed = split_join(opened.select("h", "d", "pack", "k"), firsts, ("h", "d"), firsts.agg(F.sum("n")).first()[0] or 0)
+    lists = placed.groupBy("h", "pack").agg(F.sort_array(F.collect_list(F.struct("k", "first"))).alias("firsts"))
+    lists = stored(lists.join(packs.select("h", F.xxhash64("h", "digests").alias("pack"), "n"), ["h", "pack"]))
+    back = split_join(many.select("h", F.xxhash64("h", "digests").alias("pack"), "doc", "pos"), lists, ("h", "pack"), many.count())
+    gone = F.filter("firsts", lambda f: f["first"] < F.col("doc"))
+    back = back.select("doc", F.transform(gone, lambda f: F.col("pos") + f["k"]).alias("starts")).where(F.size("starts") > 0)
+    return cold.union(back)
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -240,7 +250,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", w
     index.levels.remove()
     hs = shared.groupBy("doc").agg(F.collect_set("h").alias("hs"))
     windows = stored(candidates(rows.join(hs, "doc").select("doc", "text", "hs"), width, gram))
-    starts = repeated_windows(windows).groupBy("doc").agg(F.collect_set("pos").alias("starts_"))
+    starts = repeated_windows(windows).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts_"))
 
     lost = starts.join(copies, "doc", "full").select("doc", "copy_", "starts_")
     again = texts.join(lost, "doc", "left").drop("doc").toDF(*names, "copy_", "starts_")
