@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starflow.llm.common import cut, stored, without
 from starflow.llm.components import components
@@ -40,25 +41,25 @@ def usable(vector: str):
     return F.col(vector).isNotNull() & ~F.coalesce(F.exists(vector, bad), F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def _unit(raw: bytes, rows: int) -> np.ndarray:
-    """Packed vectors of doubles as unit vectors, whatever the size of their components."""
-    x = np.frombuffer(raw, np.float64).reshape(rows, -1)
+def _unit(raw: bytes, rows: int, kind: str) -> np.ndarray:
+    """Packed vectors as unit vectors of doubles, whatever the size of their components."""
+    x = np.frombuffer(raw, kind).astype(np.float64).reshape(rows, -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind: str) -> np.ndarray:
     """Rows of a binary column as unit vectors."""
     values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    return _unit(b"".join(values), len(values))
+    return _unit(b"".join(values), len(values), kind)
 
 
-def _packed(df: DataFrame) -> DataFrame:
-    """``(id, v)`` with the vector as binary doubles in place of the array."""
+def _packed(df: DataFrame, kind: str) -> DataFrame:
+    """``(id, v)`` with the vector as binary numbers of a NumPy type in place of the array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.array(v, np.float64).tobytes() for v in batch.column(1).to_pylist()]
+            packed = [np.array(v, kind).tobytes() for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "v"])
 
     return df.mapInArrow(run, "id long, v binary")
@@ -71,27 +72,27 @@ def passes_of(rows: int, window: int, threshold: float, miss: float) -> tuple[in
     return (1 if met == 1 else max(1, int(np.ceil(np.log(miss) / np.log1p(-met))))), bits
 
 
-def _keys(vectors: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
+def _keys(vectors: DataFrame, passes: int, bits: int, seed: int, kind: str) -> DataFrame:
     """``(id, v, keys)``: the concatenated signs of each pass, as a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for dim, at in _by_dimension(batch.column(1)):
+            for dim, at in _by_dimension(batch.column(1), kind):
                 rows = batch.take(pa.array(at))
                 planes = np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits))
-                signs = (_matrix(rows.column(1)) @ planes > 0).reshape(len(at), passes, bits)
+                signs = (_matrix(rows.column(1), kind) @ planes > 0).reshape(len(at), passes, bits)
                 keys = (signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "v", "keys"])
 
     return vectors.mapInArrow(run, "id long, v binary, keys array<long>")
 
 
-def _by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def _by_dimension(column: pa.Array, kind: str) -> Iterator[tuple[int, np.ndarray]]:
     sizes = np.array([len(v) for v in column.to_pylist()])
     for size in np.unique(sizes):
-        yield int(size) // 8, np.flatnonzero(sizes == size)
+        yield int(size) // np.dtype(kind).itemsize, np.flatnonzero(sizes == size)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,12 +163,12 @@ def _windows(keys: DataFrame, window: int) -> DataFrame:
     return cut(sizes.select("pass", "key", tile.cast("long").alias("tile"), F.when(crowded, F.ceil(F.col("n") / window)).otherwise(1).cast("int").alias("parts")))
 
 
-def spanning_links(vectors: DataFrame, threshold: float, seed: int, window: int = 2048, miss: float = 0.001, block: int = 1024) -> DataFrame:
+def spanning_links(vectors: DataFrame, threshold: float, seed: int, window: int = 2048, miss: float = 0.001, block: int = 1024, kind: str = "<f8") -> DataFrame:
     """``(a, b)``: links among ``vectors(id, v)``, all of cosine ``threshold`` or more, that span the components of those
     found."""
     passes, bits = passes_of(vectors.count(), window, threshold, miss)
     limit = float(np.arccos(threshold))
-    keyed = stored(_keys(vectors, passes, bits, seed))
+    keyed = stored(_keys(vectors, passes, bits, seed, kind))
     rows = keyed.select("id", "v", F.posexplode("keys").alias("pass", "key")).join(_windows(keyed, window), ["pass", "key"])
     home, other = F.pmod(F.xxhash64("id", "pass"), F.col("parts")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = rows.select("id", "v", "pass", "tile", home.cast("int").alias("home"), other.alias("other"))
@@ -180,8 +181,8 @@ def spanning_links(vectors: DataFrame, threshold: float, seed: int, window: int
             left, right = same[same["home"] == same["lo"]], same[same["home"] == same["hi"]]
             if not len(left) or not len(right):
                 continue
-            x = _matrix(left["v"])
-            y = x if one else _matrix(right["v"])
+            x = _matrix(left["v"], kind)
+            y = x if one else _matrix(right["v"], kind)
             x32, ids = x.astype(np.float32), left["id"].to_numpy()
             y32, ids_2 = (x32, ids) if one else (y.astype(np.float32), right["id"].to_numpy())
             own, others = _blocks(x, block), _blocks(y, block)
@@ -209,7 +210,7 @@ def spanning_links(vectors: DataFrame, threshold: float, seed: int, window: int
     return dealt.groupBy("pass", "tile", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
 
 
-def exact_links(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+def exact_links(members: DataFrame, threshold: float, block: int = 256, kind: str = "<f8") -> DataFrame:
     """``(id, links)`` from ``members(id, n, v, group)``: how many vectors of its group each is linked with, itself and
     its copies included, ``n`` counting the copies of each."""
     limit = float(np.arccos(threshold))
@@ -219,7 +220,7 @@ def exact_links(members: DataFrame, threshold: float, block: int = 256) -> DataF
         for batch in batches:
             if batch.num_rows:
                 pairs = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)
-                cos = [float(_unit(a, 1)[0] @ _unit(b, 1)[0]) if len(a) == len(b) else -1.0 for a, b in pairs]
+                cos = [float(_unit(a, 1, kind)[0] @ _unit(b, 1, kind)[0]) if len(a) == len(b) else -1.0 for a, b in pairs]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["id", "n", "v", "group", "angle"])
 
     turned = members.select("id", "n", "v", "group").join(pivots, "group").select("id", "n", "v", "group", "pivot")
@@ -249,7 +250,8 @@ def exact_links(members: DataFrame, threshold: float, block: int = 256) -> DataF
         }])
 
     shape = "group long, block long, lo double, hi double, total long, ids binary, ns binary, vs binary, dim long"
-    packed = stored(numbered.groupBy("group", "block").applyInPandas(pack, shape))
+    spread = numbered.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "block")
+    packed = stored(spread.groupBy("group", "block").applyInPandas(pack, shape))
     thin = packed.select(F.col("group"), *[F.col(c).alias(f"{c}_2") for c in ("block", "lo", "hi", "total")])
     apart = F.greatest(F.col("lo_2") - F.col("hi"), F.col("lo") - F.col("hi_2"))
     pairs = packed.select("group", "block", "lo", "hi").join(thin, "group").where(apart <= limit + SLACK)
@@ -262,7 +264,7 @@ def exact_links(members: DataFrame, threshold: float, block: int = 256) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, vs, dim, ns_2, vs_2 in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                links = (_unit(vs, len(vs) // dim) @ _unit(vs_2, len(vs_2) // dim).T >= threshold) @ np.frombuffer(ns_2, np.int64)
+                links = (_unit(vs, len(vs) // dim, kind) @ _unit(vs_2, len(vs_2) // dim, kind).T >= threshold) @ np.frombuffer(ns_2, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(links.astype(np.int64))], names=["id", "links"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,12 +303,14 @@ def near_duplicates(
     plain = stored(clean.select("key", "x", *hashes("x")))
     firsts = plain.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.min_by("x", "key").alias("x"))
     firsts = stored(firsts.withColumn("id", F.monotonically_increasing_id()))
-    members = stored(_packed(firsts.select("id", "x")).join(firsts.select("id", "n"), "id"))
-    groups = components(spanning_links(members.select("id", "v"), threshold, seed, window, miss))
+    single = isinstance(vectors.schema[vector].dataType.elementType, T.FloatType)
+    kind = "<f4" if single else "<f8"  # what holds the given components exactly
+    members = stored(_packed(firsts.select("id", "x"), kind).join(firsts.select("id", "n"), "id"))
+    groups = components(spanning_links(members.select("id", "v"), threshold, seed, window, miss, kind=kind))
     heads = groups.select(F.col("component").alias("node"), "component").distinct()
     groups = stored(groups.union(heads))
     grouped = members.join(groups, F.col("id") == F.col("node")).select("id", "n", "v", F.col("component").alias("group"))
-    links = exact_links(stored(grouped), threshold)
+    links = exact_links(stored(grouped), threshold, kind=kind)
     named = firsts.drop("x").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = named.groupBy("component").agg(F.min("least").alias("least_"))
     found = named.drop("least").join(smallest, "component").join(links, "id", "left")
