@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from starflow.operators import ranges
 from starflow.operators.matrix import folds
+from starflow.session import cut
 
 SEED = 1909
 
 
-def classifier(kind: str, inputs: int, classes: int, **params):
-    """``rf`` a random forest, ``nn`` a perceptron, ``xgb`` boosted trees, one against the rest beyond two classes."""
+def classifier(kind: str, inputs: int, classes: int, weights: str | None = None, **params):
+    """``rf`` a random forest, ``nn`` a perceptron (which takes no weights), ``xgb`` boosted trees, one against the rest
+    beyond two classes."""
     common = {"featuresCol": "features_", "labelCol": "label_"}
+    if weights and kind != "nn" and not (kind == "xgb" and classes > 2):
+        params["weightCol"] = weights
     if kind == "rf":
         return RandomForestClassifier(**common, seed=SEED, **({"numTrees": 100} | params))
     if kind == "nn":
@@ -32,8 +39,17 @@ def classifier(kind: str, inputs: int, classes: int, **params):
     raise ValueError(f"no such classifier: {kind}")
 
 
+def balanced(df: DataFrame, label: str = "label", column: str = "weight_") -> DataFrame:
+    """``df`` with the weight of each row's class: all rows over its rows and the number of classes."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_"))
+    total, classes = sizes.agg(F.sum("n_"), F.count(F.lit(1))).first()
+    weights = sizes.select(F.col(label).alias("class_"), (F.lit(total) / (F.col("n_") * classes)).alias(column))  # a row a class
+    return df.join(F.broadcast(weights), F.col(label) == F.col("class_"), "left").drop("class_")
+
+
 def train(df: DataFrame, columns: list[str], label: str = "label", kind: str = "rf", **params) -> PipelineModel:
-    """A fitted pipeline: labels indexed in alphabetical order, features assembled, classifier, label names."""
+    """A fitted pipeline: labels indexed in alphabetical order, features assembled, classifier, label names. ``weights``
+    names a column of row weights."""
     indexer = StringIndexer(inputCol=label, outputCol="label_", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
     names = list(indexer.labels)
     stages = [indexer, VectorAssembler(inputCols=columns, outputCol="features_"), classifier(kind, len(columns), len(names), **params), IndexToString(inputCol="prediction", outputCol="class", labels=names)]
@@ -66,7 +82,7 @@ def load(path: str) -> PipelineModel:
 
 def cross_predict(df: DataFrame, columns: list[str], label: str = "label", kind: str = "rf", k: int = 10, key: str = "id", **params) -> DataFrame:
     """``(id, fold, actual, predicted)``: each row predicted by the model trained on the other folds."""
-    parted, out = folds(df, k, key, label).cache(), None
+    parted, out = cut(folds(df, k, key, label)), None
     for f in range(k):
         model = train(parted.where(F.col("fold") != f), columns, label, kind, **params)
         part = model.transform(parted.where(F.col("fold") == f)).select(key, "fold", F.col(label).alias("actual"), F.col("class").alias("predicted"))
@@ -74,51 +90,98 @@ def cross_predict(df: DataFrame, columns: list[str], label: str = "label", kind:
     return out
 
 
+def scored_predictions(df: DataFrame, columns: list[str], label: str = "label", kind: str = "rf", k: int = 10, key: str = "id", **params) -> DataFrame:
+    """``(id, fold, actual, class, probability)``: the probability of each class for each row, from the model trained on
+    the other folds."""
+    parted, out = cut(folds(df, k, key, label)), None
+    for f in range(k):
+        model, held = train(parted.where(F.col("fold") != f), columns, label, kind, **params), parted.where(F.col("fold") == f)
+        part = predict(model, held, key).join(held.select(key, "fold", F.col(label).alias("actual")), key)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def accuracy(predicted: DataFrame) -> tuple[float, float]:
     """Mean and deviation of the folds' accuracies."""
-    by_fold = predicted.groupBy("fold").agg(F.avg(F.when(F.col("actual") == F.col("predicted"), 1.0).otherwise(0.0)).alias("a"))
-    row = by_fold.agg(F.avg("a"), F.stddev_pop("a")).first()
+    return score(predicted, "accuracy")
+
+
+def fold_scores(predicted: DataFrame, metric: str = "accuracy") -> DataFrame:
+    """``(fold, score)``: ``accuracy``, or ``precision``, ``recall`` or ``f1``. These are of the class last in order
+    where there are two, else the means over all classes (macro). A class without predictions or rows scores 0."""
+    if metric == "accuracy":
+        return predicted.groupBy("fold").agg(F.avg(F.when(F.col("actual") == F.col("predicted"), 1.0).otherwise(0.0)).alias("score"))
+    one = lambda c, hit, said, there: F.struct(c.alias("c"), F.lit(hit).alias("hit"), F.lit(said).alias("said"), F.lit(there).alias("there"))
+    right = F.col("actual") == F.col("predicted")
+    marks = F.when(right, F.array(one(F.col("actual"), 1, 1, 1))).otherwise(F.array(one(F.col("actual"), 0, 0, 1), one(F.col("predicted"), 0, 1, 0)))
+    by = predicted.select("fold", F.explode(marks).alias("m")).groupBy("fold", "m.c").agg(F.sum("m.hit").alias("hit"), F.sum("m.said").alias("said"), F.sum("m.there").alias("there"))
+    rate = {"precision": ("hit", F.col("said")), "recall": ("hit", F.col("there")), "f1": ("hit", (F.col("said") + F.col("there")) / 2)}[metric]
+    classes = by.withColumn("rate", F.coalesce(F.try_divide(F.col(rate[0]).cast("double"), rate[1]), F.lit(0.0)))
+    names = predicted.agg(F.max("actual"), F.count_distinct("actual")).first()
+    classes = classes.where(F.col("c") == names[0]) if names[1] == 2 else classes
+    return classes.groupBy("fold").agg(F.avg("rate").alias("score"))
+
+
+def auc_scores(probabilities: DataFrame) -> DataFrame:
+    """``(fold, score)``: area under the ROC curve of the class last in order where there are two, else the mean of the
+    areas of each class against the rest; over ``(fold, actual, class, probability)``."""
+    names = probabilities.agg(F.max("class"), F.count_distinct("class")).first()
+    kept = probabilities.where(F.col("class") == names[0]) if names[1] == 2 else probabilities
+    marked = kept.select(F.struct("fold", "class").alias("task"), F.col("probability").alias("score"), (F.col("actual") == F.col("class")).alias("positive"))
+    return auc(roc(marked, group="task"), "task").groupBy("task.fold").agg(F.avg("auc").alias("score"))
+
+
+def score(predicted: DataFrame, metric: str = "accuracy") -> tuple[float, float]:
+    """Mean and deviation of the folds' scores; ``roc_auc`` needs the rows of ``scored_predictions``."""
+    by_fold = auc_scores(predicted) if metric == "roc_auc" else fold_scores(predicted, metric)
+    row = by_fold.agg(F.avg("score"), F.stddev_pop("score")).first()
     return row[0], row[1]
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
     """``(actual, predicted, n, share)``: counts and their shares of the actual class, for all pairs of classes."""
-    names = predicted.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
-    counts = predicted.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy("actual")
-    grid = names.select(F.col("c").alias("actual"), F.lit(1).alias("one_")).join(names.select(F.col("c").alias("predicted"), F.lit(1).alias("one_")), "one_").drop("one_")
+    counts = cut(predicted.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n")))
+    names = F.array_distinct(F.flatten(F.collect_set(F.array("actual", "predicted"))))  # of the classes, one row
+    grid = counts.agg(names.alias("c")).select(F.explode("c").alias("actual"), "c").select("actual", F.explode("c").alias("predicted"))
     filled = grid.join(counts, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return filled.withColumn("share", F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(own)), F.lit(0.0)))
+    return filled.withColumn("share", F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("actual"))), F.lit(0.0)))
 
 
 def roc(scored: DataFrame, score: str = "score", positive: str = "positive", group: str | None = None) -> DataFrame:
-    """``(threshold, tpr, fpr)`` of every distinct score, by falling score, in each ``group`` (such as the fold)."""
+    """``(threshold, tpr, fpr)`` of every distinct score, by falling score, in each ``group`` (such as the fold). Scores
+    are sorted by ranges, so that no task holds all of them."""
     keys = [group] if group else []
     steps = scored.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(1)).alias("n"))
-    down, every = Window.partitionBy(*keys).orderBy(F.desc("threshold")), Window.partitionBy(*keys)
-    rate = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(every))
-    return steps.select(*keys, "threshold", rate("p").alias("tpr"), rate("n").alias("fpr"))
+    placed = ranges.running(steps, keys, [F.desc("threshold")], ["p", "n"])
+    totals = placed.groupBy(*[F.col(k).alias("group_") for k in keys]).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    joined = placed.join(F.broadcast(totals), F.col(group).eqNullSafe(F.col("group_")) if group else F.lit(True))
+    rate = lambda c: F.try_divide(F.col(f"{c}_before") + F.col(c), F.col(f"all_{c}"))
+    return joined.select(*keys, "threshold", rate("p").alias("tpr"), rate("n").alias("fpr"))
 
 
 def auc(curve: DataFrame, group: str | None = None) -> DataFrame:
-    """Area under each ROC curve, by trapezoids from (0, 0)."""
+    """Area under each ROC curve, by trapezoids from (0, 0); rates only rise along a curve, so that a point's
+    predecessor has the largest rates before it."""
     keys = [group] if group else []
-    down = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(down), F.lit(0.0))
+    placed = ranges.running(curve, keys, [F.desc("threshold")], [], ["tpr", "fpr"])
+    before = lambda c: F.coalesce(F.col(f"{c}_before"), F.lit(0.0))
     area = (F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2
-    return curve.select(*keys, area.alias("a")).groupBy(*keys).agg(F.sum("a").alias("auc"))
+    return placed.select(*keys, area.alias("a")).groupBy(*keys).agg(F.sum("a").alias("auc"))
 
 
 def mean_roc(curve: DataFrame, group: str, points: int = 100) -> DataFrame:
     """``(fpr, tpr, deviation)``: the folds' curves interpolated at evenly spaced rates, their mean and deviation."""
-    first = curve.select(group).distinct().select(group, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
-    whole = first.unionByName(curve.select(group, "threshold", "tpr", "fpr"))
-    along = Window.partitionBy(group).orderBy("fpr", "tpr")
-    parts = whole.select(group, "fpr", "tpr", F.lead("fpr").over(along).alias("fpr1"), F.lead("tpr").over(along).alias("tpr1"))
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / (points - 1))).alias("at")
-    grid = parts.select("*", at).where((F.col("at") >= F.col("fpr")) & (F.col("at") <= F.coalesce("fpr1", F.lit(1.0))))
-    on = F.when(F.col("at") == 0, 0.0).otherwise(F.coalesce(F.col("tpr") + F.try_divide((F.col("tpr1") - F.col("tpr")) * (F.col("at") - F.col("fpr")), F.col("fpr1") - F.col("fpr")), F.col("tpr")))
-    by_fold = grid.select(group, "at", on.alias("tpr")).groupBy(group, "at").agg(F.max("tpr").alias("tpr"))
+    step = F.ceil(F.col("fpr") * (points - 1) - 1e-9).cast("int")
+    ends = curve.groupBy(group, step.alias("i")).agg(F.max(F.struct("fpr", "tpr")).alias("last"), F.min(F.struct("fpr", "tpr")).alias("first"))
+    grid = curve.select(group).distinct().select(group, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    along = Window.partitionBy(group).orderBy("i")  # a row a rate
+    placed = grid.join(ends, [group, "i"], "left").select(
+        group, (F.col("i") / (points - 1)).alias("at"),
+        F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("lo"), F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("hi"),
+    )
+    x, y = F.coalesce("lo.fpr", F.lit(0.0)), F.coalesce("lo.tpr", F.lit(0.0))
+    between = F.coalesce(y + F.try_divide((F.col("hi.tpr") - y) * (F.col("at") - x), F.col("hi.fpr") - x), y)
+    by_fold = placed.select(group, "at", F.when(F.col("at") == 0, 0.0).otherwise(between).alias("tpr"))
     return by_fold.groupBy(F.col("at").alias("fpr")).agg(F.avg("tpr").alias("tpr"), F.stddev_pop("tpr").alias("deviation"))
 
 
@@ -129,19 +192,43 @@ SPACES: dict[str, dict[str, Callable[[random.Random], object]]] = {
 }
 
 
-def optimise(df: DataFrame, columns: list[str], label: str = "label", kind: str = "rf", trials: int = 10, k: int = 3, key: str = "id", seed: int = SEED) -> tuple[PipelineModel, dict, list[dict]]:
-    """The best model of ``trials`` random settings by cross-validated accuracy, its settings, and the trials.
+def optimise(
+    df: DataFrame, columns: list[str], label: str = "label", kind: str = "rf", trials: int = 10, k: int = 3, key: str = "id", seed: int = SEED, metric: str = "accuracy", balance: bool = False
+) -> tuple[PipelineModel, dict, list[dict]]:
+    """The best model of ``trials`` random settings by their cross-validated ``metric`` (``accuracy``, ``precision``,
+    ``recall``, ``f1``, ``roc_auc``), its settings, and the trials.
 
-    The default settings are the first trial; a trial that doesn't beat the best so far changes nothing. No trials give
-    the default model.
+    All trials use the same folds, which share each class evenly. The default settings are the first trial; a trial that
+    doesn't beat the best so far changes nothing. No trials give the default model. ``balance`` weights the rows of two
+    unequal classes by their sizes.
     """
-    draw, history, best = random.Random(seed), [], ({}, -math.inf)
+    draw, history, best, fixed = random.Random(seed), [], ({}, -math.inf), {}
+    if balance:
+        sizes = [r["count"] for r in df.groupBy(label).count().collect()]  # a row a class
+        if len(sizes) == 2 and sizes[0] != sizes[1]:
+            df, fixed = balanced(df, label), {"weights": "weight_"}
+    found = scored_predictions if metric == "roc_auc" else cross_predict
     for trial in range(trials):
         params = {p: f(draw) for p, f in SPACES[kind].items()} if trial else {}
-        score, _ = accuracy(cross_predict(df, columns, label, kind, k, key, **params))
-        history.append({"trial": trial + 1, "score": score, "params": params})
-        best = max(best, (params, score), key=lambda b: b[1])
-    return train(df, columns, label, kind, **best[0]), best[0], history
+        value, _ = score(found(df, columns, label, kind, k, key, **fixed, **params), metric)
+        history.append({"trial": trial + 1, "score": value, "params": params})
+        best = max(best, (params, value), key=lambda b: b[1])
+    return train(df, columns, label, kind, **fixed, **best[0]), best[0], history
+
+
+def setting_importances(spark: SparkSession, history: list[dict]) -> DataFrame:
+    """``(setting, importance)``: what share of the splits' gain each setting has in a forest that predicts the trials'
+    scores from their settings; lists count by their sum, names by their place in order."""
+    rows = [t for t in history if t["params"]]
+    names = sorted({p for t in rows for p in t["params"]})
+    if len(rows) < 2:
+        return spark.createDataFrame([(n, 0.0) for n in names], "setting string, importance double")
+    words = {n: sorted({str(t["params"][n]) for t in rows}) for n in names}
+    number = lambda n, v: float(sum(v)) if isinstance(v, list) else float(words[n].index(v)) if isinstance(v, str) else float(v)
+    table = spark.createDataFrame([(*(number(n, t["params"][n]) for n in names), float(t["score"])) for t in rows], ", ".join([*(f"`{n}` double" for n in names), "score double"]))
+    packed = VectorAssembler(inputCols=names, outputCol="features_").transform(table)
+    gains = RandomForestRegressor(featuresCol="features_", labelCol="score", numTrees=100, seed=SEED).fit(packed).featureImportances.toArray()
+    return spark.createDataFrame([(n, float(g)) for n, g in zip(names, gains)], "setting string, importance double").orderBy(F.desc("importance"))
 
 
 def best_so_far(history: DataFrame) -> DataFrame:
@@ -155,13 +242,16 @@ def binomial_tail(hits: int, trials: int) -> tuple[float, float]:
     return up, sum(math.comb(trials, j) for j in range(hits + 1)) / 2**trials
 
 
-def select_features(df: DataFrame, columns: list[str], label: str = "label", trials: int = 20, key: str = "id", level: float = 0.05, trees: int = 50, seed: int = SEED) -> tuple[dict[str, str], list[tuple]]:
+def select_features(
+    df: DataFrame, columns: list[str], label: str = "label", trials: int = 20, key: str = "id", level: float = 0.05, trees: int = 50, seed: int = SEED, train_share: float = 1.0
+) -> tuple[dict[str, str], list[tuple]]:
     """Decisions ``accepted``, ``rejected`` or ``tentative`` for each feature, and the history
     ``(trial, feature, importance, shadow)``.
 
-    In each trial, shadows (columns shuffled among the rows) compete with the features left in a forest; a feature hits
-    if its standardised importance exceeds that of every shadow. A feature whose hits are too many or too few for chance,
-    by the binomial test with Bonferroni's correction, is decided; rejected features leave the trials.
+    In each trial, shadows (columns shuffled among the rows) compete with the features left in a forest, which is fitted
+    on ``train_share`` of the rows (0.7 holds out 30 %, drawn anew by hash in each trial); a feature hits if its
+    standardised importance exceeds that of every shadow. A feature whose hits are too many or too few for chance, by the
+    binomial test with Bonferroni's correction, is decided; rejected features leave the trials.
     """
     hits, state, history = dict.fromkeys(columns, 0), dict.fromkeys(columns, "tentative"), []
     for trial in range(1, trials + 1):
@@ -169,6 +259,8 @@ def select_features(df: DataFrame, columns: list[str], label: str = "label", tri
         if not left:
             break
         mixed = shuffled(df, left, key, seed + trial)
+        if train_share < 1:
+            mixed = mixed.where(F.pmod(F.xxhash64(F.lit(seed + trial), key), F.lit(10_000)) < train_share * 10_000)
         shadows = [f"shadow_{c}" for c in left]
         weights = train(mixed, [*left, *shadows], label, "rf", numTrees=trees).stages[2].featureImportances.toArray()
         z = (weights - weights.mean()) / (weights.std() or 1.0)
@@ -184,17 +276,33 @@ def select_features(df: DataFrame, columns: list[str], label: str = "label", tri
     return state, history
 
 
+def settle_tentative(state: dict[str, str], history: list[tuple]) -> dict[str, str]:
+    """The decisions with those that are left open made: accepted if a feature's median importance is above the median
+    of the trials' best shadows, else rejected."""
+    best: dict[int, float] = {}
+    own: dict[str, list[float]] = {}
+    for trial, name, value, shadow in history:
+        if shadow:
+            best[trial] = max(best.get(trial, -math.inf), value)
+        else:
+            own.setdefault(name, []).append(value)
+    bar = statistics.median(best.values()) if best else math.inf
+    return {c: d if d != "tentative" else "accepted" if c in own and statistics.median(own[c]) > bar else "rejected" for c, d in state.items()}
+
+
 def shuffled(df: DataFrame, columns: list[str], key: str, seed: int) -> DataFrame:
-    """``df`` with ``shadow_<column>``: each column's values dealt anew among the rows.
+    """``df`` with ``shadow_<column>``: each column's values dealt anew among all rows.
 
-    Rows and values are ranked by hashes in the same buckets, and meet by bucket and rank.
+    Rows are numbered in one range-partitioned order, the values of each column in the order of their own hash, all
+    columns in one table; they meet by number.
     """
-    buckets = F.pmod(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(32))).orderBy(key)), F.lit(1 << 30))
-    out = df.withColumn("b_", F.pmod(F.xxhash64(key), F.lit(32))).withColumn("r_", buckets)
-    for k, c in enumerate(columns):
-        dealt = out.select("b_", F.row_number().over(Window.partitionBy("b_").orderBy(F.xxhash64(F.lit(seed), F.lit(k), key), key)).alias("r_"), F.col(c).alias(f"shadow_{c}"))
-        out = out.join(dealt, ["b_", "r_"])
-    return out.drop("b_", "r_")
+    one = F.lit(1).alias("one_")
+    rows = ranges.running(df.select("*", one), [], [F.col(key)], ["one_"]).drop("one_").withColumnRenamed("one__before", "r_")
+    cells = df.select(key, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("c_", "v_"))
+    cells = cells.select("c_", "v_", F.xxhash64(F.lit(seed), "c_", key).alias("h_"), F.col(key).alias("k_"), one)
+    dealt = ranges.running(cells, ["c_"], [F.col("h_"), F.col("k_")], ["one_"])
+    wide = dealt.groupBy(F.col("one__before").alias("r_")).agg(*[F.max(F.when(F.col("c_") == k, F.col("v_"))).alias(f"shadow_{c}") for k, c in enumerate(columns)])
+    return rows.join(wide, "r_").drop("r_")
 
 
 def selection_table(spark, state: dict[str, str], history: list[tuple]) -> DataFrame:
@@ -207,11 +315,12 @@ def selection_table(spark, state: dict[str, str], history: list[tuple]) -> DataF
 
 def kolmogorov_smirnov(df: DataFrame, value: str, sample: str) -> DataFrame:
     """``(statistic, p)`` of the two-sample test between the rows for which ``sample`` holds and all others."""
-    steps = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.when(F.col(sample), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(sample), 0).otherwise(1)).alias("b"))
-    up, every = Window.orderBy(value), Window.partitionBy()
-    gap = F.abs(F.try_divide(F.sum("a").over(up), F.sum("a").over(every)) - F.try_divide(F.sum("b").over(up), F.sum("b").over(every)))
-    found = steps.select(gap.alias("g"), "a", "b").agg(F.max("g").alias("statistic"), F.sum("a").alias("n"), F.sum("b").alias("m"))
-    size = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
+    steps = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v_")).agg(F.sum(F.when(F.col(sample), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(sample), 0).otherwise(1)).alias("b"))
+    placed = ranges.running(steps, [], [F.col("v_")], ["a", "b"])
+    n, m = placed.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    share = lambda c, of: F.try_divide(F.col(f"{c}_before") + F.col(c), F.lit(of))
+    found = placed.agg(F.max(F.abs(share("a", n) - share("b", m))).alias("statistic"))
+    size = F.lit(math.sqrt(n * m / (n + m)) if n and m else None).cast("double")
     x = (size + 0.12 + 0.11 / size) * F.col("statistic")
     terms = [2 * (-1) ** (j - 1) * F.exp(-2 * j * j * x * x) for j in range(1, 40)]
     return found.select("statistic", F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(terms[1:], terms[0])))).alias("p"))

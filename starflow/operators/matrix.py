@@ -1,15 +1,23 @@
-"""Preparation of feature tables: clamping, imputation, scaling, folds. A table has an id column and value columns."""
+"""Preparation of feature tables: clamping, imputation, scaling, folds. A table has an id column and value columns.
+
+Imputers and scalers are fitted on one table and applied to others; they are small records of numbers (and, for the
+nearest rows, a reference table) that ``save`` writes and ``load`` reads.
+"""
 
 from __future__ import annotations
 
-import math
+import json
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from starflow.operators import ranges
 from starflow.operators.extract import clamp_sql
 
 
@@ -27,58 +35,140 @@ def clamped(df: DataFrame, columns: list[str]) -> DataFrame:
     return _each(df, columns, lambda c: F.expr(clamp_sql(f"cast(`{c}` AS DOUBLE)")))
 
 
-def impute(df: DataFrame, columns: list[str], strategy: str = "mean", k: int = 3, constant: float = 0.0, null_share: float = 0.5, key: str = "id") -> DataFrame:
-    """``df`` without nulls in ``columns``; NaN and infinities count as nulls.
+@dataclass
+class Imputer:
+    """What fills the nulls of a table, learnt from a (training) table: a number a column, or the nearest rows of it.
+    The ``empty`` columns had too many nulls and are 0 throughout."""
+
+    columns: list[str]
+    fills: dict[str, float | None]
+    strategy: str = "mean"
+    k: int = 3
+    key: str = "id"
+    reference: DataFrame | None = None
+    empty: tuple[str, ...] = ()
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` without nulls in the fitted columns; NaN and infinities count as nulls."""
+        df = _each(df, self.columns, finite_or_null)
+        near = [c for c in self.columns if c not in self.empty] if self.strategy == "knn" else []
+        if near:
+            df = _nearest(df, self.reference, near, self.k, self.key)
+        value = lambda c: F.lit(0.0) if c in self.empty else F.col(c) if c in near else F.coalesce(F.col(c), F.lit(self.fills[c]))
+        return _each(df, self.columns, value)
+
+
+def fit_imputer(df: DataFrame, columns: list[str], strategy: str = "mean", k: int = 3, constant: float = 0.0, null_share: float = 0.5, key: str = "id") -> Imputer:
+    """Learn what fills nulls (NaN and infinities count as such).
 
     Columns with more than ``null_share`` nulls become 0. Others are filled with their mean, their median, their most
-    frequent value (the smallest of equals), a constant, or (``knn``) the mean of the ``k`` nearest rows that have the
-    value, by the distance over the columns that both rows have, scaled up to all columns; a column's mean where there
-    is no such row.
+    frequent value (the smallest of equals), a constant, or (``knn``) the mean of the ``k`` nearest rows of ``df`` that
+    have the value, by the distance over the columns that both rows have, scaled up to all columns; a column's mean
+    where there is no such row.
     """
     df = _each(df, columns, finite_or_null)
     shares = df.agg(*[F.avg(F.when(F.col(c).isNull(), 1.0).otherwise(0.0)).alias(c) for c in columns]).first().asDict()
-    empty = {c for c in columns if (shares[c] or 0) > null_share}
+    empty = tuple(c for c in columns if (shares[c] or 0) > null_share)
     if strategy == "knn":
-        return _each(_nearest(df, [c for c in columns if c not in empty], k, key), list(empty), lambda c: F.lit(0.0))
-    fills = {
-        "mean": lambda c: F.avg(c),
-        "median": lambda c: F.median(c),
-        "mode": lambda c: F.mode(c, True),
-        "constant": lambda c: F.lit(float(constant)),
-    }
-    found = df.agg(*[fills[strategy](c).alias(c) for c in columns]).first().asDict()  # one row
-    return _each(df, columns, lambda c: F.lit(0.0) if c in empty else F.coalesce(F.col(c), F.lit(found[c])))
-
-
-def _nearest(df: DataFrame, columns: list[str], k: int, key: str, blocks: int = 8) -> DataFrame:
-    """Rows that lack values meet all rows in blocks; each keeps the k nearest that have the value, column by column."""
+        return Imputer(columns, {c: 0.0 if c in empty else None for c in columns}, strategy, k, key, df.select(key, *columns), empty)
+    found = {
+        "mean": lambda: df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict(),
+        "median": lambda: {c: v[0] for c, v in ranges.quantiles(df, columns, [0.5]).items()},
+        "mode": lambda: ranges.modes(df, columns),
+        "constant": lambda: dict.fromkeys(columns, float(constant)),
+    }[strategy]()
+    return Imputer(columns, {c: 0.0 if c in empty else found[c] for c in columns}, strategy, k, key, None, empty)
+
+
+def impute(df: DataFrame, columns: list[str], strategy: str = "mean", k: int = 3, constant: float = 0.0, null_share: float = 0.5, key: str = "id") -> DataFrame:
+    """``df`` filled by what ``fit_imputer`` learns from it."""
+    return fit_imputer(df, columns, strategy, k, constant, null_share, key).transform(df)
+
+
+def _nearest(df: DataFrame, reference: DataFrame, columns: list[str], k: int, key: str, block: int = 4096) -> DataFrame:
+    """Rows that lack values meet the reference's rows, blocks of both; from a pair of blocks come the k nearest rows that
+    have the value, for each row and column, and of all pairs' the k nearest are taken. A row lacks what it looks for, so
+    that it is not its own neighbour."""
     lacking = df.where(F.array_contains(F.array(*[F.col(c).isNull() for c in columns]), True))
-    left = lacking.select(F.col(key).alias("i"), F.array(*columns).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = df.select(F.col(key).alias("j"), F.array(*columns).alias("y"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    pairs = left.join(right, "block").where("i <> j")
-    gaps = F.zip_with("x", "y", lambda a, b: (a - b) * (a - b))
-    shared = F.size(F.filter(gaps, lambda g: g.isNotNull()))
-    total = F.aggregate(F.filter(gaps, lambda g: g.isNotNull()), F.lit(0.0), lambda s, g: s + g)
-    near = pairs.select("i", "j", "x", "y", (F.try_divide(total * len(columns), shared)).alias("d")).where("d IS NOT NULL")
-    cells = near.select("i", "j", "d", F.posexplode(F.zip_with("x", "y", lambda a, b: F.when(a.isNull(), b))).alias("c", "v")).where("v IS NOT NULL")
-    ranked = cells.withColumn("r", F.row_number().over(Window.partitionBy("i", "c").orderBy("d", "j"))).where(F.col("r") <= k)
-    filled = ranked.groupBy("i", "c").agg(F.avg("v").alias("v")).groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("fill"))
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
-    joined = df.join(filled.withColumnRenamed("i", "i_"), F.col(key) == F.col("i_"), "left")
-    value = lambda c: F.coalesce(F.col(c), F.try_element_at("fill", F.lit(columns.index(c))), F.lit(means[c]))
+    lefts, rights = max(1, -(-lacking.count() // block)), max(1, -(-reference.count() // block))
+    hashed = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = lacking.select(key, *columns, hashed(lefts).alias("l_"), numbers(rights).alias("r_"))
+    right = reference.select(*[F.col(c).alias(c) for c in (key, *columns)], hashed(rights).alias("r_"), numbers(lefts).alias("l_"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = a[columns].to_numpy(float), b[columns].to_numpy(float)
+        has_x, has_y = ~np.isnan(x), ~np.isnan(y)
+        x0, y0 = np.where(has_x, x, 0), np.where(has_y, y, 0)
+        own, ids, out = a[key].to_numpy(), b[key].to_numpy(), []
+        for lo in range(0, len(a), 256):
+            s = slice(lo, lo + 256)
+            shared = has_x[s].astype(float) @ has_y.T.astype(float)
+            total = np.zeros(shared.shape)
+            for c in range(len(columns)):
+                total += np.where(has_x[s, c, None] & has_y[None, :, c], (x0[s, c, None] - y0[None, :, c]) ** 2, 0)
+            with np.errstate(all="ignore"):
+                d = np.where(shared > 0, total * len(columns) / shared, np.inf)
+            for c in range(len(columns)):
+                for i in np.flatnonzero(~has_x[s, c]):
+                    at = np.flatnonzero(has_y[:, c] & np.isfinite(d[i]))
+                    at = at[np.lexsort((ids[at], d[i][at]))[:k]]
+                    out += [(own[lo + i], c, d[i][j], ids[j], y[j, c]) for j in at]
+        return pd.DataFrame(out, columns=["i", "c", "d", "j", "v"])
+
+    kind = df.schema[key].dataType.simpleString()
+    near = left.groupBy("l_", "r_").cogroup(right.groupBy("l_", "r_")).applyInPandas(compare, f"i {kind}, c int, d double, j {kind}, v double")
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("i", "c").orderBy("d", "j"))).where(F.col("r") <= k)
+    filled = ranked.groupBy("i", "c").agg(F.avg("v").alias("v")).groupBy(F.col("i").alias("i_")).agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("fill_"))
+    means = reference.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
+    joined = df.join(filled, F.col(key) == F.col("i_"), "left")
+    value = lambda c: F.coalesce(F.col(c), F.try_element_at("fill_", F.lit(columns.index(c))), F.lit(means[c]))
     return joined.select(*[value(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
+@dataclass
+class Scaler:
+    """Shift and divisor of each column."""
+
+    bounds: dict[str, tuple[float, float]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return _each(df, list(self.bounds), lambda c: (F.col(c) - F.lit(self.bounds[c][0])) / F.lit(self.bounds[c][1]))
+
+
+def fit_scaler(df: DataFrame, columns: list[str], method: str = "standard") -> Scaler:
     """Columns about 0 or within 0 and 1: ``standard`` (mean, population deviation), ``minmax`` or ``robust`` (median,
     interquartile range). A column without spread is only shifted."""
-    bounds = {
-        "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
-        "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "robust": lambda c: (F.median(c), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
-    }[method]
-    found = df.agg(*[e.alias(f"{c}{side}") for c in columns for side, e in zip(("_lo", "_by"), bounds(c))]).first().asDict()
-    return _each(df, columns, lambda c: (F.col(c) - F.lit(found[f"{c}_lo"])) / F.lit(found[f"{c}_by"] or 1.0))
+    if method == "robust":
+        found = {c: (v[1], v[2] - v[0]) if v[0] is not None else (0.0, 1.0) for c, v in ranges.quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
+    else:
+        pair = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c))}[method]
+        row = df.agg(*[F.struct(*[e.cast("double").alias(n) for n, e in zip("ab", pair(c))]).alias(c) for c in columns]).first()
+        found = {c: (row[c]["a"] or 0.0, row[c]["b"]) for c in columns}
+    return Scaler({c: (a, b or 1.0) for c, (a, b) in found.items()})
+
+
+def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
+    return fit_scaler(df, columns, method).transform(df)
+
+
+def save(fitted: Imputer | Scaler, spark: SparkSession, path: str) -> None:
+    """Write an imputer or a scaler below ``path``."""
+    if isinstance(fitted, Scaler):
+        record = {"bounds": fitted.bounds}
+    else:
+        record = {f: v for f, v in fitted.__dict__.items() if f != "reference"}
+        if fitted.reference is not None:
+            fitted.reference.write.mode("overwrite").parquet(f"{path}/reference")
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/record")
+
+
+def load(spark: SparkSession, path: str) -> Imputer | Scaler:
+    record = json.loads(spark.read.text(f"{path}/record").first().value)
+    if "bounds" in record:
+        return Scaler({c: tuple(b) for c, b in record["bounds"].items()})
+    reference = spark.read.parquet(f"{path}/reference") if record["strategy"] == "knn" else None
+    return Imputer(**(record | {"reference": reference, "empty": tuple(record["empty"])}))
 
 
 def whiten(df: DataFrame, columns: list[str], prefix: str = "pc") -> DataFrame:
@@ -103,8 +193,3 @@ def folds(df: DataFrame, k: int, key: str = "id", label: str | None = None, seed
     chunk = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(64))
     by = [F.col(label)] if label else []
     return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(*by, chunk).orderBy(order, key)) + chunk, F.lit(k)).cast("int"))
-
-
-def population_factor(n: int) -> float:
-    """By what a value scaled with the sample deviation is to be multiplied for the population's."""
-    return math.sqrt(n / (n - 1)) if n > 1 else 1.0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,14 +30,82 @@ power AS (SELECT lc_id, k, frequency, (ss * yc * yc + cc * ys * ys - 2 * cs * yc
 
 def best_periods(power: DataFrame, count: int = 1, apart: int = 5) -> DataFrame:
     """``(lc_id, rank, period, power)``: the ``count`` highest local maxima of each series, ``apart`` steps from each other."""
-    from pyspark.sql import Window
-
     near = Window.partitionBy("lc_id").orderBy("k").rowsBetween(-apart, apart)
     peaks = power.where("power IS NOT NULL").withColumn("top", F.max(F.struct("power", "k")).over(near)).where("top.k = k")
     ranked = peaks.withColumn("rank", F.row_number().over(Window.partitionBy("lc_id").orderBy(F.desc("power"), "k")))
     return ranked.where(F.col("rank") <= count).select("lc_id", "rank", (1 / F.col("frequency")).alias("period"), "power")
 
 
+def refine_periods(points: DataFrame, coarse: DataFrame, count: int = 1, oversampling: float = 5, steps: int = 50) -> DataFrame:
+    """``(lc_id, rank, period, power)``: the peaks of a coarse scan, searched again on ``steps`` frequencies to each side
+    up to the next frequency of the coarse grid, and ranked anew. ``coarse`` is of ``best_periods``: more peaks than
+    wanted, five at least, find a peak that the coarse grid undervalues."""
+    spans = points.groupBy("lc_id").agg((1 / (F.max("time") - F.min("time")) / oversampling).alias("step"))
+    fine = coarse.join(spans, "lc_id").select(
+        "lc_id", F.col("rank").alias("peak"), F.explode(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda j: 1 / F.col("period") + j * F.col("step") / steps)).alias("frequency")
+    )
+    power = points.sparkSession.sql(f"WITH {power_at_sql('{points}', '{fine}')} SELECT * FROM power", points=points, fine=fine.where("frequency > 0"))
+    best = power.groupBy("lc_id", "peak").agg(F.max(F.struct("power", "frequency")).alias("b")).where("b.power IS NOT NULL")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lc_id").orderBy(F.desc("b.power"), "peak")))
+    return ranked.where(F.col("rank") <= count).select("lc_id", "rank", (1 / F.col("b.frequency")).alias("period"), F.col("b.power").alias("power"))
+
+
+def power_at_sql(source: str, frequencies: str) -> str:
+    """``power (lc_id, peak, frequency, power)`` of ``source`` at the rows of ``frequencies(lc_id, peak, frequency)``."""
+    return f"""
+heavy AS (SELECT *, CASE WHEN e > 0 THEN 1 / (e * e) ELSE 0e0 END AS w FROM {source}),
+means AS (SELECT lc_id, min(time) AS t0, sum(w * x) / nullif(sum(w), 0) AS mu FROM heavy GROUP BY lc_id),
+waves AS (SELECT h.lc_id, peak, frequency, w, x - mu AS y, cos(2 * pi() * (time - t0) * frequency) AS c, sin(2 * pi() * (time - t0) * frequency) AS s
+          FROM heavy h JOIN means m ON h.lc_id = m.lc_id JOIN {frequencies} f ON h.lc_id = f.lc_id),
+sums AS (SELECT lc_id, peak, frequency, sum(w * y * y) AS yy, sum(w * y * c) AS yc, sum(w * y * s) AS ys, sum(w * c * c) AS cc, sum(w * s * s) AS ss, sum(w * c * s) AS cs
+         FROM waves GROUP BY lc_id, peak, frequency),
+power AS (SELECT lc_id, peak, frequency, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / nullif(yy * (cc * ss - cs * cs), 0) AS power FROM sums)"""
+
+
+def multiband_sql(source: str, oversampling: float = 5, nyquist: float = 3) -> str:
+    """``power (lc_id, k, frequency, power)`` of points of several bands ``(lc_id, band, seq, time, x, e)``.
+
+    All bands of a series share its grid of frequencies; each has a mean and a sinusoid of its own. The power is the
+    bands' mean, weighted by their scatter about their means: the share of all scatter that the model explains.
+    """
+    return f"""
+heavy AS (SELECT *, CASE WHEN e > 0 THEN 1 / (e * e) ELSE 0e0 END AS w FROM {source}),
+ends AS (SELECT lc_id, count(*) AS n, min(time) AS t0, max(time) - min(time) AS span FROM heavy GROUP BY lc_id),
+means AS (SELECT lc_id, band, sum(w * x) / nullif(sum(w), 0) AS mu FROM heavy GROUP BY lc_id, band),
+grid AS (SELECT lc_id, t0, span, explode(sequence(1, cast(greatest(1, floor(0.5 * {oversampling} * {nyquist} * n)) AS INT))) AS k FROM ends WHERE span > 0),
+waves AS (SELECT h.lc_id, h.band, k, k / (span * {oversampling}e0) AS frequency, w, x - mu AS y, cos(2 * pi() * (time - t0) * k / (span * {oversampling}e0)) AS c,
+          sin(2 * pi() * (time - t0) * k / (span * {oversampling}e0)) AS s
+          FROM heavy h JOIN means m ON h.lc_id = m.lc_id AND h.band = m.band JOIN grid g ON h.lc_id = g.lc_id WHERE mu IS NOT NULL),
+sums AS (SELECT lc_id, band, k, max(frequency) AS frequency, sum(w * y * y) AS yy, sum(w * y * c) AS yc, sum(w * y * s) AS ys,
+         sum(w * c * c) AS cc, sum(w * s * s) AS ss, sum(w * c * s) AS cs FROM waves GROUP BY lc_id, band, k),
+gains AS (SELECT *, coalesce((ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / nullif(cc * ss - cs * cs, 0), 0e0) AS gain FROM sums),
+power AS (SELECT lc_id, k, max(frequency) AS frequency, sum(gain) / nullif(sum(yy), 0) AS power FROM gains GROUP BY lc_id, k)"""
+
+
+def fit_bands(points: DataFrame, periods: DataFrame) -> DataFrame:
+    """``(lc_id, band, period, t0, offset, cosine, sine)``: the least-squares sinusoid of each band at its series' period."""
+    heavy = points.join(periods.where("rank = 1").select("lc_id", "period"), "lc_id").withColumn("w", F.when(F.col("e") > 0, 1 / (F.col("e") * F.col("e"))).otherwise(0.0))
+    start = points.groupBy("lc_id").agg(F.min("time").alias("t0"))
+    turn = 2 * F.pi() * (F.col("time") - F.col("t0")) / F.col("period")
+    waves = heavy.join(start, "lc_id").withColumn("c", F.cos(turn)).withColumn("s", F.sin(turn))
+    mean = F.sum(F.col("w") * F.col("x")).over(Window.partitionBy("lc_id", "band")) / F.nullif(F.sum("w").over(Window.partitionBy("lc_id", "band")), F.lit(0.0))
+    waves = waves.withColumn("mu", mean).withColumn("y", F.col("x") - F.col("mu"))
+    dot = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"{a}{b}")
+    sums = waves.groupBy("lc_id", "band").agg(F.max("period").alias("period"), F.max("t0").alias("t0"), F.max("mu").alias("offset"), dot("y", "c"), dot("y", "s"), dot("c", "c"), dot("s", "s"), dot("c", "s"))
+    det = F.nullif(F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs"), F.lit(0.0))
+    cosine, sine = (F.col("yc") * F.col("ss") - F.col("ys") * F.col("cs")) / det, (F.col("ys") * F.col("cc") - F.col("yc") * F.col("cs")) / det
+    return sums.select("lc_id", "band", "period", "t0", "offset", F.coalesce(cosine, F.lit(0.0)).alias("cosine"), F.coalesce(sine, F.lit(0.0)).alias("sine"))
+
+
+def predict_bands(fits: DataFrame, at: DataFrame) -> DataFrame:
+    """``at(lc_id, band, time)`` with ``model``. A band that its series was not fitted with is an error."""
+    joined = at.join(fits, ["lc_id", "band"], "left")
+    turn = 2 * F.pi() * (F.col("time") - F.col("t0")) / F.col("period")
+    model = F.col("offset") + F.col("cosine") * F.cos(turn) + F.col("sine") * F.sin(turn)
+    unknown = F.raise_error(F.concat(F.lit("no fit of band "), F.col("band").cast("string"), F.lit(" of series "), F.col("lc_id").cast("string"))).cast("double")
+    return joined.select(*at.columns, F.when(F.col("period").isNull(), unknown).otherwise(model).alias("model"))
+
+
 def grid_size(shortest: float, longest: float, span: float, oversampling: float = 5) -> int:
     """Steps of a frequency grid between two periods, fine enough for the span."""
     if not 0 < shortest < longest:
@@ -45,29 +113,54 @@ def grid_size(shortest: float, longest: float, span: float, oversampling: float
     return int((1 / shortest - 1 / longest) * span * oversampling) + 1
 
 
+def periodic_spline(values: np.ndarray) -> np.ndarray:
+    """Second derivatives, by phase step, of the cubic spline through a template's values that closes on itself."""
+    n = len(values)
+    if n < 3:
+        return np.zeros(n)
+    system = 4 * np.eye(n) + np.roll(np.eye(n), 1, 0) + np.roll(np.eye(n), -1, 0)
+    return np.linalg.solve(system, 6 * (np.roll(values, -1) - 2 * values + np.roll(values, 1)))
+
+
+def spline_at(values: np.ndarray, bends: np.ndarray, phase: np.ndarray) -> np.ndarray:
+    """A template at any phases."""
+    n = len(values)
+    place = (phase % 1) * n
+    k = np.minimum(place.astype(int), n - 1)
+    b = place - k
+    a, nxt = 1 - b, (k + 1) % n
+    return a * values[k] + b * values[nxt] + ((a**3 - a) * bends[k] + (b**3 - b) * bends[nxt]) / 6
+
+
 def fit_templates(points: DataFrame, periods: DataFrame, templates: dict[str, np.ndarray], phases: int = 50) -> DataFrame:
     """``(lc_id, template, offset, amplitude, phase, chi2)``: the best template of each series at its period.
 
     ``templates`` holds values at evenly spaced phases of [0, 1), a small table that goes to the tasks; between phases
-    they are interpolated, around the end too. At each of ``phases`` shifts, offset and amplitude (not negative) follow
-    by weighted least squares.
+    a cubic spline runs through them, around the end too. At each of ``phases`` shifts, offset and amplitude (not
+    negative) follow by weighted least squares; the best shift is then narrowed between its neighbours by golden section.
     """
-    names = sorted(templates)
+    splines = {name: (v := np.asarray(templates[name], float), periodic_spline(v)) for name in sorted(templates)}
+    ratio = (5**0.5 - 1) / 2
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         t, x, w = rows["time"].to_numpy(), rows["x"].to_numpy(), 1 / np.maximum(rows["e"].to_numpy(), 1e-12) ** 2
         turn, best = t / rows["period"].iloc[0], (np.inf,)
-        for name in names:
-            v = np.asarray(templates[name], float)
-            grid = np.arange(len(v) + 1) / len(v)
-            for shift in np.arange(phases) / phases:
-                m = np.interp((turn + shift) % 1, grid, np.r_[v, v[0]])
-                mm, mx = np.average(m, weights=w), np.average(x, weights=w)
+        mx = np.average(x, weights=w)
+        for name, (values, bends) in splines.items():
+
+            def fit(shift: float) -> tuple:
+                m = spline_at(values, bends, turn + shift)  # noqa: B023
+                mm = np.average(m, weights=w)
                 spread = (w * (m - mm) ** 2).sum()
                 a = max(0.0, (w * (m - mm) * (x - mx)).sum() / spread) if spread > 0 else 0.0
-                chi2 = (w * (x - mx - a * (m - mm)) ** 2).sum()
-                if chi2 < best[0]:
-                    best = (chi2, name, mx - a * mm, a, shift)
+                return ((w * (x - mx - a * (m - mm)) ** 2).sum(), name, mx - a * mm, a, shift % 1)  # noqa: B023
+
+            found = min((fit(s) for s in np.arange(phases) / phases), key=lambda f: f[0])
+            lo, hi = found[4] - 1 / phases, found[4] + 1 / phases
+            while hi - lo > 1e-7:
+                left, right = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+                lo, hi = (lo, right) if fit(left)[0] < fit(right)[0] else (left, hi)
+            best = min(best, found, fit((lo + hi) / 2), key=lambda f: f[0])
         chi2, name, offset, a, shift = best
         return pd.DataFrame([(key[0], name, offset, a, shift, chi2)], columns=["lc_id", "template", "offset", "amplitude", "phase", "chi2"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starflow.functions import features
-from starflow.operators import learn, matrix, periods, prepare, simulate
+from starflow.operators import learn, matrix, model, periods, prepare, simulate
 from starflow.operators.extract import extract
 from starflow.session import cut, table
 from starflow.sources.tables import light_curves, light_curves_sql
@@ -69,6 +69,44 @@ for _view in ("flux", "mag", "orders"):
             ORACLES[_name] = _features_sql(_view, _groups(_weighted), _weighted, _space)
 
 
+# --- features whose SQL is written by hand, not by the engine ------------------------------------------------------
+
+_NORMED = "b AS (SELECT lc_id, time, seq, mag AS raw, mag / max(mag) OVER (PARTITION BY lc_id) AS x, magerr / max(mag) OVER (PARTITION BY lc_id) AS e FROM lc)"
+ORACLES[FLAGSHIP] = settled_sql(BASIC, f"""
+WITH lc AS ({light_curves_sql("flux")}), {_NORMED},
+g AS (SELECT lc_id, count(*) AS n, median(x) AS med, stddev_pop(x) AS sd, sum(x / (e * e)) / sum(1 / (e * e)) AS mu FROM b GROUP BY lc_id)
+SELECT lc_id, any_value(mu) AS meanMag, sum((x - mu) * (x - mu) / (e * e)) / sum(1 / (e * e)) AS variance,
+       sqrt(sum((x - mu) * (x - mu) / (e * e)) / sum(1 / (e * e))) AS root_mean_squared, sum(x * x / (e * e)) AS abs_energy,
+       avg(abs((x - med) / e)) / sqrt(avg(((x - med) / e) * ((x - med) / e))) AS stetsonK,
+       sum(1 / (e * e)) FILTER (WHERE x - med > sd) / sum(1 / (e * e)) AS above1
+FROM b JOIN g USING (lc_id) GROUP BY lc_id""", ["lc_id"])
+CHECKED = ["LinearTrend", "PercentAmplitude", "amplitude", "auto_corr", "benford_correlation", "c3", "check_for_duplicate", "complexity", "con_above1", "count_above", "cusum",
+           "first_loc_max", "integrate", "kurtosis", "longest_strike_above", "meanMag", "mean_abs_change", "mean_n_abs_max", "medianAbsDev", "number_of_crossings", "permutation_entropy",
+           "quantile_25", "ratio_recurring_points", "skewness", "std_over_mean", "stetsonK"]
+QUERIES["lc_features_independent"] = partial(_features, view="flux", wanted=CHECKED, weighted=False, space="flux")
+ORACLES["lc_features_independent"] = settled_sql(CHECKED, f"""
+WITH lc AS ({light_curves_sql("flux")}), {_NORMED},
+o AS (SELECT *, row_number() OVER t - 1 AS i, lead(x) OVER t AS x1, lead(x, 2) OVER t AS x2, lead(time) OVER t AS t1, median(x) OVER g AS med, stddev_samp(x) OVER g AS spread,
+      row_number() OVER (PARTITION BY lc_id ORDER BY abs(x) DESC) AS big FROM b WINDOW t AS (PARTITION BY lc_id ORDER BY time, seq), g AS (PARTITION BY lc_id)),
+marked AS (SELECT *, i - row_number() OVER (PARTITION BY lc_id, x > med ORDER BY i) AS up, i - row_number() OVER (PARTITION BY lc_id, x >= med + spread ORDER BY i) AS far,
+      sum(x - med) OVER (PARTITION BY lc_id ORDER BY i) AS drift FROM o),
+longest AS (SELECT lc_id, max(n) AS longest FROM (SELECT lc_id, up, count(*) AS n FROM marked WHERE x > med GROUP BY ALL) GROUP BY lc_id),
+outliers AS (SELECT lc_id, count(*) AS outliers FROM (SELECT lc_id, far FROM marked WHERE x >= med + spread GROUP BY ALL HAVING count(*) >= 3) GROUP BY lc_id),
+orders AS (SELECT lc_id, entropy((x <= x1)::VARCHAR || (x <= x2)::VARCHAR || (x1 <= x2)::VARCHAR) * ln(2) AS disorder FROM o WHERE x2 IS NOT NULL GROUP BY lc_id),
+values_ AS (SELECT lc_id, avg((n > 1)::INT) AS recurring FROM (SELECT lc_id, x, count(*) AS n FROM b GROUP BY ALL) GROUP BY lc_id),
+digits AS (SELECT lc_id, d, count(*) FILTER (WHERE d = least(9, greatest(1, floor(abs(x) / pow(10, floor(log10(abs(x)))))))) / count(*) AS share FROM b, range(1, 10) t(d) WHERE x <> 0 GROUP BY ALL),
+law AS (SELECT lc_id, corr(share, log10(1 + 1 / d)) AS benford FROM digits GROUP BY lc_id)
+SELECT lc_id, regr_slope(x, time) AS LinearTrend, max(abs(x - med)) / any_value(med) AS PercentAmplitude, quantile_cont(raw, 0.99) - quantile_cont(raw, 0.01) AS amplitude,
+       corr(x, x1) AS auto_corr, any_value(benford) AS benford_correlation, avg(x * x1 * x2) AS c3, (count(DISTINCT x) < count(*))::INT AS check_for_duplicate,
+       sqrt(avg((x1 - x) * (x1 - x))) AS complexity, coalesce(any_value(outliers), 0) / count(*) AS con_above1, avg((x > med)::INT) AS count_above,
+       (max(drift) - min(drift)) / (count(*) * stddev_pop(x)) AS cusum, min(i) FILTER (WHERE x = 1) / count(*) AS first_loc_max, sum((x + x1) / 2 * (t1 - time)) AS integrate,
+       kurtosis_pop(x) AS kurtosis, coalesce(any_value(longest), 0) / count(*) AS longest_strike_above, avg(x) AS meanMag, avg(abs(x1 - x)) AS mean_abs_change,
+       avg(abs(x)) FILTER (WHERE big <= 10) AS mean_n_abs_max, mad(x) AS medianAbsDev, count(*) FILTER (WHERE (x > med) <> (x1 > med)) / count(*) AS number_of_crossings,
+       any_value(disorder) AS permutation_entropy, quantile_cont(x, 0.25) AS quantile_25, any_value(recurring) AS ratio_recurring_points, skewness(x) AS skewness,
+       stddev_pop(x) / avg(x) AS std_over_mean, avg(abs((x - med) / e)) / sqrt(avg(((x - med) / e) * ((x - med) / e))) AS stetsonK
+FROM marked LEFT JOIN longest USING (lc_id) LEFT JOIN outliers USING (lc_id) LEFT JOIN orders USING (lc_id) LEFT JOIN values_ USING (lc_id) LEFT JOIN law USING (lc_id) GROUP BY lc_id""", ["lc_id"])
+
+
 # --- features that NumPy computes per series ---------------------------------------------------------------------
 
 PAIRWISE = ["check_for_duplicate", "ratio_recurring_points", "sample_entropy"]
@@ -118,18 +156,40 @@ _FLUX = prepare.flux_sql("lc_points", False)
 register("lc_prepared", "mag", ("lc_id", "seq"), ("r", "re", "x", "e"), lambda _: f"{prepare.flux_sql('lc_points')} SELECT lc_id, seq, r, re, x, e FROM flux")
 register("lc_derivative", "flux", ("lc_id", "seq"), ("nfd", "nfde"), lambda _: f"{_FLUX}, {prepare.derivative_sql()} SELECT lc_id, seq, nfd, nfde FROM deriv2")
 _NORM = f"{_FLUX}, norm AS (SELECT lc_id, seq, time, x, e FROM flux)"
-register("lc_periodogram", "flux", ("lc_id", "k"), ("frequency", "power"),
-         lambda engine: f"{_NORM}, {periods.periodogram_sql('norm', engine, most=50)} SELECT lc_id, k, frequency, power FROM power")
-
-
-
-def lc_periodogram_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power of every series on its whole grid of frequencies; the SQL of ``lc_periodogram`` holds the first 50."""
-    text = f"WITH {_NORM}, {periods.periodogram_sql('norm')} SELECT lc_id, k, frequency, power FROM power"
-    return _shared(spark, sf_dir, text=text, view="flux", keys=("lc_id", "k"))
-
-
-QUERIES["lc_periodogram_full"] = lc_periodogram_full
+for _name, _view in (("lc_periodogram", "flux"), ("lc_periodogram_full", "mag")):  # both on whole grids
+    register(_name, _view, ("lc_id", "k"), ("frequency", "power"),
+             lambda engine: f"{_NORM}, {periods.periodogram_sql('norm', engine)} SELECT lc_id, k, frequency, power FROM power")
+
+
+def lc_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best period of every series: five peaks of the whole grid, each searched again on a finer one."""
+    points = spark.sql(f"WITH {_FLUX} SELECT lc_id, seq, time, x, e FROM flux".replace("lc_points", "{p}"), p=prepare.finite(light_curves(spark, sf_dir, "flux")))
+    points = cut(points)
+    power = spark.sql(f"WITH {periods.periodogram_sql('{p}')} SELECT * FROM power", p=points)
+    return settled(periods.refine_periods(points, cut(periods.best_periods(power, 5))), "lc_id", "rank")
+
+
+def lc_multiband(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power of every user's events on a grid of frequencies, the kinds of event as bands."""
+    points = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("lc_id"), F.col("event_type").alias("band"), F.col("event_id").alias("seq"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6).alias("time"), F.col("value").cast("double").alias("x"), (0.5 + 0.02 * F.col("value")).alias("e"),
+    )
+    return settled(spark.sql(f"WITH {periods.multiband_sql('{p}')} SELECT lc_id, k, frequency, power FROM power", p=points), "lc_id", "k")
+
+
+QUERIES |= {"lc_periods": lc_periods, "lc_multiband": lc_multiband}
+ORACLES["lc_multiband"] = settled_sql(["frequency", "power"], """
+WITH p AS (SELECT user_id AS lc_id, event_type AS band, epoch_us(ts) / 86400e6 AS time, value AS x, 1 / ((0.5e0 + 0.02e0 * value) * (0.5e0 + 0.02e0 * value)) AS w FROM events),
+ends AS (SELECT lc_id, count(*) AS n, min(time) AS t0, max(time) - min(time) AS span FROM p GROUP BY lc_id),
+deviations AS (SELECT p.*, x - sum(w * x) OVER (PARTITION BY lc_id, band) / sum(w) OVER (PARTITION BY lc_id, band) AS y FROM p),
+steps AS (SELECT *, unnest(range(1, cast(floor(7.5 * n) AS INT) + 1)) AS k FROM ends WHERE span > 0),
+terms AS (SELECT d.lc_id, band, k, k / (span * 5) AS frequency, w, y, cos(2 * pi() * (time - t0) * k / (span * 5)) AS c, sin(2 * pi() * (time - t0) * k / (span * 5)) AS s
+  FROM deviations d JOIN steps USING (lc_id)),
+bands AS (SELECT lc_id, band, k, any_value(frequency) AS frequency, sum(w * y * y) AS scatter,
+  sum(w * y * c) AS yc, sum(w * y * s) AS ys, sum(w * c * c) AS cc, sum(w * s * s) AS ss, sum(w * c * s) AS cs FROM terms GROUP BY lc_id, band, k),
+fits AS (SELECT *, (yc * ss - ys * cs) / nullif(cc * ss - cs * cs, 0) AS a, (ys * cc - yc * cs) / nullif(cc * ss - cs * cs, 0) AS b FROM bands)
+SELECT lc_id, k, any_value(frequency) AS frequency, sum(coalesce(a * yc + b * ys, 0)) / nullif(sum(scatter), 0) AS power FROM fits GROUP BY lc_id, k""", ["lc_id", "k"])
 
 _TRIES = "tries AS (SELECT lc_id, seq, time, attempt, 19e0 AS baseline FROM lc_points CROSS JOIN (SELECT 0 AS attempt UNION ALL SELECT 1 UNION ALL SELECT 2) a)"
 
@@ -150,6 +210,22 @@ register("sim_quality_cataclysmic", "flux", ("lc_id", "attempt", "passed"), (),
     _simulated, chain=simulate.cataclysmic_sql, relation="erupting", test=simulate.cataclysmic_quality_sql("noisy", "outbursts"), passing="erupted"))
 
 
+def lc_quality_microlensing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given series that look like a lensed one, with their brightest point as the peak."""
+    points = light_curves(spark, sf_dir, "mag")
+    lows = points.groupBy("lc_id").agg(F.median("mag").alias("baseline"), F.min_by("time", F.struct("mag", "seq")).alias("t0"), ((F.max("time") - F.min("time")) / 8).alias("te"))
+    noisy = points.join(lows, "lc_id").select("lc_id", F.lit(0).alias("attempt"), "time", F.col("mag").alias("noisy_mag"), "magerr", "baseline", "t0", "te", F.lit(0.5).alias("u0"), F.lit(0.4).alias("blend"))
+    return spark.sql(f"WITH {simulate.microlensing_quality_sql('{noisy}')} SELECT lc_id FROM passing", noisy=noisy)
+
+
+QUERIES["lc_quality_microlensing"] = lc_quality_microlensing
+ORACLES["lc_quality_microlensing"] = f"""
+WITH p AS ({light_curves_sql("mag")}),
+lows AS (SELECT lc_id, median(mag) AS baseline, arg_min(time, (mag, seq)) AS t0, (max(time) - min(time)) / 8 AS te FROM p GROUP BY lc_id),
+near AS (SELECT lc_id, baseline, mag, (baseline - mag) / magerr > 3 AS high, (baseline - mag) / magerr >= 3 AS three FROM p JOIN lows USING (lc_id) WHERE time >= t0 - te AND time <= t0 + te)
+SELECT lc_id FROM near GROUP BY lc_id HAVING count(*) >= 7 AND bool_or(three) AND avg(mag) < any_value(baseline) - 0.05 AND count(*) FILTER (WHERE high) >= 0.33 * count(*)"""
+
+
 def sim_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of simulated curves of five classes on the cadences of the events."""
     points = cut(simulate.training_points(light_curves(spark, sf_dir, "flux")))
@@ -162,20 +238,21 @@ QUERIES["sim_training_set"] = sim_training_set
 
 # --- feature tables ------------------------------------------------------------------------------------------------
 
-WIDTH = 8
+WIDTH = 64
 COLUMNS = [f"c{k}" for k in range(WIDTH)]
+SPARSE = 7  # the column that is mostly missing
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str, holes: bool = False) -> DataFrame:
-    """``(id, label, c0..c7)`` of the vectors' first components, with every eleventh cell (and most of c7) missing."""
+    """``(id, label, c0..c63)`` of the vectors' components, with every eleventh cell (and most of c7) missing."""
     cell = lambda k: F.col("embedding")[k].cast("double")
-    gap = lambda k: (F.col("vec_id") * 7 + k) % 11 == 0 if k < 7 else F.col("vec_id") % 3 > 0
+    gap = lambda k: (F.col("vec_id") * 7 + k) % 11 == 0 if k != SPARSE else F.col("vec_id") % 3 > 0
     value = lambda k: F.when(~gap(k), cell(k)) if holes else cell(k)
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), *[value(k).alias(c) for k, c in enumerate(COLUMNS)])
 
 
 def _matrix_sql(holes: bool) -> str:
-    gap = lambda k: f"(vec_id * 7 + {k}) % 11 = 0" if k < 7 else "vec_id % 3 > 0"
+    gap = lambda k: f"(vec_id * 7 + {k}) % 11 = 0" if k != SPARSE else "vec_id % 3 > 0"
     value = lambda k: f"CASE WHEN NOT ({gap(k)}) THEN embedding[{k + 1}]::DOUBLE END" if holes else f"embedding[{k + 1}]::DOUBLE"
     return f"SELECT vec_id AS id, label::VARCHAR AS label, {', '.join(f'{value(k)} AS {c}' for k, c in enumerate(COLUMNS))} FROM embeddings"
 
@@ -199,15 +276,16 @@ for _strategy, _fill in _FILLS.items():
     _cells = ", ".join(f"CASE WHEN avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END) OVER () > 0.5 THEN 0e0 ELSE coalesce({c}, {_fill(c)}) END AS {c}" for c in COLUMNS)
     ORACLES[f"impute_{_strategy}"] = settled_sql(COLUMNS, f"WITH m AS ({_matrix_sql(True)}) SELECT id, label, {_cells} FROM m", ["id", "label"])
 QUERIES["impute_knn"] = partial(_imputed, strategy="knn")
-_seven = COLUMNS[:7]
-_gaps = "[" + ", ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _seven) + "]"
+_filled = [c for k, c in enumerate(COLUMNS) if k != SPARSE]
 ORACLES["impute_knn"] = settled_sql(COLUMNS, f"""
 WITH m AS ({_matrix_sql(True)}),
-near AS (SELECT a.id AS i, b.id AS j, list_sum(list_filter({_gaps}, lambda g: g IS NOT NULL)) * 7 / len(list_filter({_gaps}, lambda g: g IS NOT NULL)) AS d,
-         {', '.join(f'CASE WHEN a.{c} IS NULL THEN b.{c} END AS {c}' for c in _seven)} FROM m a JOIN m b ON a.id <> b.id),
-{', '.join(f'f{k} AS (SELECT i, avg({c}) AS {c} FROM (SELECT i, {c}, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM near WHERE {c} IS NOT NULL AND d IS NOT NULL) WHERE r <= 3 GROUP BY i)' for k, c in enumerate(_seven))}
-SELECT id, label, {', '.join(f'coalesce(m.{c}, f{k}.{c}) AS {c}' for k, c in enumerate(_seven))}, 0e0 AS c7
-FROM m {' '.join(f'LEFT JOIN f{k} ON f{k}.i = m.id' for k in range(7))}""", ["id", "label"])
+v AS (SELECT id, [{', '.join(_filled)}] AS x FROM m),
+apart AS (SELECT a.id AS i, b.id AS j, a.x AS x, b.x AS y, list_filter([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(a.x, b.x)], lambda g: g IS NOT NULL) AS g FROM v a JOIN v b ON a.id <> b.id),
+near AS (SELECT i, j, x, y, list_sum(g) * {len(_filled)} / len(g) AS d FROM apart WHERE len(g) > 0),
+cells AS (SELECT i, k, y[k] AS value, row_number() OVER (PARTITION BY i, k ORDER BY d, j) AS r FROM near, range(1, {len(_filled) + 1}) t(k) WHERE x[k] IS NULL AND y[k] IS NOT NULL),
+fills AS (SELECT i, k, avg(value) AS value FROM cells WHERE r <= 3 GROUP BY i, k),
+wide AS (SELECT i, {', '.join(f'max(CASE WHEN k = {k + 1} THEN value END) AS {c}' for k, c in enumerate(_filled))} FROM fills GROUP BY i)
+SELECT id, label, {', '.join(f'0e0 AS {c}' if k == SPARSE else f'coalesce(m.{c}, wide.{c}) AS {c}' for k, c in enumerate(COLUMNS))} FROM m LEFT JOIN wide ON wide.i = m.id""", ["id", "label"])
 _SCALES = {
     "standard": ("avg({0}) OVER ()", "stddev_pop({0}) OVER ()"),
     "minmax": ("min({0}) OVER ()", "(max({0}) OVER () - min({0}) OVER ())"),
@@ -250,8 +328,8 @@ SELECT actual, predicted, n, coalesce(n / nullif(sum(n) OVER (PARTITION BY actua
 
 
 def ml_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confusion matrix of a forest on the vectors' first components, three folds."""
-    return learn.confusion(learn.cross_predict(feature_matrix(spark, sf_dir), COLUMNS, kind="rf", k=3, numTrees=10))
+    """Confusion matrix of a forest on all components of the vectors, by the operator's ten folds and hundred trees."""
+    return learn.confusion(learn.cross_predict(feature_matrix(spark, sf_dir), COLUMNS, kind="rf"))
 
 
 def ml_feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +337,17 @@ def ml_feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.selection_table(spark, *learn.select_features(feature_matrix(spark, sf_dir), COLUMNS))
 
 
+def ml_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class probabilities of all series from their points, by a classifier of users' most frequent kind of event that
+    was created from the features of every second one."""
+    points = light_curves(spark, sf_dir, "flux")
+    kinds = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("lc_id"), "event_type").count()
+    labels = kinds.groupBy("lc_id").agg(F.max_by("event_type", F.struct("count", "event_type")).alias("label"))
+    features = cut(extract(points.where("lc_id % 2 = 0"), CLASSIFIED, convert=False).join(labels, "lc_id"))
+    fitted = model.Classifier.create(features, CLASSIFIED, key="lc_id", impute="median")
+    return settled(fitted.predict(points, convert=False))
+
+
 def lc_window_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of each series by day, as the streaming operator takes them."""
     points = table(spark, sf_dir, "events").select(F.col("user_id").alias("lc_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("mag"), (0.5 + 0.02 * F.col("value")).alias("magerr"))
@@ -267,7 +356,8 @@ def lc_window_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(out.select("lc_id", day, "n", "mean", "variance", "weighted_mean", "smallest", "largest"))
 
 
-QUERIES |= {"ml_cross_validated": ml_cross_validated, "ml_feature_selection": ml_feature_selection, "lc_window_moments": lc_window_moments}
+CLASSIFIED = ["meanMag", "variance", "skewness", "kurtosis", "stetsonJ", "c3", "amplitude", "LinearTrend_deriv"]
+QUERIES |= {"ml_classified": ml_classified, "ml_cross_validated": ml_cross_validated, "ml_feature_selection": ml_feature_selection, "lc_window_moments": lc_window_moments}
 ORACLES["lc_window_moments"] = settled_sql(["mean", "variance", "weighted_mean", "smallest", "largest"], """
 SELECT user_id AS lc_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day, count(*) AS n, avg(value) AS mean, var_pop(value) AS variance,
        sum(CASE WHEN e > 0 THEN value / (e * e) ELSE 0 END) / nullif(sum(CASE WHEN e > 0 THEN 1 / (e * e) ELSE 0 END), 0) AS weighted_mean, min(value) AS smallest, max(value) AS largest

@@ -73,6 +73,26 @@ def read_xml_table(spark: SparkSession, path: str, row: str, schema: str) -> Dat
     return spark.read.format("xml").option("rowTag", row).schema(schema).load(path)
 
 
+def read_votable(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of a VOTable's ``TABLEDATA``, whose cells have no names but places: ``columns`` names the first of them. Cells
+    that aren't numbers are null."""
+    cells = spark.read.format("xml").option("rowTag", "TR").schema("TD array<string>").load(path)
+    return cells.select(*[F.get("TD", F.lit(k)).try_cast("double").alias(c) for k, c in enumerate(columns)])
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """``(lc_id, seq, time, mag, magerr, class)`` of the points that ``write_points`` wrote. ``seq`` numbers a series'
+    points in the order of time, which is what the file keeps."""
+    points = spark.read.parquet(path).select(F.col("id").alias("lc_id"), "time", F.col("mag").cast("double"), F.col("magerr").cast("double"), "class")
+    return points.withColumn("seq", (F.row_number().over(Window.partitionBy("lc_id").orderBy("time", "mag", "magerr")) - 1).cast("long"))
+
+
+def write_selection(selection: DataFrame, path: str) -> None:
+    """The results of feature selection as CSV: feature, mean and deviation of its importance, decision, best first."""
+    ordered = selection.where("decision <> 'shadow'").orderBy(F.desc("mean"), "feature")  # a row a feature
+    ordered.select("feature", "mean", "deviation", "decision").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_points(points: DataFrame, path: str) -> None:
     """Points as Parquet: class, id, time, and magnitude and error as 32-bit floats."""
     points.select("class", F.col("lc_id").alias("id"), "time", F.col("mag").cast("float"), F.col("magerr").cast("float")).write.mode("overwrite").parquet(path)

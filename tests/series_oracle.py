@@ -30,6 +30,56 @@ def first_digit(v):
     return int(abs(v) / 10.0 ** np.floor(np.log10(abs(v))))
 
 
+def log_phi(z):
+    """Logarithm of the normal distribution, in the far tail by its continued fraction."""
+    if z >= -8:
+        return math.log(phi(z))
+    f = 0.0
+    for k in range(60, 0, -1):
+        f = k / (-z + f)
+    return -z * z / 2 - math.log(math.sqrt(2 * math.pi) * (-z + f))
+
+
+def phi(z):
+    """The normal distribution by Simpson's rule over its density, from the far tail."""
+    if z < -8:
+        return math.exp(log_phi(z))
+    if z > 12:
+        return 1.0
+    grid = np.linspace(-12, z, 8001)
+    density = np.exp(-(grid**2) / 2) / math.sqrt(2 * math.pi)
+    return float((density[0] + density[-1] + 4 * density[1:-1:2].sum() + 2 * density[2:-1:2].sum()) * (grid[1] - grid[0]) / 3)
+
+
+def anderson(x, w, weighted):
+    """Logistic of the Anderson-Darling statistic, point by point."""
+    n = len(x)
+    mu = sum(w * x) / sum(w)
+    sd = math.sqrt(sum(w * (x - mu) ** 2) / sum(w)) if weighted else float(np.std(x, ddof=1))
+    p = [phi((v - mu) / sd) for v in sorted(x)]
+    tail = [phi(-(v - mu) / sd) for v in sorted(x)]
+    if weighted:
+        eps = float(np.finfo(float).eps)
+        p, tail = [min(max(v, eps), 1 - eps) for v in p], [min(max(v, eps), 1 - eps) for v in tail]
+    a2 = -n - sum((2 * i + 1) * (math.log(p[i]) + math.log(tail[n - 1 - i])) for i in range(n)) / n
+    return 1 / (1 + math.exp(-10 * (a2 - 0.3)))
+
+
+def shannon(x, e, w, weighted):
+    """Bits of the normal and the inverse normal distribution at each value plus and minus its error."""
+    centre = float(np.median(x))
+    sd = math.sqrt(sum(w * (x - sum(w * x) / sum(w)) ** 2) / sum(w)) if weighted else math.sqrt(np.mean((x - centre) ** 2))
+    if not centre > 0:
+        return math.nan
+    total, mu = 0.0, sd * sd / centre
+    for v, s in zip(x, e):
+        for side in (v + s, v - s):
+            y = side / centre
+            inverse = phi((y / mu - 1) / math.sqrt(y)) + math.exp(2 / mu + log_phi(-(y / mu + 1) / math.sqrt(y))) if y > 0 else 0.0
+            total += (1 / (s * s + 1e-12) if weighted else 1.0) * 2 * s * (math.log2(phi((side - centre) / sd) + 1e-12) + math.log2(inverse + 1e-12))
+    return -total
+
+
 def features(t, x, e, weighted):
     with np.errstate(all="ignore"):
         return _features(t, x, e, weighted)
@@ -47,7 +97,7 @@ def _features(t, x, e, weighted):
     e2 = e[1:] ** 2 + e[:-1] ** 2
     e3 = e[2:] ** 2 + e[1:-1] ** 2 + e[:-2] ** 2
     share = lambda m: float(w[m].sum() / w.sum())
-    out = {}
+    out = {"AndersonDarling": anderson(x, w, weighted), "shannon_entropy": shannon(x, e, w, weighted and bool(w0.sum()))}
     for name, k in (("20", 0.1), ("35", 0.175), ("50", 0.25), ("65", 0.325), ("80", 0.4)):
         out[f"FluxPercentileRatioMid{name}"] = (q(0.5 + k) - q(0.5 - k)) / (q(0.95) - q(0.05))
     lo, hi = x <= q(0.03), x >= q(0.97)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starflow.operators import learn, matrix, periods, prepare, simulate
+from starflow.operators import learn, matrix, model, periods, prepare, ranges, simulate
 from starflow.plans import catalog
 from starflow.sources import files
 from starflow.streaming import online
@@ -38,6 +38,10 @@ def test_tables_round_trip(spark, tmp_path):
     points = files.from_arrays(spark, [np.array([[1, 2, 0.1], [2, 3, 0.1]])])
     files.write_points(points, f"{tmp_path}/points")
     assert dict(spark.read.parquet(f"{tmp_path}/points").dtypes)["mag"] == "float"
+    back = files.read_points(spark, f"{tmp_path}/points")
+    assert [(r.lc_id, r.seq, r.time, r.mag, r["class"]) for r in back.orderBy("seq").collect()] == [(1, 0, 1.0, 2.0, "ML"), (1, 1, 2.0, 3.0, "ML")]
+    (tmp_path / "v.xml").write_text("<VOTABLE><TABLEDATA><TR><TD>1.5</TD><TD>x</TD></TR><TR><TD>2</TD><TD>3</TD></TR></TABLEDATA></VOTABLE>")
+    assert sorted(tuple(r) for r in files.read_votable(spark, f"{tmp_path}/v.xml", ["a", "b"]).fillna(-1).collect()) == [(1.5, -1.0), (2.0, 3.0)]
     assert files.points_of(points, label="ML").count() == 2 and files.points_of(points, lc_id=9).count() == 0
     (tmp_path / "t.xml").write_text("<r><s><p>1.5</p></s><s><p>2.5</p></s></r>")
     assert [r.p for r in files.read_xml_table(spark, f"{tmp_path}/t.xml", "s", "p double").collect()] == [1.5, 2.5]
@@ -86,8 +90,17 @@ def test_period_search_and_templates(spark):
     best = periods.best_periods(power, 2)
     found = {r.lc_id: r.period for r in best.where("rank = 1").collect()}
     assert abs(found[1] - 3.7) < 0.1 and abs(found[2] - 5.2) < 0.15
-    fits = {r.lc_id: r for r in periods.fit_templates(points, best, {"sine": shape, "saw": np.arange(32) / 32}).collect()}
-    assert all(f.template == "sine" and abs(f.amplitude - 0.5) < 0.1 and abs(f.offset - 2) < 0.1 for f in fits.values())
+    fine = {r.lc_id: r for r in periods.refine_periods(points, periods.best_periods(power, 5)).collect()}
+    assert all(fine[lc].power >= r.power - 1e-12 for lc, r in {r.lc_id: r for r in best.where("rank = 1").collect()}.items())
+    assert abs(fine[1].period - 3.7) < 0.02 and abs(fine[2].period - 5.2) < 0.03
+    fits = {r.lc_id: r for r in periods.fit_templates(points, spark.createDataFrame(list(fine.values())), {"sine": shape, "saw": np.arange(32) / 32}).collect()}
+    assert all(f.template == "sine" and abs(f.amplitude - 0.5) < 0.05 and abs(f.offset - 2) < 0.05 for f in fits.values())
+    for lc, period in ((1, 3.7), (2, 5.2)):  # no shift of a grid fits as well
+        t, x = np.array([(r[2], r[3]) for r in rows if r[0] == lc]).T
+        wave = 2 * np.pi * (t / fine[lc].period + fits[lc].phase)
+        assert fits[lc].chi2 == pytest.approx((((x - fits[lc].offset - fits[lc].amplitude * np.sin(wave)) / 0.05) ** 2).sum(), rel=1e-3)
+    values = np.array([0.0, 2.0, -1.0, 0.5])
+    assert np.allclose(periods.spline_at(values, periods.periodic_spline(values), np.array([0, 0.25, 0.5, 0.75, 1.25])), [0, 2, -1, 0.5, 2])
     assert periods.grid_size(0.5, 2, 100) == 751
     with pytest.raises(ValueError):
         periods.grid_size(2, 1, 100)
@@ -120,6 +133,35 @@ def test_folds(spark):
     assert len(sizes) == 6 and min(sizes) > 120
 
 
+def test_fitted_preparation_of_new_rows(spark, tmp_path):
+    old = spark.createDataFrame([(1, 1.0, 10.0, None), (2, 3.0, 20.0, None), (3, 3.0, None, 5.0), (4, 9.0, 40.0, None)], "id long, a double, b double, c double")
+    new = spark.createDataFrame([(1, None, 20.0, 7.0), (9, 8.0, float("nan"), None)], "id long, a double, b double, c double")
+    want = {"mean": [(4.0, 20.0, 0.0), (8.0, 70 / 3, 0.0)], "median": [(3.0, 20.0, 0.0), (8.0, 20.0, 0.0)], "mode": [(3.0, 20.0, 0.0), (8.0, 10.0, 0.0)], "constant": [(-1.0, 20.0, 0.0), (8.0, -1.0, 0.0)], "knn": [(3.0, 20.0, 0.0), (8.0, 40.0, 0.0)]}
+    for strategy, rows in want.items():
+        fitted = matrix.fit_imputer(old, ["a", "b", "c"], strategy, k=1, constant=-1)
+        matrix.save(fitted, spark, f"{tmp_path}/{strategy}")
+        for one in (fitted, matrix.load(spark, f"{tmp_path}/{strategy}")):
+            assert [(r.a, r.b, r.c) for r in one.transform(new).orderBy("id").collect()] == [pytest.approx(w) for w in rows]
+    scaler = matrix.fit_scaler(old.fillna(0), ["a", "b"], "minmax")
+    matrix.save(scaler, spark, f"{tmp_path}/scaler")
+    assert [r.a for r in matrix.load(spark, f"{tmp_path}/scaler").transform(new).orderBy("id").collect()] == [None, 7 / 8]
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(500, 3)), 1)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double").withColumn("c", F.when(F.col("id") < 5, F.col("c"))).repartition(7)
+    shares = [0, 0.25, 0.5, 0.9, 1]
+    got = ranges.quantiles(df, ["a", "b", "c"], shares)
+    assert np.allclose([got["a"], got["b"], got["c"]], [np.quantile(x[:, 0], shares), np.quantile(x[:, 1], shares), np.quantile(x[:5, 2], shares)])
+    values, times = np.unique(x[:, 0], return_counts=True)
+    assert ranges.modes(df, ["a"])["a"] == values[times.argmax()] and ranges.quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+    placed = {r.id: (r.n_before, r.a_before) for r in ranges.running(df.withColumn("n", F.lit(1)), ["b"], [F.col("a"), F.col("id")], ["n"], ["a"]).collect()}
+    for i in (3, 77, 400):
+        before = [v for j, v in enumerate(x) if v[1] == x[i, 1] and (v[0], j) < (x[i, 0], i)]
+        assert placed[i] == (len(before), max((v[0] for v in before), default=None))
+
+
 @pytest.mark.parametrize("kind", ["rf", "nn", "xgb"])
 def test_training(spark, tmp_path, kind):
     df = table(spark)
@@ -149,14 +191,56 @@ def test_evaluation(spark):
     assert len(mean) == 11 and mean[0].tpr == 0 and mean[-1].tpr == 1
 
 
+def test_scores(spark):
+    rows = [(0, "a", "a"), (0, "a", "b"), (0, "b", "b"), (0, "b", "b"), (1, "a", "a"), (1, "b", "a")]
+    two = spark.createDataFrame(rows, "fold int, actual string, predicted string")
+    by = lambda df, m: [r.score for r in learn.fold_scores(df, m).orderBy("fold").collect()]
+    assert by(two, "precision") == [2 / 3, 0.0] and by(two, "recall") == [1.0, 0.0] and by(two, "f1") == [0.8, 0.0] and by(two, "accuracy") == [0.75, 0.5]
+    three = spark.createDataFrame([(0, "a", "a"), (0, "b", "c"), (0, "c", "c")], "fold int, actual string, predicted string")
+    assert by(three, "f1") == [pytest.approx((1 + 0 + 2 / 3) / 3)] and learn.score(three, "recall")[0] == pytest.approx(2 / 3)
+    shares = spark.createDataFrame([(0, a, c, p if c == "b" else 1 - p) for a, p in (("a", 0.1), ("b", 0.4), ("a", 0.35), ("b", 0.8)) for c in "ab"], "fold int, actual string, class string, probability double")
+    assert learn.score(shares, "roc_auc")[0] == 1.0
+    weights = {r.label: r.weight_ for r in learn.balanced(spark.createDataFrame([("a",), ("a",), ("a",), ("b",)], "label string")).collect()}
+    assert weights == {"a": pytest.approx(4 / 6), "b": 2.0}
+
+
+def test_classifier_from_points_to_probabilities(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(lc, k, float(k), float(10 + (lc % 2) * 3 * np.sin(k) + rng.normal(0, 0.3)), 0.3) for lc in range(60) for k in range(40)]
+    points = spark.createDataFrame(rows, "lc_id long, seq long, time double, mag double, magerr double")
+    from starflow.operators.extract import extract
+
+    names = ["variance", "meanMag", "c3", "stetsonK_deriv"]
+    table = extract(points, names, convert=False).withColumn("label", F.when(F.col("lc_id") % 2 == 1, "wave").otherwise("flat")).withColumn("c3", F.when(F.col("lc_id") % 9 > 0, F.col("c3"))).cache()
+    fitted = model.Classifier.create(table, names, key="lc_id", trials=2, k=2, selection_trials=6, kind="rf")
+    assert set(fitted.decisions) == set(names) and "tentative" not in fitted.decisions.values() and len(fitted.trials) == 2 and "variance" in fitted.columns
+    fitted.save(spark, f"{tmp_path}/bundle")
+    again = model.Classifier.load(spark, f"{tmp_path}/bundle")
+    assert again.columns == fitted.columns and again.trials == fitted.trials and again.decisions == fitted.decisions
+    fresh = points.withColumn("lc_id", F.col("lc_id") + 1000)
+    for one in (fitted, again):
+        got = one.predict(fresh, convert=False).collect()
+        assert len(got) == 120 and {r.n_points for r in got} == {40} and [r["class"] for r in got if r.lc_id == 1000] == ["flat", "wave"]
+        assert np.mean([(r.probability > 0.5) == ((r["class"] == "wave") == (r.lc_id % 2 == 1)) for r in got]) > 0.95
+    files.write_selection(learn.selection_table(spark, fitted.decisions, fitted.selection), f"{tmp_path}/selection")
+    kept = spark.read.option("header", True).csv(f"{tmp_path}/selection")
+    assert kept.columns == ["feature", "mean", "deviation", "decision"] and kept.count() == len(names)
+
+
 def test_selection_and_optimisation(spark):
     df = table(spark, 120).cache()
     state, history = learn.select_features(df, ["x", "y", "z"], trials=6, trees=10, level=0.2)
     assert state["x"] == "accepted" and state["y"] != "accepted"
     top = learn.selection_table(spark, state, history).first()
     assert top.feature == "x"
-    shuffled = learn.shuffled(df, ["x"], "id", 3)
-    assert sorted(r.shadow_x for r in shuffled.collect()) == sorted(r.x for r in df.collect())
+    shuffled = learn.shuffled(df, ["x", "y"], "id", 3).collect()
+    assert sorted(r.shadow_x for r in shuffled) == sorted(r.x for r in df.collect()) and sorted(r.shadow_y for r in shuffled) == sorted(r.y for r in df.collect())
+    assert sum(r.x == r.shadow_x for r in shuffled) < 10 and np.corrcoef([r.shadow_x for r in shuffled], [r.shadow_y for r in shuffled])[0, 1] < 0.4
+    assert learn.settle_tentative({"x": "tentative", "y": "tentative", "z": "rejected"}, [(1, "x", 2.0, False), (1, "y", 0.1, False), (1, "shadow_x", 1.0, True)]) == {"x": "accepted", "y": "rejected", "z": "rejected"}
+    held_out, _ = learn.select_features(df, ["x", "y", "z"], trials=6, trees=10, level=0.2, train_share=0.7)
+    assert held_out["x"] == "accepted"
+    trials = [{"trial": i, "score": 0.5 + 0.4 * (d > 5), "params": {"maxDepth": d, "hidden": [i % 3], "mode": "uv"[i % 2]}} for i, d in enumerate((2, 3, 4, 6, 7, 8, 9, 3, 2, 8))]
+    assert learn.setting_importances(spark, trials).first().setting == "maxDepth"
     model, params, trials = learn.optimise(df, ["x", "y"], kind="rf", trials=1, k=2)
     assert params == {} and len(trials) == 1 and learn.predict(model, df).count() == 240
     best = learn.best_so_far(spark.createDataFrame([(1, 0.5), (2, 0.4), (3, 0.7)], "trial int, score double"))
@@ -212,9 +296,33 @@ def test_no_cadence_vanishes(spark):
 
 def test_registered_selection_decides(spark, monkeypatch):
     rng = np.random.default_rng(2)
+    names = catalog.COLUMNS[:8]
     rows = [(i, "ab"[i % 2], *map(float, rng.normal(size=8) + np.eye(8)[0] * 3 * (i % 2))) for i in range(300)]
-    df = spark.createDataFrame(rows, "id long, label string, " + ", ".join(f"{c} double" for c in catalog.COLUMNS)).cache()
+    df = spark.createDataFrame(rows, "id long, label string, " + ", ".join(f"{c} double" for c in names)).cache()
     monkeypatch.setattr(catalog, "feature_matrix", lambda *_: df)
+    monkeypatch.setattr(catalog, "COLUMNS", names)
     decided = {r.feature: r.decision for r in catalog.ml_feature_selection(spark, "").collect()}
     assert decided["c0"] == "accepted"
-    assert "rejected" in [decided[c] for c in catalog.COLUMNS[1:]] and "accepted" not in [decided[c] for c in catalog.COLUMNS[1:]]
+    assert "rejected" in [decided[c] for c in names[1:]] and "accepted" not in [decided[c] for c in names[1:]]
+
+
+def test_bands(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for lc, period in ((1, 2.3), (2, 4.1)):
+        for k, t in enumerate(np.sort(rng.uniform(0, 40, 90))):
+            band = "gr"[k % 2]
+            rows.append((lc, band, k, float(t), float({"g": 1, "r": 5}[band] + {"g": 0.6, "r": 0.2}[band] * np.sin(2 * np.pi * t / period) + rng.normal(0, 0.02)), 0.02))
+    points = spark.createDataFrame(rows, "lc_id long, band string, seq long, time double, x double, e double").cache()
+    power = spark.sql(f"WITH {periods.multiband_sql('{p}')} SELECT * FROM power", p=points).cache()
+    best = periods.best_periods(power)
+    found = {r.lc_id: r.period for r in best.collect()}
+    assert abs(found[1] - 2.3) < 0.05 and abs(found[2] - 4.1) < 0.1
+    single = spark.sql(f"WITH {periods.periodogram_sql('{p}')} SELECT * FROM power", p=points.where("band = 'g'").drop("band"))
+    one = spark.sql(f"WITH {periods.multiband_sql('{p}')} SELECT * FROM power", p=points.where("band = 'g'"))
+    assert one.join(single.withColumnRenamed("power", "own"), ["lc_id", "k"]).where("abs(power - own) > 1e-9").count() == 0
+    fits = periods.fit_bands(points, best)
+    off = periods.predict_bands(fits, points).select((F.col("model") - F.col("x")).alias("d")).agg(F.sqrt(F.avg(F.col("d") * F.col("d")))).first()[0]
+    assert off < 0.15
+    with pytest.raises(Exception, match="no fit of band z"):
+        periods.predict_bands(fits, points.limit(1).withColumn("band", F.lit("z"))).collect()

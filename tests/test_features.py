@@ -1,3 +1,5 @@
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from series_oracle import derivative, features as expected
@@ -28,7 +30,7 @@ def points(spark):
 @pytest.mark.parametrize("weighted", [True, False])
 @pytest.mark.parametrize("convert", [True, False])
 def test_all_features_match_numpy(spark, points, weighted, convert):
-    names = [n for n in features.all_names() if n not in ("AndersonDarling", "shapiro_wilk", "shannon_entropy", "prominence_peaks", "number_cwt_like_peaks")]
+    names = [n for n in features.all_names() if n not in ("shapiro_wilk", "prominence_peaks", "number_cwt_like_peaks")]
     got = {r["lc_id"]: r.asDict() for r in extract(points, [*names, *[f"{n}_deriv" for n in names]], weighted, convert).collect()}
     wrong = []
     for lc in range(4):
@@ -90,9 +92,44 @@ def test_special_functions():
     assert np.allclose(grouped.log_normal_cdf(z)[2:], np.log(grouped.normal_cdf(z[2:])))
     assert np.allclose(grouped.log_normal_cdf(z)[:2], [-804.6084420137538, -224.4663405], rtol=1e-4)
     assert np.allclose(grouped.inverse_gaussian_cdf(np.array([0.0, 1.0, 1e9]), 1.0), [0, 0.6681020012231706, 1])
+
+
+def test_shapiro_wilk():
     # Shapiro and Wilk's published example: W = 0.79 to two digits
     w = grouped.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float), None, False)
     assert round(w, 2) == 0.79
-    assert grouped.prominence_peaks(np.array([0, 1, 1, 0, 0, 2, 0.0]), np.ones(7), False, apart=1) == 2 / 7
-    y = np.r_[np.linspace(0, 9, 10), np.linspace(8, 0, 9)]
-    assert grouped.cwt_like_peaks(y, np.ones(19), False) == 1 / 19
+    # three points: the coefficients are 1 / sqrt(2), so that W is half of the squared range over the squared scatter
+    assert grouped.shapiro_wilk(np.array([1.0, 2.0, 4.0]), None, False) == pytest.approx(0.5 * 9 / (14 / 3))
+    rng = np.random.default_rng(0)
+    scores = [grouped.shapiro_wilk(np.sort(rng.normal(size=n)), None, False) for n in (5, 6, 50, 500)]
+    assert all(0.85 < w <= 1 for w in scores) and grouped.shapiro_wilk(rng.exponential(size=500), None, False) < 0.9
+    exact = np.array([NormalDist().inv_cdf((i - 0.375) / 500.25) for i in range(1, 501)])
+    assert grouped.shapiro_wilk(exact, None, False) > 0.998
+    x = rng.normal(size=40)
+    assert grouped.shapiro_wilk(3 * x - 7, None, False) == pytest.approx(grouped.shapiro_wilk(x, None, False))
+    assert grouped.shapiro_wilk(np.ones(9), None, False) is None and grouped.shapiro_wilk(np.ones(2), None, False) is None
+
+
+@pytest.mark.parametrize("x,apart,want", [
+    ([0, 1, 1, 0, 0, 2, 0], 1, 2), ([0, 1, 0, 0, 2, 0], 25, 1), ([0, 5, 0, 1, 0, 5, 0], 1, 2), ([3, 3, 3], 1, 0), ([0, 1, 2, 3], 1, 0), ([0, 2, 0, 3, 0, 2, 0], 2, 1), ([1, 2, 2, 2, 1], 1, 1),
+])
+def test_prominence_peaks(x, apart, want):
+    assert grouped.prominence_peaks(np.array(x, float), np.ones(len(x)), False, apart=apart) == want / len(x)
+
+
+def test_prominence_peaks_are_weighed():
+    x, e = np.array([0, 4, 0, 0, 0, 4, 0.0]), np.array([1, 1, 1, 1, 1, 10, 1.0])
+    assert grouped.prominence_peaks(x, e, False, apart=1) == 2 / 7 and grouped.prominence_peaks(x, e, True, apart=1) == 1 / 7
+
+
+def test_wide_peaks():
+    y = np.r_[np.linspace(0, 9, 10), np.linspace(8, 0, 9)]  # a triangle, 9 high and as wide at half its height
+    one = np.ones(19)
+    assert grouped.cwt_like_peaks(y, one, False) == 1 / 19
+    assert grouped.cwt_like_peaks(y, one, False, width=9.0) == 1 / 19 and grouped.cwt_like_peaks(y, one, False, width=9.1) == 0
+    assert grouped.cwt_like_peaks(y, 20 * one, True) == 0  # below a prominence of 0.5 after division by the errors
+    two = np.r_[y, y[1:]]
+    assert grouped.cwt_like_peaks(two, np.ones(len(two)), False) == 2 / len(two)
+    flat = np.array([0, 1, 3, 3, 3, 3, 3, 3, 1, 0.0])
+    assert grouped.cwt_like_peaks(flat, np.ones(10), False) == 1 / 10
+    assert grouped.cwt_like_peaks(np.array([0, 9, 0, 9, 0.0]), np.ones(5), False) == 0  # high but narrow
