@@ -214,17 +214,18 @@ def near_duplicates(
     ``component_id`` is the smallest ``key`` among all that links reach, the row's own included.
 
     Null, empty and blank texts have fingerprint zero and are linked like others; shorter texts are one shingle. Equal
-    texts meet as one fingerprint, so copies cost one row each. A null key gets a null ``component_id`` unless its
+    texts meet as one fingerprint, so copies cost one row each. Rows that repeat a key with another text have a
+    fingerprint and a component each. A null key gets a null ``component_id`` unless its
     fingerprint is linked with one that has a key. Columns that bear the names of the results are replaced. An empty
     table stays empty.
     """
-    fp = stored(fingerprints(without(docs, ("fingerprint", "component_id")), text, "fp_", words, seed))
+    fp = stored(fingerprints(without(docs, ("fingerprint", "component_id", "of_fp_")), text, "fp_", words, seed))
     distinct = cut(fp.groupBy(F.col("fp_").alias("fp")).agg(F.min(F.col(key).cast("long")).alias("rep")))
-    links = near_links(distinct.where(F.col("rep").isNotNull()), budget, leaf)
+    links = near_links(distinct.where(F.col("rep").isNotNull()).select("fp", F.col("fp").alias("rep")), budget, leaf)
     parts = components(links)
-    named = distinct.join(parts, F.col("rep") == F.col("node"), "left").select(
-        F.col("fp").alias("of_fp_"), F.coalesce("component", "rep").alias("component_id")
-    )
+    placed = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = placed.join(least, "component").select(F.col("fp").alias("of_fp_"), "component_id")
     return (
         fp.join(named, F.col("fp_") == F.col("of_fp_"), "left")
         .withColumn("fingerprint", F.lpad(F.lower(F.hex("fp_")), 16, "0"))

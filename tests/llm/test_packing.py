@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +24,27 @@ def test_schedule_is_a_partition_of_all_tokens(totals, weights, window):
     assert sorted(places) == list(range(sum(totals)))
 
 
+@pytest.mark.parametrize("totals,weights,window", [([500, 90, 3000], [5, 1, 2], 64), ([40, 41, 42, 7], [1, 1, 1, 9], 30), ([100, 3], [1, 65535], 50)])
+def test_schedule_is_a_round_robin_window_by_window(totals, weights, window):
+    """Run the rounds one after another with exact deficits."""
+    s = packing.Schedule(totals, weights, window)
+    given, deficit, w = [0] * len(totals), [Fraction(0)] * len(totals), 0
+    live = [i for i, n in enumerate(totals) if n]
+    while live:
+        assert [s.given(i, w) for i in range(len(totals))] == given
+        share = sum(weights[i] for i in live)
+        for i in live:
+            deficit[i] += Fraction(window * weights[i], share)
+            gives = min(int(deficit[i]), totals[i] - given[i])
+            deficit[i] -= gives
+            given[i] += gives
+        w += 1
+        left = [i for i in live if given[i] < totals[i]]
+        if left != live:  # a source ran dry: the others begin anew with their new shares
+            live, deficit = left, [Fraction(0)] * len(totals)
+    assert [s.given(i, w) for i in range(len(totals))] == totals
+
+
 def test_word_by_word_ids_are_the_whole_texts(spark):
     texts = [None, "", "Don't STOP, it's 12.5%... ÉÀ Σς İ x y é a .b, c.,d <|endoftext|>z<|startoftext|> I'LL 你好,世界", "'s, t's. a'. ,a.", "x" * 5000, "A, b. " * 4000]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))

@@ -79,3 +79,9 @@ def test_edge_rows(spark):
     assert got == [(1, 1, "0" * 16), (2, 1, "0" * 16), (3, 3, fp), (4, 3, fp), (4, 3, fp)]
     assert out.where(F.col("doc_id").isNull()).first().component_id is None
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_repeated_key_with_another_text(spark):
+    rows = [(5, "one two three four"), (5, "quite another text of words"), (3, "one two three four"), (7, "quite another text of words"), (9, "w" * 200_000)]
+    got = {(r.doc_id, r.text[:3]): r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, "one"): 3, (3, "one"): 3, (5, "qui"): 5, (7, "qui"): 5, (9, "www"): 9}
