@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starflow.llm import langid, linededup, mixing, packing, simhash
-from starflow.llm.common import checkpoint_dir, table
+from starflow.llm.common import scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Target shares of the mix: the present shares of sources and topics to these powers; languages keep their shares.
@@ -66,9 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder, where they stay until the
+    application ends, and read again."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
