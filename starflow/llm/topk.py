@@ -4,8 +4,8 @@ Candidates are held in blocks. A block has one list per dimension, sorted by com
 read step by step from both ends, so that what is unread of a dimension lies between the two components read last.
 After each step a vector's score lies between what is known of it plus the smallest, and plus the largest, that each
 of its unread components can add. A query's border is its k-th largest lower bound, or the k-th best score of the
-blocks before, if larger; vectors whose upper bound is below it are out. Reading stops when every query has few vectors
-left that could qualify, or at the end of the lists; what is left is resolved by reading on, into these vectors only.
+blocks before, if larger; vectors whose upper bound is below it are out. Reading stops when the queries that share it
+have few vectors left that could qualify, or at the end of the lists; then the scores of what is left are resolved.
 
 Blocks meet queries in cells (block of queries, stripe of candidate blocks) of bounded size: the stated query set
 against all rows. A cell returns at most k rows a query, and Spark keeps the best k of them.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from starflow.llm.common import stored
 
 STEPS = (1 / 8, 3 / 16, 1 / 4, 9 / 32, 5 / 16, 11 / 32, 3 / 8, 13 / 32, 7 / 16, 15 / 32, 1 / 2)  # of a list, from each end
-FEW = 4  # times k: how many vectors a query may have left when reading stops
+FEW = 4  # times k: how many vectors a query may have left, in the mean, when reading stops
 AT_ONCE = 256  # queries that share a read of a block's lists
 STRIPE = 8  # blocks a cell holds, at most, where there are enough cells for all cores
 EXACT = 2.0**53  # up to here doubles hold the integers
@@ -131,7 +131,7 @@ def best(lists: Lists, own: np.ndarray, qs: np.ndarray, k: int, border: np.ndarr
             border = np.maximum(border, _kth(known + _paired(reader.unread, rows, least, cols), cols, m, k))
             left = known + _paired(reader.unread, rows, most, cols) >= border[cols]
             rows, cols = rows[left], cols[left]
-        if reader.ended or (rows is not None and np.bincount(cols, minlength=m).max(initial=0) <= FEW * k):
+        if reader.ended or (rows is not None and len(rows) <= FEW * k * m):
             break
     share = min(1.0, 2 * reader.at / n)
     reader.read(-(-n // 2))
