@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starflow.llm import langid, linededup, mixing, packing, pii, simhash, substrings, tokencounts, topk, vectordedup
+from starflow.llm import langid, lexical, linededup, mixing, packing, pii, simhash, substrings, tokencounts, topk, vectordedup
 from starflow.llm.common import table
 
 
@@ -75,6 +75,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "source")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item by weighted terms."""
+    return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_packing": op10_packing,
+    "op11_lexical": op11_lexical,
 }
 
 ORACLES = {
@@ -144,4 +150,5 @@ judged AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op11_lexical": lexical.RANK_SQL,
 }
