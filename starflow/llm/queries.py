@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starflow.llm import langid, lexical, linededup, mixing, packing, pii, simhash, substrings, tokencounts, topk, vectordedup
+from starflow.llm import langid, lexical, linededup, mixing, packing, pii, repair, simhash, substrings, tokencounts, topk, vectordedup
 from starflow.llm.common import table
 
 
@@ -80,6 +80,12 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after planted damage, and its cheapest repair."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_report(repair.damaged(given), given)
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
@@ -92,6 +98,7 @@ QUERIES = {
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_packing": op10_packing,
     "op11_lexical": op11_lexical,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES = {
