@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starflow.llm import langid, lexical, linededup, mixing, packing, pii, repair, simhash, substrings, tokencounts, topk, vectordedup
+from starflow.llm import langid, lexical, linededup, mixing, packing, pii, repair, simhash, substrings, tokencounts, topk, toxicity, vectordedup
 from starflow.llm.common import table
 
 
@@ -80,6 +80,13 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", toxicity.held_out().alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.predict(docs, toxicity.fit(docs, labels))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every conversation after planted damage, and its cheapest repair."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -98,6 +105,7 @@ QUERIES = {
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_packing": op10_packing,
     "op11_lexical": op11_lexical,
+    "op12_toxicity": op12_toxicity,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
