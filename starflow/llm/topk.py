@@ -52,7 +52,8 @@ class Lists:
     def of(cls, ids: np.ndarray, xs: np.ndarray) -> Lists:
         order = np.argsort(xs, axis=0, kind="stable").T
         values = np.take_along_axis(xs.T, order, 1)
-        size = next(t for t in (np.int16, np.int32, np.int64) if np.abs(values).max(initial=0) <= np.iinfo(t).max)
+        low, high = values.min(initial=0), values.max(initial=0)  # not by absolute values: the least long has none
+        size = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
         return cls(ids, order.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), values.astype(size))
 
 

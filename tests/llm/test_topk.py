@@ -61,3 +61,14 @@ def test_few_rows_and_empty(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     twice = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (1, [0.5]), (2, [0.5])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in topk.top_k(twice, twice.where("vec_id = 0"), k=3).orderBy("rank").collect()] == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_saturated_components(spark):
+    """Components beyond a long stand at its ends, on the right side."""
+    rows = [(0, [1.0]), (1, [-1e17]), (2, [-1.0]), (3, [2.0]), (4, [1e17])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.rank, r.vec_id) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 4), (2, 3), (3, 2), (4, 1)]
+    for ends in ([-(1 << 63), 0], [-(1 << 15), 5], [-(1 << 31) - 1, 1], [(1 << 63) - 1, 2], [1 << 15, -1]):
+        xs = np.array(ends, np.int64)[:, None]
+        lists = topk.Lists.of(np.arange(2), xs)
+        assert sorted(lists.values[0].tolist()) == sorted(ends)
