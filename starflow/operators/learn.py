@@ -7,6 +7,7 @@ import random
 import statistics
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -15,8 +16,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starflow.operators import ranges
+from starflow.operators import ranges, trees
 from starflow.operators.matrix import folds
+from starflow.operators.trees import isolation_forest, representative, shapley_importances
 from starflow.session import cut
 
 SEED = 1909
@@ -242,9 +244,38 @@ def binomial_tail(hits: int, trials: int) -> tuple[float, float]:
     return up, sum(math.comb(trials, j) for j in range(hits + 1)) / 2**trials
 
 
+def permutation_importances(df: DataFrame, columns: list[str], model: PipelineModel, label: str = "label", key: str = "id", repeats: int = 5, metric: str = "f1", seed: int = SEED) -> DataFrame:
+    """``(feature, importance, deviation)``: by how much a fitted model's score over ``df`` falls, in the mean of ``repeats``,
+    when the values of one column are dealt anew among the rows. ``metric`` as in ``fold_scores``."""
+    out = None
+    for repeat in range(repeats):
+        part = trees.permuted_counts(shuffled(df, columns, key, seed + repeat, "other_"), columns, model, label, "other_").withColumn("repeat", F.lit(repeat))
+        out = part if out is None else out.unionByName(part)
+    scores = count_scores(cut(out), ["feature", "repeat"], metric)
+    base = F.max(F.when(F.col("feature").isNull(), F.col("score"))).over(Window.partitionBy("repeat"))  # columns + 1 rows a repeat
+    drops = scores.withColumn("drop_", base - F.col("score")).where("feature IS NOT NULL")
+    return drops.groupBy("feature").agg(F.avg("drop_").alias("importance"), F.stddev_pop("drop_").alias("deviation"))
+
+
+def count_scores(counts: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """``fold_scores`` from ``(*by, actual, predicted, n)``, a score for each of ``by``."""
+    right = F.col("actual") == F.col("predicted")
+    if metric == "accuracy":
+        return counts.groupBy(*by).agg((F.sum(F.when(right, F.col("n")).otherwise(0)) / F.sum("n")).alias("score"))
+    one = lambda c, hit, said, there: F.struct(F.col(c).alias("c"), hit.alias("hit"), said.alias("said"), there.alias("there"))
+    n, none = F.col("n"), F.lit(0).cast("long")
+    marks = F.when(right, F.array(one("actual", n, n, n))).otherwise(F.array(one("actual", none, none, n), one("predicted", none, n, none)))
+    sums = counts.select(*by, F.explode(marks).alias("m")).groupBy(*by, "m.c").agg(F.sum("m.hit").alias("hit"), F.sum("m.said").alias("said"), F.sum("m.there").alias("there"))
+    under = {"precision": F.col("said"), "recall": F.col("there"), "f1": (F.col("said") + F.col("there")) / 2}[metric]
+    rates = sums.withColumn("rate", F.coalesce(F.try_divide(F.col("hit").cast("double"), under), F.lit(0.0)))
+    names = counts.agg(F.max("actual"), F.count_distinct("actual")).first()
+    return (rates.where(F.col("c") == names[0]) if names[1] == 2 else rates).groupBy(*by).agg(F.avg("rate").alias("score"))
+
+
 def select_features(
-    df: DataFrame, columns: list[str], label: str = "label", trials: int = 20, key: str = "id", level: float = 0.05, trees: int = 50, seed: int = SEED, train_share: float = 1.0
-) -> tuple[dict[str, str], list[tuple]]:
+    df: DataFrame, columns: list[str], label: str = "label", trials: int = 20, key: str = "id", level: float = 0.05, trees: int = 50, seed: int = SEED, train_share: float = 1.0,
+    importance: str = "gini", sample: bool = False,
+) -> tuple[dict[str, str], list[tuple]]:
     """Decisions ``accepted``, ``rejected`` or ``tentative`` for each feature, and the history
     ``(trial, feature, importance, shadow)``.
 
@@ -252,8 +283,15 @@ def select_features(
     on ``train_share`` of the rows (0.7 holds out 30 %, drawn anew by hash in each trial); a feature hits if its
     standardised importance exceeds that of every shadow. A feature whose hits are too many or too few for chance, by the
     binomial test with Bonferroni's correction, is decided; rejected features leave the trials.
+
+    ``importance``: ``gini``, the trees' gain of purity; ``shap``, the mean absolute Shapley value over the trial's rows;
+    ``perm``, the fall of f1 when a column is permuted. ``sample`` takes Shapley values of a representative sample only,
+    whose isolation scores are distributed as those of all rows.
     """
-    hits, state, history = dict.fromkeys(columns, 0), dict.fromkeys(columns, "tentative"), []
+    hits, state, history, within = dict.fromkeys(columns, 0), dict.fromkeys(columns, "tentative"), [], None
+    if sample and importance == "shap":
+        scored = cut(isolation_forest(df, columns, key=key, seed=seed).transform(df, "typical_").select(key, "typical_"))
+        within = cut(representative(scored, "typical_", key, seed=seed)[0].select(key))
     for trial in range(1, trials + 1):
         left = [c for c in columns if state[c] != "rejected"]
         if not left:
@@ -262,7 +300,15 @@ def select_features(
         if train_share < 1:
             mixed = mixed.where(F.pmod(F.xxhash64(F.lit(seed + trial), key), F.lit(10_000)) < train_share * 10_000)
         shadows = [f"shadow_{c}" for c in left]
-        weights = train(mixed, [*left, *shadows], label, "rf", numTrees=trees).stages[2].featureImportances.toArray()
+        if importance != "gini":
+            mixed = cut(mixed)
+        fitted = train(mixed, [*left, *shadows], label, "rf", numTrees=trees)
+        if importance == "gini":
+            weights = fitted.stages[2].featureImportances.toArray()
+        else:
+            found = shapley_importances(mixed if within is None else mixed.join(within, key, "left_semi"), [*left, *shadows], fitted) if importance == "shap" else permutation_importances(mixed, [*left, *shadows], fitted, label, key, seed=seed + trial)
+            named = {r.feature: r.importance for r in found.collect()}  # a row a column
+            weights = np.array([named.get(c, 0.0) for c in [*left, *shadows]])
         z = (weights - weights.mean()) / (weights.std() or 1.0)
         ceiling = z[len(left) :].max()
         for c, own in zip(left, z):
@@ -290,8 +336,8 @@ def settle_tentative(state: dict[str, str], history: list[tuple]) -> dict[str, s
     return {c: d if d != "tentative" else "accepted" if c in own and statistics.median(own[c]) > bar else "rejected" for c, d in state.items()}
 
 
-def shuffled(df: DataFrame, columns: list[str], key: str, seed: int) -> DataFrame:
-    """``df`` with ``shadow_<column>``: each column's values dealt anew among all rows.
+def shuffled(df: DataFrame, columns: list[str], key: str, seed: int, prefix: str = "shadow_") -> DataFrame:
+    """``df`` with ``shadow_<column>`` (or another prefix): each column's values dealt anew among all rows.
 
     Rows are numbered in one range-partitioned order, the values of each column in the order of their own hash, all
     columns in one table; they meet by number.
@@ -301,7 +347,7 @@ def shuffled(df: DataFrame, columns: list[str], key: str, seed: int) -> DataFram
     cells = df.select(key, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("c_", "v_"))
     cells = cells.select("c_", "v_", F.xxhash64(F.lit(seed), "c_", key).alias("h_"), F.col(key).alias("k_"), one)
     dealt = ranges.running(cells, ["c_"], [F.col("h_"), F.col("k_")], ["one_"])
-    wide = dealt.groupBy(F.col("one__before").alias("r_")).agg(*[F.max(F.when(F.col("c_") == k, F.col("v_"))).alias(f"shadow_{c}") for k, c in enumerate(columns)])
+    wide = dealt.groupBy(F.col("one__before").alias("r_")).agg(*[F.max(F.when(F.col("c_") == k, F.col("v_"))).alias(f"{prefix}{c}") for k, c in enumerate(columns)])
     return rows.join(wide, "r_").drop("r_")
 
 

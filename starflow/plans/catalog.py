@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starflow.functions import features
-from starflow.operators import learn, matrix, model, periods, prepare, simulate
+from starflow.operators import learn, matrix, model, periods, prepare, simulate, trees
 from starflow.operators.extract import extract
 from starflow.session import cut, table
 from starflow.sources.tables import light_curves, light_curves_sql
@@ -337,6 +337,32 @@ def ml_feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.selection_table(spark, *learn.select_features(feature_matrix(spark, sf_dir), COLUMNS))
 
 
+def ml_isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How typical each vector is: scores of an isolation forest of a hundred trees on all components."""
+    features = feature_matrix(spark, sf_dir)
+    return settled(trees.isolation_forest(features, COLUMNS).transform(features).select("id", "score"))
+
+
+def ml_representative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of the vectors whose isolation scores are distributed as those of all are, with its test."""
+    features = feature_matrix(spark, sf_dir)
+    scored = cut(trees.isolation_forest(features, COLUMNS).transform(features).select("id", "score"))
+    rows, how = trees.representative(scored)
+    return settled(rows.select("id", "score", *[F.lit(how[c]).alias(c) for c in ("share", "statistic", "p")]))
+
+
+def ml_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute Shapley value of each component in a forest that tells the labels."""
+    features = feature_matrix(spark, sf_dir)
+    return settled(trees.shapley_importances(features, COLUMNS, learn.train(features, COLUMNS, kind="rf", numTrees=50)))
+
+
+def ml_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how much the mean f1 of a forest falls when one component is permuted."""
+    features = feature_matrix(spark, sf_dir)
+    return settled(learn.permutation_importances(features, COLUMNS, learn.train(features, COLUMNS, kind="rf", numTrees=50)))
+
+
 def ml_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class probabilities of all series from their points, by a classifier of users' most frequent kind of event that
     was created from the features of every second one."""
@@ -357,6 +383,7 @@ def lc_window_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLASSIFIED = ["meanMag", "variance", "skewness", "kurtosis", "stetsonJ", "c3", "amplitude", "LinearTrend_deriv"]
+QUERIES |= {"ml_isolation_scores": ml_isolation_scores, "ml_representative_sample": ml_representative_sample, "ml_shapley": ml_shapley, "ml_permutation": ml_permutation}
 QUERIES |= {"ml_classified": ml_classified, "ml_cross_validated": ml_cross_validated, "ml_feature_selection": ml_feature_selection, "lc_window_moments": lc_window_moments}
 ORACLES["lc_window_moments"] = settled_sql(["mean", "variance", "weighted_mean", "smallest", "largest"], """
 SELECT user_id AS lc_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day, count(*) AS n, avg(value) AS mean, var_pop(value) AS variance,
