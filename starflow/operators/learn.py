@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import math
-import random
 import statistics
-from collections.abc import Callable
+import time
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starflow.operators import ranges, trees
+from starflow.operators import ranges, search, trees
 from starflow.operators.matrix import folds
-from starflow.operators.trees import isolation_forest, representative, shapley_importances
+from starflow.operators.search import Choice, Number
+from starflow.operators.trees import Forest, isolation_forest, representative, shapley_importances
 from starflow.session import cut
 
 SEED = 1909
@@ -187,50 +188,98 @@ def mean_roc(curve: DataFrame, group: str, points: int = 100) -> DataFrame:
     return by_fold.groupBy(F.col("at").alias("fpr")).agg(F.avg("tpr").alias("tpr"), F.stddev_pop("tpr").alias("deviation"))
 
 
-SPACES: dict[str, dict[str, Callable[[random.Random], object]]] = {
-    "rf": {"numTrees": lambda r: r.randint(20, 150), "maxDepth": lambda r: r.randint(3, 12), "minInstancesPerNode": lambda r: r.randint(1, 5), "featureSubsetStrategy": lambda r: r.choice(["sqrt", "log2", "onethird"])},
-    "xgb": {"maxIter": lambda r: r.randint(5, 40), "maxDepth": lambda r: r.randint(2, 8), "stepSize": lambda r: 10 ** r.uniform(-2, -0.3), "subsamplingRate": lambda r: r.uniform(0.5, 1)},
-    "nn": {"hidden": lambda r: [r.randint(8, 64) for _ in range(r.randint(1, 2))], "maxIter": lambda r: r.randint(50, 300), "stepSize": lambda r: 10 ** r.uniform(-3, -1)},
+_deep = lambda n: lambda p: p["layers"] >= n
+SPACES: dict[str, search.Space] = {
+    "rf": {"numTrees": Number(20, 150, whole=True), "maxDepth": Number(3, 12, whole=True), "minInstancesPerNode": Number(1, 5, whole=True), "featureSubsetStrategy": Choice(("sqrt", "log2", "onethird"))},
+    "xgb": {"maxIter": Number(5, 40, whole=True), "maxDepth": Number(2, 8, whole=True), "stepSize": Number(0.01, 0.5, log=True), "subsamplingRate": Number(0.5, 1.0), "minInfoGain": Number(0.0, 0.1)},
+    "nn": {
+        "layers": Number(1, 3, whole=True), "width_1": Number(8, 128, whole=True, log=True), "width_2": Number(8, 128, whole=True, log=True, when=_deep(2)), "width_3": Number(8, 128, whole=True, log=True, when=_deep(3)),
+        "maxIter": Number(50, 300, whole=True), "solver": Choice(("l-bfgs", "gd")), "stepSize": Number(0.001, 0.1, log=True, when=lambda p: p["solver"] == "gd"),
+    },
 }
 
 
+def model_params(settings: dict) -> dict:
+    """What ``train`` takes for settings of a space: a perceptron's layers become its list of widths."""
+    widths = [settings[f"width_{k}"] for k in range(1, settings.get("layers", 0) + 1)]
+    rest = {n: v for n, v in settings.items() if n != "layers" and not n.startswith("width_")}
+    return rest | ({"hidden": widths} if widths else {})
+
+
 def optimise(
-    df: DataFrame, columns: list[str], label: str = "label", kind: str = "rf", trials: int = 10, k: int = 3, key: str = "id", seed: int = SEED, metric: str = "accuracy", balance: bool = False
-) -> tuple[PipelineModel, dict, list[dict]]:
-    """The best model of ``trials`` random settings by their cross-validated ``metric`` (``accuracy``, ``precision``,
-    ``recall``, ``f1``, ``roc_auc``), its settings, and the trials.
+    df: DataFrame, columns: list[str], label: str = "label", kind: str = "rf", trials: int = 10, k: int = 3, key: str = "id", seed: int = SEED, metric: str = "accuracy", balance: bool = False,
+    start: int = 10, space: search.Space | None = None,
+) -> tuple[PipelineModel, dict, list[dict]]:
+    """The best model of ``trials`` settings by their cross-validated ``metric`` (``accuracy``, ``precision``, ``recall``,
+    ``f1``, ``roc_auc``), what ``train`` was given for it, and the trials: number, score, settings, seconds.
 
     All trials use the same folds, which share each class evenly. The default settings are the first trial; a trial that
-    doesn't beat the best so far changes nothing. No trials give the default model. ``balance`` weights the rows of two
-    unequal classes by their sizes.
+    doesn't beat the best so far changes nothing. The next ``start`` settings are random, the others drawn by Parzen
+    estimators of good and bad trials, see ``search.suggest`` (``start`` of ``trials`` or more: random search). No
+    trials give the default model. ``balance`` weights the rows of two unequal classes by their sizes.
     """
-    draw, history, best, fixed = random.Random(seed), [], ({}, -math.inf), {}
+    history, fixed = [], {}
     if balance:
         sizes = [r["count"] for r in df.groupBy(label).count().collect()]  # a row a class
         if len(sizes) == 2 and sizes[0] != sizes[1]:
             df, fixed = balanced(df, label), {"weights": "weight_"}
     found = scored_predictions if metric == "roc_auc" else cross_predict
-    for trial in range(trials):
-        params = {p: f(draw) for p, f in SPACES[kind].items()} if trial else {}
-        value, _ = score(found(df, columns, label, kind, k, key, **fixed, **params), metric)
-        history.append({"trial": trial + 1, "score": value, "params": params})
-        best = max(best, (params, value), key=lambda b: b[1])
-    return train(df, columns, label, kind, **fixed, **best[0]), best[0], history
 
+    def trial(settings: dict) -> float:
+        began = time.time()
+        value, _ = score(found(df, columns, label, kind, k, key, **fixed, **model_params(settings)), metric)
+        history.append({"trial": len(history) + 1, "score": value, "params": settings, "seconds": time.time() - began})
+        return value
+
+    done = search.searched(trial, space or SPACES[kind], trials, seed, first=[{}], start=start)
+    best = model_params(max(done, key=lambda t: t[1])[0]) if done else {}
+    return train(df, columns, label, kind, **fixed, **best), best, history
 
-def setting_importances(spark: SparkSession, history: list[dict]) -> DataFrame:
-    """``(setting, importance)``: what share of the splits' gain each setting has in a forest that predicts the trials'
-    scores from their settings; lists count by their sum, names by their place in order."""
+
+def _settings_forest(spark: SparkSession, history: list[dict], target: str) -> tuple[list[str], Forest, np.ndarray] | None:
+    """The settings that all trials have, a forest of the trials' ``target`` over them, and their values."""
     rows = [t for t in history if t["params"]]
-    names = sorted({p for t in rows for p in t["params"]})
-    if len(rows) < 2:
-        return spark.createDataFrame([(n, 0.0) for n in names], "setting string, importance double")
+    names = sorted(set.intersection(*(set(t["params"]) for t in rows))) if rows else []
+    if len(rows) < 2 or not names:
+        return None
     words = {n: sorted({str(t["params"][n]) for t in rows}) for n in names}
     number = lambda n, v: float(sum(v)) if isinstance(v, list) else float(words[n].index(v)) if isinstance(v, str) else float(v)
-    table = spark.createDataFrame([(*(number(n, t["params"][n]) for n in names), float(t["score"])) for t in rows], ", ".join([*(f"`{n}` double" for n in names), "score double"]))
-    packed = VectorAssembler(inputCols=names, outputCol="features_").transform(table)
-    gains = RandomForestRegressor(featuresCol="features_", labelCol="score", numTrees=100, seed=SEED).fit(packed).featureImportances.toArray()
-    return spark.createDataFrame([(n, float(g)) for n, g in zip(names, gains)], "setting string, importance double").orderBy(F.desc("importance"))
+    values = np.array([[number(n, t["params"][n]) for n in names] for t in rows])
+    varied = [j for j in range(len(names)) if values[:, j].min() < values[:, j].max()]
+    if not varied:
+        return None
+    names, values = [names[j] for j in varied], values[:, varied]
+    table = spark.createDataFrame([(Vectors.dense(v), float(t[target])) for v, t in zip(values, rows)], ["features_", "target"])  # a row a trial
+    fitted = RandomForestRegressor(featuresCol="features_", labelCol="target", numTrees=64, maxDepth=10, maxBins=max(32, len(rows)), featureSubsetStrategy="all", seed=SEED).fit(table)
+    return names, trees.forests(spark, fitted)[0], values
+
+
+def setting_importances(spark: SparkSession, history: list[dict], target: str = "score") -> DataFrame:
+    """``(setting, importance)``: the share of the variance of the trials' scores (or ``seconds``) that each setting has
+    alone, by the decomposition of a forest that predicts them from the settings that all trials have; lists count by
+    their sum, names by their place in order. Shares are taken over the box of the values tried; settings that never
+    varied have none."""
+    return _shares(spark, history, target, lambda names, single, double: [(n, float(v)) for n, v in zip(names, single)])
+
+
+def setting_interactions(spark: SparkSession, history: list[dict], target: str = "score") -> DataFrame:
+    """``(setting, importance)`` for pairs of settings, ``a x b``: what both have together beyond what each has alone."""
+    return _shares(spark, history, target, lambda names, single, double: [(f"{names[j]} x {names[i]}", float(double[i, j])) for i in range(len(names)) for j in range(i)])
+
+
+def _shares(spark: SparkSession, history: list[dict], target: str, rows) -> DataFrame:
+    names = sorted({p for t in history for p in t["params"]})
+    found = _settings_forest(spark, history, target)
+    if found is None:
+        made = rows(names, [0.0] * len(names), np.zeros((len(names), len(names))))
+    else:
+        own, forest, values = found
+        single, double = search.variance_shares(forest, values.min(0), values.max(0))
+        every = np.zeros(len(names)), np.zeros((len(names), len(names)))
+        at = [names.index(n) for n in own]
+        every[0][at], every[1][np.ix_(at, at)] = single, double
+        made = rows(names, *every)
+    return spark.createDataFrame(made, "setting string, importance double").orderBy(F.desc("importance"))
 
 
 def best_so_far(history: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -363,6 +364,13 @@ def ml_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(learn.permutation_importances(features, COLUMNS, learn.train(features, COLUMNS, kind="rf", numTrees=50)))
 
 
+def ml_setting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen trials of a forest's settings on the first eight components, guided from the ninth on, with the best score so far."""
+    _, _, history = learn.optimise(feature_matrix(spark, sf_dir), COLUMNS[:8], trials=16, k=2, start=8, space=learn.SPACES["rf"] | {"numTrees": learn.Number(5, 40, whole=True)})
+    rows = spark.createDataFrame([(t["trial"], t["score"], json.dumps(t["params"], sort_keys=True)) for t in history], "trial int, score double, settings string")
+    return settled(learn.best_so_far(rows))
+
+
 def ml_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class probabilities of all series from their points, by a classifier of users' most frequent kind of event that
     was created from the features of every second one."""
@@ -383,7 +391,7 @@ def lc_window_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLASSIFIED = ["meanMag", "variance", "skewness", "kurtosis", "stetsonJ", "c3", "amplitude", "LinearTrend_deriv"]
-QUERIES |= {"ml_isolation_scores": ml_isolation_scores, "ml_representative_sample": ml_representative_sample, "ml_shapley": ml_shapley, "ml_permutation": ml_permutation}
+QUERIES |= {"ml_isolation_scores": ml_isolation_scores, "ml_representative_sample": ml_representative_sample, "ml_shapley": ml_shapley, "ml_permutation": ml_permutation, "ml_setting_search": ml_setting_search}
 QUERIES |= {"ml_classified": ml_classified, "ml_cross_validated": ml_cross_validated, "ml_feature_selection": ml_feature_selection, "lc_window_moments": lc_window_moments}
 ORACLES["lc_window_moments"] = settled_sql(["mean", "variance", "weighted_mean", "smallest", "largest"], """
 SELECT user_id AS lc_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day, count(*) AS n, avg(value) AS mean, var_pop(value) AS variance,
