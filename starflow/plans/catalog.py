@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starflow.functions import features
-from starflow.operators import learn, matrix, model, periods, prepare, simulate, spectrum, trees
+from starflow.operators import learn, matrix, model, periods, prepare, simulate, spectrum, templates, trees
 from starflow.operators.extract import extract
 from starflow.session import cut, table
 from starflow.sources.tables import light_curves, light_curves_sql
@@ -186,7 +187,20 @@ def lc_periodogram_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(out.withColumn("power", F.floor(F.col("power") * 1e5 + 0.4871) / 1e5), "lc_id", "k")
 
 
-QUERIES |= {"lc_periods": lc_periods, "lc_multiband": lc_multiband, "lc_periodogram_fast": lc_periodogram_fast}
+def lc_band_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of five trial periods of every user's events, whose kinds are bands that follow a template at a planted
+    period, with a tenth of the events' own scatter: fits, phases and scores."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("lc_id"), F.col("event_type").alias("band"), (F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6).alias("time"), "value")
+    period = 2 + F.pmod(F.col("lc_id"), F.lit(7)) * 0.31
+    turn = 2 * F.pi() * (F.col("time") / period + 0.25)
+    wave = F.sin(turn) + F.sin(2 * turn) / 2**1.5 + F.sin(3 * turn) / 3**1.5 + F.sin(4 * turn) / 4**1.5
+    points = events.withColumn("x", 20 + F.length("band") * wave + 0.01 * F.col("value")).withColumn("e", F.lit(0.1))
+    trials = events.select("lc_id").distinct().select("lc_id", F.explode(F.array(*[period * r for r in (0.83, 0.97, 1.0, 1.09, 1.31)])).alias("period"))
+    fits = templates.fit_band_templates(points, trials, {"saw": templates.saw(), "sine": np.sin(2 * np.pi * np.arange(64) / 64).tolist()})
+    return settled(templates.best_template_periods(fits).select("lc_id", "band", "period", "template", "amplitude", "score"))
+
+
+QUERIES |= {"lc_band_templates": lc_band_templates, "lc_periods": lc_periods, "lc_multiband": lc_multiband, "lc_periodogram_fast": lc_periodogram_fast}
 ORACLES["lc_periodogram_fast"] = settled_sql(["frequency", "power"], """
 WITH p AS (SELECT user_id AS lc_id, epoch_us(ts) / 86400e6 AS time, value AS x, 1 / ((0.5e0 + 0.02e0 * value) * (0.5e0 + 0.02e0 * value)) AS w FROM events WHERE 0.5e0 + 0.02e0 * value > 0),
 ends AS (SELECT lc_id, count(*) AS n, min(time) AS t0, max(time) - min(time) AS span, sum(w * x) / sum(w) AS mu FROM p GROUP BY lc_id),
