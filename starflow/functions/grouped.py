@@ -173,32 +173,51 @@ def has_near_pair(x, e, weighted):
     return 0.0
 
 
-def recurring_share(x, e, weighted, block=512):
-    """Share of the distinct values that more than one point equals, within its error."""
+def recurring_share(x, e, weighted):
+    """Share of the distinct values that more than one point equals, within its error.
+
+    A point equals the values of an interval: its ends are found in the sorted values, and starts less stops before a
+    value count the points that reach it."""
     values, times = np.unique(x, return_counts=True)
     if not weighted:
         return float((times > 1).mean())
-    hits = 0
-    for lo in range(0, len(values), block):
-        v = values[lo : lo + block, None]
-        hits += int(((np.abs(x - v) <= e + 1e-5 * np.abs(v)).sum(1) > 1).sum())
-    return hits / len(values)
+    slack, n = 1e-5, len(values)
+    equal = lambda k: np.abs(x - values[k]) <= e + slack * np.abs(values[k])
+    steps = np.zeros(n + 1, np.int64)
+    low, high = x - e, x + e
+    first = np.searchsorted(values, np.where(low >= 0, low / (1 + slack), low / (1 - slack)))
+    last = np.searchsorted(values, np.where(high >= 0, high / (1 - slack), high / (1 + slack)), "right") - 1
+    for _ in range(2):  # ends that rounding has put next to the last equal value
+        first -= (first > 0) & equal(np.maximum(first - 1, 0))
+        last += (last < n - 1) & equal(np.minimum(last + 1, n - 1))
+    for _ in range(2):
+        first += (first <= last) & ~equal(np.clip(first, 0, n - 1))
+        last -= (last >= first) & ~equal(np.clip(last, 0, n - 1))
+    some = first <= last
+    np.add.at(steps, first[some], 1)
+    np.add.at(steps, last[some] + 1, -1)
+    return float((steps.cumsum()[:-1] > 1).mean())
 
 
 def sample_entropy(x, e, weighted, m=2, share=0.2, block=256):
+    """Logarithm of how many more templates of ``m`` than of ``m + 1`` points match. Templates are sorted by their first
+    value and only compared with those whose first value is near."""
     r, n = share * x.std(), len(x)
 
     def matches(length: int) -> int:
         rows = n - length + 1
         if rows < 1:
             return 0
-        total = -rows
+        order = np.argsort(x[:rows], kind="stable")
+        columns = [x[k : rows + k][order] for k in range(length)]
+        lead, reach, total = columns[0], r * (1 + 1e-9) + 1e-300, -rows
         for lo in range(0, rows, block):
             hi = min(rows, lo + block)
-            near = np.ones((hi - lo, rows), bool)
-            for k in range(length):
-                near &= np.abs(x[lo + k : hi + k, None] - x[None, k : rows + k]) <= r
-            total += int(near.sum())
+            near = slice(np.searchsorted(lead, lead[lo] - reach), np.searchsorted(lead, lead[hi - 1] + reach, "right"))
+            hit = np.abs(columns[0][lo:hi, None] - columns[0][None, near]) <= r
+            for c in columns[1:]:
+                hit &= np.abs(c[lo:hi, None] - c[None, near]) <= r
+            total += int(np.count_nonzero(hit))
         return total
 
     b, a = matches(m), matches(m + 1)
