@@ -14,7 +14,7 @@ from starflow.operators import learn, matrix, model, periods, prepare, simulate,
 from starflow.operators.extract import extract
 from starflow.session import cut, table
 from starflow.sources.tables import light_curves, light_curves_sql
-from starflow.streaming import online
+from starflow.streaming import live, online
 
 OFF_TIES = 1 + 3e-10
 FLAGSHIP = "lc_features_basic"
@@ -412,6 +412,12 @@ def ml_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(fitted.predict(points, convert=False))
 
 
+def lc_session_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered features of every user's sessions of events, as the stateful stream gives them."""
+    points = table(spark, sf_dir, "events").select(F.col("user_id").alias("lc_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.col("value").alias("mag"), F.lit(0.1).alias("magerr"))
+    return settled(spark.sql(f"WITH {live.session_features_sql('{p}', SESSION_GAP)}", p=points.where("mag IS NOT NULL")))
+
+
 def lc_window_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of each series by day, as the streaming operator takes them."""
     points = table(spark, sf_dir, "events").select(F.col("user_id").alias("lc_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("mag"), (0.5 + 0.02 * F.col("value")).alias("magerr"))
@@ -420,6 +426,18 @@ def lc_window_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(out.select("lc_id", day, "n", "mean", "variance", "weighted_mean", "smallest", "largest"))
 
 
+SESSION_GAP = 12 * 3_600_000_000
+QUERIES["lc_session_runs"] = lc_session_runs
+ORACLES["lc_session_runs"] = settled_sql(["mean", "variance", "eta"], """
+WITH p AS (SELECT user_id AS lc_id, epoch_us(ts) AS tick, value AS v, row_number() OVER w AS i, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 43200000000, true) AS opens
+  FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)),
+q AS (SELECT *, sum(opens::INT) OVER (PARTITION BY lc_id ORDER BY i) AS s FROM p),
+lists AS (SELECT lc_id, s, min(tick) AS start_us, max(tick) AS last_us, count(*) AS n, avg(v) AS mean, var_pop(v) AS variance, list(v ORDER BY i) AS x FROM q GROUP BY ALL),
+moves AS (SELECT *, [x[j + 1] - x[j] FOR j IN range(1, len(x))] AS d FROM lists),
+words AS (SELECT *, array_to_string([CASE WHEN y > 0 THEN 'u' WHEN y < 0 THEN 'd' ELSE '-' END FOR y IN d], '') AS word FROM moves)
+SELECT lc_id, start_us, last_us, n, mean, variance, coalesce(list_max([len(r) FOR r IN regexp_extract_all(word, 'u+')]), 0) AS longest_rise,
+  coalesce(list_max([len(r) FOR r IN regexp_extract_all(word, 'd+')]), 0) AS longest_fall, CASE WHEN n > 1 THEN list_sum([y * y FOR y IN d]) / (n - 1) / nullif(variance, 0) END AS eta FROM words""",
+    ["lc_id", "start_us", "last_us", "n", "longest_rise", "longest_fall"])
 CLASSIFIED = ["meanMag", "variance", "skewness", "kurtosis", "stetsonJ", "c3", "amplitude", "LinearTrend_deriv"]
 QUERIES |= {"ml_isolation_scores": ml_isolation_scores, "ml_representative_sample": ml_representative_sample, "ml_shapley": ml_shapley, "ml_permutation": ml_permutation, "ml_setting_search": ml_setting_search}
 QUERIES |= {"ml_classified": ml_classified, "ml_cross_validated": ml_cross_validated, "ml_feature_selection": ml_feature_selection, "lc_window_moments": lc_window_moments}
