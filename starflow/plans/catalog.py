@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import partial
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from starflow.functions import features
 from starflow.operators import learn, matrix, model, periods, prepare, simulate, spectrum, templates, trees
 from starflow.operators.extract import extract
-from starflow.session import cut, table
+from starflow.session import checkpoint_dir, cut, table
+from starflow.sources import fits
 from starflow.sources.tables import light_curves, light_curves_sql
 from starflow.streaming import live, online
 
@@ -358,6 +360,66 @@ counts AS (SELECT a.c AS actual, b.c AS predicted, count(g.actual) AS n FROM nam
 SELECT actual, predicted, n, coalesce(n / nullif(sum(n) OVER (PARTITION BY actual), 0), 0e0) AS share FROM counts""", ["actual", "predicted", "n"])
 
 
+def eval_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the ROC curve of each of the first five components as a score for the lower half of the labels."""
+    scored = table(spark, sf_dir, "embeddings").select(F.posexplode(F.slice("embedding", 1, 5)).alias("component", "v"), (F.col("label") < 5).alias("positive"))
+    scored = scored.select("component", F.round(F.col("v").cast("double"), 1).alias("score"), "positive")
+    return settled(learn.auc(learn.roc(scored, group="component"), "component"), "component")
+
+
+QUERIES["eval_auc"] = eval_auc
+ORACLES["eval_auc"] = settled_sql(["auc"], """
+WITH c AS (SELECT unnest(range(0, 5))::INT AS component, unnest(embedding[1:5]) AS v, label < 5 AS positive FROM embeddings),
+r AS (SELECT component, positive, rank() OVER (PARTITION BY component ORDER BY s) + (count(*) OVER (PARTITION BY component, s) - 1) / 2 AS place FROM (SELECT component, positive, round(v::DOUBLE, 1) AS s FROM c)),
+n AS (SELECT component, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS q, sum(place) FILTER (WHERE positive) AS places FROM r GROUP BY component)
+SELECT component, (places - p * (p + 1) / 2) / (p * q) AS auc FROM n""", ["component"])
+
+
+def eval_kolmogorov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance between the distributions of the first component below and above the middle label."""
+    scored = table(spark, sf_dir, "embeddings").select(F.col("embedding")[0].cast("double").alias("v"), (F.col("label") < 5).alias("low"))
+    return settled(learn.kolmogorov_smirnov(scored, "v", "low").select("statistic"))
+
+
+QUERIES["eval_kolmogorov"] = eval_kolmogorov
+ORACLES["eval_kolmogorov"] = settled_sql(["statistic"], """
+WITH v AS (SELECT embedding[1]::DOUBLE AS v, label < 5 AS low FROM embeddings),
+shares AS (SELECT t.v, (SELECT count(*) FROM v WHERE low AND v.v <= t.v) / (SELECT count(*) FROM v WHERE low) AS a, (SELECT count(*) FROM v WHERE NOT low AND v.v <= t.v) / (SELECT count(*) FROM v WHERE NOT low) AS b FROM (SELECT DISTINCT v FROM v) t)
+SELECT max(abs(a - b)) AS statistic FROM shares""", [])
+
+
+def lc_band_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least-squares sinusoid of every user's events of each kind at a period of the user's own."""
+    points = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("lc_id"), F.col("event_type").alias("band"), (F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6).alias("time"),
+        F.col("value").cast("double").alias("x"), (0.5 + 0.02 * F.col("value")).alias("e"),
+    )
+    own = points.select("lc_id").distinct().select("lc_id", F.lit(1).alias("rank"), (2 + F.pmod("lc_id", F.lit(7)) * 0.31).alias("period"))
+    return settled(periods.fit_bands(points, own).select("lc_id", "band", F.col("offset").alias("level"), "cosine", "sine"))
+
+
+QUERIES["lc_band_fits"] = lc_band_fits
+ORACLES["lc_band_fits"] = settled_sql(["level", "cosine", "sine"], """
+WITH p AS (SELECT user_id AS lc_id, event_type AS band, epoch_us(ts) / 86400e6 AS time, value AS x, 1 / ((0.5e0 + 0.02e0 * value) * (0.5e0 + 0.02e0 * value)) AS w FROM events),
+turns AS (SELECT *, 2 * pi() * (time - min(time) OVER (PARTITION BY lc_id)) / (2 + (lc_id % 7) * 0.31e0) AS turn, x - sum(w * x) OVER b / sum(w) OVER b AS y, sum(w * x) OVER b / sum(w) OVER b AS level
+  FROM p WINDOW b AS (PARTITION BY lc_id, band)),
+sums AS (SELECT lc_id, band, any_value(level) AS level, sum(w * y * cos(turn)) AS yc, sum(w * y * sin(turn)) AS ys, sum(w * cos(turn) * cos(turn)) AS cc, sum(w * sin(turn) * sin(turn)) AS ss, sum(w * cos(turn) * sin(turn)) AS cs FROM turns GROUP BY lc_id, band)
+SELECT lc_id, band, level, coalesce((yc * ss - ys * cs) / nullif(cc * ss - cs * cs, 0), 0) AS cosine, coalesce((ys * cc - yc * cs) / nullif(cc * ss - cs * cs, 0), 0) AS sine FROM sums""", ["lc_id", "band"])
+
+
+def src_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, written as FITS tables to the shared folder and read back by ranges of rows."""
+    fits.register(spark)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/fits-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", "value")
+    rows.write.format("fits").mode("overwrite").save(folder)
+    return spark.read.format("fits").load(folder)
+
+
+QUERIES["src_fits"] = src_fits
+ORACLES["src_fits"] = "SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value FROM events"
+
+
 def ml_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion matrix of a forest on all components of the vectors, by the operator's ten folds and hundred trees."""
     return learn.confusion(learn.cross_predict(feature_matrix(spark, sf_dir), COLUMNS, kind="rf"))
