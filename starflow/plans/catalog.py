@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starflow.functions import features
-from starflow.operators import learn, matrix, model, periods, prepare, simulate, spectrum, templates, trees
+from starflow.operators import embedding, learn, matrix, model, periods, prepare, simulate, spectrum, templates, trees
 from starflow.operators.extract import extract
 from starflow.session import checkpoint_dir, cut, table
 from starflow.sources import fits
@@ -456,6 +456,12 @@ def ml_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(learn.permutation_importances(features, COLUMNS, learn.train(features, COLUMNS, kind="rf", numTrees=50)))
 
 
+def ml_tsne(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of all vectors, scaled to their ranges, in which near ones stay near."""
+    scaled = cut(matrix.scale(feature_matrix(spark, sf_dir), COLUMNS, "minmax"))
+    return settled(embedding.tsne(scaled, COLUMNS))
+
+
 def ml_setting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen trials of a forest's settings on the first eight components, guided from the ninth on, with the best score so far."""
     _, _, history = learn.optimise(feature_matrix(spark, sf_dir), COLUMNS[:8], trials=16, k=2, start=8, space=learn.SPACES["rf"] | {"numTrees": learn.Number(5, 40, whole=True)})
@@ -501,7 +507,7 @@ SELECT lc_id, start_us, last_us, n, mean, variance, coalesce(list_max([len(r) FO
   coalesce(list_max([len(r) FOR r IN regexp_extract_all(word, 'd+')]), 0) AS longest_fall, CASE WHEN n > 1 THEN list_sum([y * y FOR y IN d]) / (n - 1) / nullif(variance, 0) END AS eta FROM words""",
     ["lc_id", "start_us", "last_us", "n", "longest_rise", "longest_fall"])
 CLASSIFIED = ["meanMag", "variance", "skewness", "kurtosis", "stetsonJ", "c3", "amplitude", "LinearTrend_deriv"]
-QUERIES |= {"ml_isolation_scores": ml_isolation_scores, "ml_representative_sample": ml_representative_sample, "ml_shapley": ml_shapley, "ml_permutation": ml_permutation, "ml_setting_search": ml_setting_search}
+QUERIES |= {"ml_isolation_scores": ml_isolation_scores, "ml_representative_sample": ml_representative_sample, "ml_shapley": ml_shapley, "ml_permutation": ml_permutation, "ml_setting_search": ml_setting_search, "ml_tsne": ml_tsne}
 QUERIES |= {"ml_classified": ml_classified, "ml_cross_validated": ml_cross_validated, "ml_feature_selection": ml_feature_selection, "lc_window_moments": lc_window_moments}
 ORACLES["lc_window_moments"] = settled_sql(["mean", "variance", "weighted_mean", "smallest", "largest"], """
 SELECT user_id AS lc_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day, count(*) AS n, avg(value) AS mean, var_pop(value) AS variance,
