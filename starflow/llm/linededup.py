@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame and SQL functions only.
 
-A run is an immutable table ``(h1, h2, n_docs, max_doc, new)``, bucketed and sorted by the hash pair. A batch of
-documents is summed to one row a line, in how many documents it stands and in which largest one, and merge-anti-joined
-with the runs: lines that no run holds are new to the index, the others are further sightings of a known line. Both are
-the batch's own run; full levels are merged into one run of the next (``runs.Levels``). The lines that are dropped are
-the known ones with enough documents: a line of a single run that was never sighted again needs no look at other runs.
+A run is an immutable table of distinct lines ``(h1, h2, n_docs, max_doc)``, bucketed and sorted by the hash pair. A batch
+of documents is summed to one row a line, in how many documents it stands and in which largest one, and merge-anti-joined
+with the runs: lines that no run holds become the batch's own run, so that a line is in one run for good and merging the
+runs of a full level (``runs.Levels``) only unites them. The lines that a run holds are sightings: they are kept, with
+what the run has of the line, in a table that is small beside the runs, as is a new line that stands in enough documents
+of its own batch. The lines that are dropped are read from the sightings alone; no run is looked at again.
 
 Only hash pairs (128 bits) of lines long enough are shuffled; documents are counted before the shuffle, so a line that
 every document holds costs one row a task. Where lines are matched with the documents they leave, the few lines that
@@ -14,6 +15,8 @@ moves only in the last join, from documents to the places of the lines they lose
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +47,8 @@ class LineIndex:
 
     def __init__(self, spark, shortest: int = 20, copies: int = 3, fanout: int = 4):
         self.shortest, self.copies = shortest, copies
-        self.levels = Levels(spark, H, fanout, self._merged)
-
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*H).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("new").alias("new"))
+        self.levels = Levels(spark, H, fanout)
+        self.sightings: list[DataFrame] = []
 
     def keys(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """``(doc_id, text_id, h1, h2, pos, first)``: one row per long line of each row of ``docs``; ``first`` marks the
@@ -73,21 +73,25 @@ class LineIndex:
         return rows.select("doc_id", "text_id", F.explode(marked).alias("line")).select("doc_id", "text_id", "line.*")
 
     def add(self, keys: DataFrame) -> None:
-        """Merge-anti-join a batch, given as ``keys()``, with the runs, and add its own run."""
+        """Merge-anti-join a batch, given as ``keys()``, with the runs: new lines are its own run, known ones sightings."""
         batch = keys.groupBy(*H).agg(F.sum(F.col("first").cast("long")).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        known = F.lit(False)
+        held = []
         for k, run in enumerate(self.levels.runs()):
-            batch = batch.join(run.where("new").select(*H, F.lit(True).alias(f"in_{k}")), [*H], "left")
-            known = known | F.coalesce(F.col(f"in_{k}"), F.lit(False))
-        self.levels.add(self.levels.write(batch.select(*H, "n_docs", "max_doc", (~known).alias("new"))))
+            batch = batch.join(run.select(*H, F.struct("n_docs", "max_doc").alias(f"in_{k}")), [*H], "left")
+            held.append(F.col(f"in_{k}"))
+        held = F.coalesce(*held) if held else F.lit(None).cast("struct<n_docs:long,max_doc:long>")  # one run holds a line, if any
+        met = stored(batch.select(*H, "n_docs", "max_doc", held.alias("held")))
+        self.levels.add(self.levels.write(met.where("held IS NULL").drop("held")))
+        own = F.struct("n_docs", "max_doc")
+        seen = met.where(F.col("held").isNotNull() | (F.col("n_docs") >= self.copies))
+        first = seen.select(*H, F.coalesce("held", own).alias("first"), F.when(F.col("held").isNotNull(), own).alias("again"))
+        self.sightings.append(stored(first))
 
     def repeated(self) -> DataFrame:
-        """``(h1, h2, n_docs, max_doc)`` of the lines that lose copies, over all runs."""
-        none = "SELECT 0L AS h1, 0L AS h2, 0L AS n_docs, 0L AS max_doc, true AS new WHERE false"
-        rows = self.levels.spark.sql(none)
-        for run in self.levels.runs():
-            rows = rows.union(run)
-        return self._merged(rows).where(F.col("n_docs") >= self.copies).drop("new")
+        """``(h1, h2, n_docs, max_doc)`` of the lines that lose copies: what the line's run has and all later sightings."""
+        rows = reduce(DataFrame.unionByName, self.sightings)
+        sums = rows.groupBy(*H).agg((F.max("first.n_docs") + F.coalesce(F.sum("again.n_docs"), F.lit(0))).alias("n_docs"), F.greatest(F.max("first.max_doc"), F.max("again.max_doc")).alias("max_doc"))
+        return sums.where(F.col("n_docs") >= self.copies)
 
 
 def lost_places(keys: DataFrame, repeated: DataFrame) -> DataFrame:

@@ -158,9 +158,10 @@ def test_runs_are_merge_anti_joined_and_compacted(spark):
         index.add(index.keys(spark.createDataFrame(batch, "doc_id long, text string")))
     assert sorted(map(len, index.levels.names.values())) == [1, 1]  # two runs of level 0 have become one of level 1
     key = {spark.sql(f"SELECT xxhash64(1, repeat('{c}', 20)) AS h").first().h: c for c in "abcd"}
-    top, low = ({key[r.h1]: (r.n_docs, r.max_doc, r.new) for r in index.levels.read(index.levels.names[level][0]).collect()} for level in (1, 0))
-    assert top == {"a": (2, 2, True), "b": (2, 3, True), "c": (1, 3, True)}
-    assert low == {"b": (1, 4, False), "c": (1, 5, False), "d": (1, 4, True)}
+    top, low = ({key[r.h1]: (r.n_docs, r.max_doc) for r in index.levels.read(index.levels.names[level][0]).collect()} for level in (1, 0))
+    assert top == {"a": (2, 2), "b": (1, 1), "c": (1, 3)} and low == {"d": (1, 4)}  # each line in one run, as first met
+    seen = sorted((key[r.h1], r.first.n_docs, r.again.n_docs) for s in index.sightings for r in s.collect())
+    assert seen == [("b", 1, 1), ("b", 1, 1), ("c", 1, 1)]
     assert {key[r.h1]: (r.n_docs, r.max_doc) for r in index.repeated().collect()} == {"b": (3, 4)}
     batch = index.keys(spark.createDataFrame([row(9, "a")], "doc_id long, text string")).groupBy("h1", "h2").count()
     plan = batch.join(index.levels.read(index.levels.names[1][0]).hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
@@ -169,6 +170,24 @@ def test_runs_are_merge_anti_joined_and_compacted(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
 
 
+def test_lines_repeat_by_the_join_with_the_runs_alone(spark, monkeypatch):
+    """A line of one document a batch is found by the merge-anti-join; without it every sighting would be a new line."""
+    batches = [[(b, "this line is in one text of each batch")] for b in range(4)]
+
+    def found():
+        index = linededup.LineIndex(spark)
+        for rows in batches:
+            index.add(index.keys(spark.createDataFrame(rows, "doc_id long, text string")))
+        held = sum(index.levels.read(n).count() for level in index.levels.names.values() for n in level)
+        out = [(r.n_docs, r.max_doc) for r in index.repeated().collect()]
+        index.levels.remove()
+        return out, held
+
+    assert found() == ([(4, 3)], 1)
+    monkeypatch.setattr(linededup.Levels, "runs", lambda self: [])
+    assert found() == ([], 4)
+
+
 def test_mixing_meets_margins(spark, docs):
     mixed = mixing.mix(docs, {"source": 0.5, "lang": {"en": 0.4, "fr": 0.3}, "topic": 1.0}, 0.3).cache()
     total, kept = mixed.agg(F.sum("n_tokens"), F.sum(F.col("probability") * F.col("n_tokens"))).first()
