@@ -6,8 +6,8 @@ All documents of a cell have the same factor, so raking cells is raking document
 probabilities ``min(1, c * factor)``, with ``c`` such that the expected tokens are the wanted share of all tokens; a
 document stays if a uniform number made from its key lies below its probability.
 
-Texts are read once, and documents never shuffled: they are written with their tokens and topic, summed (before the
-shuffle) from these columns, and joined with the cells.
+Texts are read once, and documents aren't shuffled: they are written with their tokens and topic, summed (before the
+shuffle) from these columns, and joined with the cells, which are broadcast after a look at their number.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ DIMENSIONS = ("source", "lang", "topic")
 TOLERANCE = 1e-12  # relative, of every margin
 ROUNDS = 200  # at most; margins that contradict each other never hold
 A_JOB = 4  # rounds between two looks at the margins
+MOST_CELLS = 200_000  # that are broadcast, of some 100 bytes each
 
 #: Pieces that subword tokenizers tend to make: up to six letters, up to three digits, one of any other character.
 PIECE = r"\p{L}{1,6}|\p{N}{1,3}|[^\x20\x09-\x0D\p{L}\p{N}]"
@@ -148,6 +149,8 @@ def mix(
     )
     cells = cut(calibrate(rake(cut(cells), targets or {}, rounds), keep))
     cells = cells.select(*[F.col(d).alias(f"cell_{d}_") for d in DIMENSIONS], "probability")
+    if cells.count() <= MOST_CELLS:  # else the texts move, to the cells that hold them
+        cells = F.broadcast(cells)
     same = (blank(source) == F.col("cell_source_")) & (blank(lang) == F.col("cell_lang_")) & (F.col("mix_topic") == F.col("cell_topic_"))
     return (
         docs.join(cells, same, "left")

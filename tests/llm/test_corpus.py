@@ -188,6 +188,18 @@ def test_lines_repeat_by_the_join_with_the_runs_alone(spark, monkeypatch):
     assert found() == ([], 4)
 
 
+def test_mixing_moves_no_text(spark, docs):
+    """The executed plan joins documents with the cells without an exchange."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixing.mix(docs, {"source": 0.5}, 0.5)
+        assert mixed.count() == docs.count()
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
 def test_mixing_meets_margins(spark, docs):
     mixed = mixing.mix(docs, {"source": 0.5, "lang": {"en": 0.4, "fr": 0.3}, "topic": 1.0}, 0.3).cache()
     total, kept = mixed.agg(F.sum("n_tokens"), F.sum(F.col("probability") * F.col("n_tokens"))).first()
