@@ -408,6 +408,32 @@ def selection_table(spark, state: dict[str, str], history: list[tuple]) -> DataF
     return found.join(decided, "feature", "left").withColumn("decision", F.coalesce("decision", F.lit("shadow"))).orderBy(F.desc("mean"))
 
 
+def selection_summary(spark: SparkSession, state: dict[str, str], history: list[tuple], top: int | None = None, other: bool = True, shadow: bool = True, rejected: bool | int = False) -> DataFrame:
+    """``(place, feature, mean, deviation, kind)``: what a chart of a selection shows, in its order.
+
+    The ``top`` accepted features by mean importance (all, if None or more than there are); ``other``: the accepted ones
+    beyond them as one row ``Other Accepted``, the means of their means and deviations; ``shadow``: ``Mean Shadow``, the mean
+    and deviation over the trials of the shadows' mean; ``rejected``: the rejected features, all or so many of the best.
+    """
+    by_mean = selection_table(spark, state, history).where("decision <> 'shadow'").withColumn("r", F.row_number().over(Window.partitionBy("decision").orderBy(F.desc("mean"), "feature")))
+    row = lambda df, order, kind: df.select(F.lit(order).alias("o"), F.col("r").cast("long").alias("r"), "feature", "mean", "deviation", F.lit(kind).alias("kind"))
+    best = F.lit(True) if top is None else F.col("r") <= top
+    accepted = by_mean.where("decision = 'accepted'")
+    out = row(accepted.where(best), 0, "accepted")
+    if other and top is not None:
+        rest = accepted.where(~best).agg(F.avg("mean").alias("mean"), F.avg("deviation").alias("deviation")).where("mean IS NOT NULL")
+        out = out.unionByName(row(rest.withColumn("feature", F.lit("Other Accepted")).withColumn("r", F.lit(1)), 1, "other"))
+    if shadow:
+        trials = spark.createDataFrame([h for h in history if h[3]], "trial int, feature string, importance double, shadow boolean").groupBy("trial").agg(F.avg("importance").alias("m"))
+        found = trials.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("deviation")).where("mean IS NOT NULL")
+        out = out.unionByName(row(found.withColumn("feature", F.lit("Mean Shadow")).withColumn("r", F.lit(1)), 2, "shadow"))
+    if rejected is not False:
+        lost = by_mean.where("decision = 'rejected'")
+        out = out.unionByName(row(lost if rejected is True else lost.where(F.col("r") <= rejected), 3, "rejected"))
+    placed = F.row_number().over(Window.orderBy("o", "r")).alias("place")  # of the chart's rows
+    return out.select(placed, "feature", "mean", "deviation", "kind")
+
+
 def kolmogorov_smirnov(df: DataFrame, value: str, sample: str) -> DataFrame:
     """``(statistic, p)`` of the two-sample test between the rows for which ``sample`` holds and all others."""
     steps = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v_")).agg(F.sum(F.when(F.col(sample), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(sample), 0).otherwise(1)).alias("b"))

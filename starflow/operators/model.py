@@ -34,19 +34,20 @@ class Classifier:
     @classmethod
     def create(
         cls, table: DataFrame, columns: list[str], label: str = "label", kind: str = "rf", key: str = "id", impute: str | None = "knn",
-        selection_trials: int = 0, trials: int = 0, k: int = 3, metric: str = "f1", balance: bool = True, **params,
+        selection_trials: int = 0, trials: int = 0, k: int = 3, metric: str = "f1", balance: bool = True, importance: str = "gini", sample: bool = False, **params,
     ) -> Classifier:
         """Fit a classifier to a feature table ``(key, label, columns...)``.
 
         Values are clamped, nulls filled (``impute`` names the strategy; without it, rows with nulls are left out).
         With ``selection_trials`` only the features that beat their shuffled shadows stay, tentative ones settled by
-        their medians (all, if none does); with ``trials``, settings are searched by the cross-validated ``metric``.
+        their medians (all, if none does), by the ``importance`` and ``sample`` of ``learn.select_features``; with
+        ``trials``, settings are searched by the cross-validated ``metric``.
         """
         clean = matrix.clamped(table.select(key, label, *columns), columns)
         decisions, selection = {}, []
         if selection_trials:
             filled = cut(matrix.impute(clean, columns, "median", key=key))
-            decisions, selection = learn.select_features(filled, columns, label, selection_trials, key)
+            decisions, selection = learn.select_features(filled, columns, label, selection_trials, key, importance=importance, sample=sample)
             decisions = learn.settle_tentative(decisions, selection)
             columns = [c for c in columns if decisions[c] == "accepted"] or columns
         clean = clean.select(key, label, *columns)

@@ -118,3 +118,12 @@ def test_guided_search_of_a_model(spark):
     assert learn.model_params({"layers": 2, "width_1": 9, "width_2": 5, "maxIter": 7}) == {"hidden": [9, 5], "maxIter": 7}
     nn, _, seen = learn.optimise(df, ["x", "y"], kind="nn", trials=2, k=2, start=1, space=learn.SPACES["nn"] | {"maxIter": Number(5, 9, whole=True)})
     assert len(seen) == 2 and nn.transform(df).count() == 160
+
+
+def test_selection_summary(spark):
+    state = {"a": "accepted", "b": "accepted", "c": "accepted", "d": "rejected", "e": "rejected", "f": "tentative"}
+    history = [(t, f, v + t / 10, False) for t in (1, 2) for f, v in zip("abcdef", (5.0, 4.0, 2.0, 0.5, 0.7, 1.0))] + [(t, f"shadow_{f}", t * 0.1 * (k + 1), True) for t in (1, 2) for k, f in enumerate("ab")]
+    rows = lambda **k: [(r.place, r.feature, round(r["mean"], 6), round(r.deviation, 6), r.kind) for r in learn.selection_summary(spark, state, history, **k).orderBy("place").collect()]
+    assert rows(top=1, rejected=1) == [(1, "a", 5.15, 0.05, "accepted"), (2, "Other Accepted", 3.15, 0.05, "other"), (3, "Mean Shadow", 0.225, 0.075, "shadow"), (4, "e", 0.85, 0.05, "rejected")]
+    assert [r[1] for r in rows(rejected=True)] == ["a", "b", "c", "Mean Shadow", "e", "d"]
+    assert [r[1] for r in rows(top=2, other=False, shadow=False)] == ["a", "b"] and [r[1] for r in rows(top=9)] == ["a", "b", "c", "Mean Shadow"]
