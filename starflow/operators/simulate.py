@@ -6,6 +6,7 @@ same in any partitioning and in any engine. The texts run on Spark and on DuckDB
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,6 +109,23 @@ struck AS (SELECT *, counts + counts * rms * ln(10e0) / 2.5 * {d.normal("noise",
 noisy AS (SELECT *, {zp} - 2.5 * log10(CASE WHEN seen > 0 THEN seen / {exposure} END) AS noisy_mag, rms AS magerr FROM struck)"""
 
 
+def add_noise(points: DataFrame, noise: Callable, zp: float = 24.0, exposure: float = 60.0, seed: int = 1, vectorised: bool = False) -> DataFrame:
+    """``points(lc_id, seq, mag, ...)`` with ``noisy_mag`` and ``magerr`` by a noise model of the user's.
+
+    ``noise`` gives the scatter at a magnitude: a function of a column, or (``vectorised``) of a pandas Series, which goes to
+    the tasks. Scatter that isn't above 0 counts as 1e-5, null scatter or magnitude gives null. Series with an ``attempt``
+    have draws of their own for each.
+    """
+    scatter = F.pandas_udf(noise, "double")("mag") if vectorised else noise(F.col("mag")).cast("double")
+    held = points.withColumn("scatter_", scatter)
+    held = held if "attempt" in points.columns else held.withColumn("attempt", F.lit(0))
+    text = noisy_sql("{points}", Draws("spark", seed), "scatter_", zp, exposure)
+    out = points.sparkSession.sql(f"WITH {text} SELECT * FROM noisy", points=held)
+    known = F.col("scatter_").isNotNull() & F.col("mag").isNotNull()
+    return out.select(*points.columns, F.when(known, F.col("noisy_mag")).alias("noisy_mag"), F.when(known, F.col("magerr")).alias("magerr"))
+
+
+
 def microlensing_quality_sql(source: str, n: int = 7) -> str:
     """``passing (lc_id, attempt)`` of ``noisy`` lensed series: enough points near the peak, some of them three errors
     above the baseline, a third of them at least, brighter in the mean, and magnified beyond the blend."""

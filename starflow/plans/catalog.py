@@ -243,6 +243,20 @@ register("sim_quality_cataclysmic", "flux", ("lc_id", "attempt", "passed"), (),
     _simulated, chain=simulate.cataclysmic_sql, relation="erupting", test=simulate.cataclysmic_quality_sql("noisy", "outbursts"), passing="erupted"))
 
 
+def lc_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given series after noise by a model given as a function of the magnitude."""
+    points = light_curves(spark, sf_dir, "mag").select("lc_id", "seq", "mag").where("mag IS NOT NULL")
+    return settled(simulate.add_noise(points, lambda mag: 0.005 + 0.01 * F.exp(0.4 * (mag - 18))), "mag")
+
+
+QUERIES["lc_noisy"] = lc_noisy
+_scatter = "(0.005e0 + 0.01e0 * exp(0.4e0 * (mag - 18)))"
+ORACLES["lc_noisy"] = settled_sql(["noisy_mag", "magerr"], f"""
+WITH p AS (SELECT lc_id, seq, mag, 0 AS attempt FROM ({light_curves_sql("mag")})),
+q AS (SELECT *, pow(10, (24 - mag) / 2.5e0) * 60 AS n, {_scatter} AS r, {simulate.Draws("duckdb").normal("noise", 0, 1, "lc_id", "attempt", "seq")} AS z FROM p)
+SELECT lc_id, seq, mag, 24 - 2.5e0 * log10(CASE WHEN n + n * r * ln(10) / 2.5e0 * z > 0 THEN (n + n * r * ln(10) / 2.5e0 * z) / 60 END) AS noisy_mag, r AS magerr FROM q""", ["lc_id", "seq", "mag"])
+
+
 def lc_quality_microlensing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given series that look like a lensed one, with their brightest point as the peak."""
     points = light_curves(spark, sf_dir, "mag")

@@ -82,3 +82,18 @@ def test_odd_rows(spark):
     assert set(got) == {1, 2, 5} and got[1].score == got[2].score == 0.0 and got[2].amplitude == 0.0
     none = templates.fit_band_templates(spark.createDataFrame(rows, SCHEMA), trials, SHAPES, {"saw": "z", "sine": "z"})
     assert none.count() == 0 and templates.fit_band_templates(spark.createDataFrame([], SCHEMA), trials, SHAPES).count() == 0
+
+
+def test_noise_of_the_users(spark):
+    from starflow.operators import simulate
+
+    df = spark.range(4000).selectExpr("id % 5 AS lc_id", "id AS seq", "IF(id = 7, NULL, 18D) AS mag", "'x' AS other")
+    native = simulate.add_noise(df, lambda m: 0.03 + 0 * m)
+    assert native.columns == ["lc_id", "seq", "mag", "other", "noisy_mag", "magerr"]
+    rows = {r.seq: r for r in native.collect()}
+    assert {r.magerr for s, r in rows.items() if s != 7} == {0.03} and rows[7].noisy_mag is None and rows[7].magerr is None
+    away = np.array([r.noisy_mag - 18 for s, r in rows.items() if s != 7])
+    assert abs(away.mean()) < 0.003 and abs(away.std() - 0.03) < 0.002
+    again = {r.seq: r.noisy_mag for r in simulate.add_noise(df.repartition(7), lambda m: m * 0 + 0.03, vectorised=True).collect()}
+    assert all(again[s] == r.noisy_mag for s, r in rows.items())
+    assert {r.magerr for r in simulate.add_noise(df.where("seq = 1"), lambda m: m * 0 - 1).collect()} == {1e-5}
