@@ -109,6 +109,32 @@ SELECT lc_id, regr_slope(x, time) AS LinearTrend, max(abs(x - med)) / any_value(
        any_value(disorder) AS permutation_entropy, quantile_cont(x, 0.25) AS quantile_25, any_value(recurring) AS ratio_recurring_points, skewness(x) AS skewness,
        stddev_pop(x) / avg(x) AS std_over_mean, avg(abs((x - med) / e)) / sqrt(avg(((x - med) / e) * ((x - med) / e))) AS stetsonK
 FROM marked LEFT JOIN longest USING (lc_id) LEFT JOIN outliers USING (lc_id) LEFT JOIN orders USING (lc_id) LEFT JOIN values_ USING (lc_id) LEFT JOIN law USING (lc_id) GROUP BY lc_id""", ["lc_id"])
+#: The weighted forms of features, by the definitions over neighbours and centres: pair weights are inverse sums of squares.
+WEIGHTED = ["LinearTrend", "MaxSlope", "abs_sum_changes", "auto_corr", "c3", "check_for_max_duplicate", "check_max_last_loc", "complexity", "con_above1", "first_loc_max", "half_mag_amplitude_ratio", "kurtosis",
+            "large_standard_deviation", "mean_abs_change", "mean_change", "mean_n_abs_max", "number_of_crossings", "skewness", "std_over_mean", "stetsonJ", "time_reversal_asymmetry", "vonNeumannRatio"]
+QUERIES["lc_features_weighted_independent"] = partial(_features, view="flux", wanted=WEIGHTED, weighted=True, space="flux")
+ORACLES["lc_features_weighted_independent"] = settled_sql(WEIGHTED, f"""
+WITH lc AS ({light_curves_sql("flux")}), {_NORMED},
+lists AS (SELECT lc_id, count(*) AS n, list(x ORDER BY time, seq) AS xs, list(e ORDER BY time, seq) AS es, list(time ORDER BY time, seq) AS ts, median(x) AS med, max(x) AS mx, min(x) AS mn FROM b GROUP BY lc_id),
+cells AS (SELECT lc_id, n, med, mx, mn, i, xs[i] AS x, es[i] AS e, ts[i] AS t, 1 / (es[i] * es[i]) AS w, xs[i + 1] AS y, es[i + 1] AS f, ts[i + 1] AS u, xs[i + 2] AS z, es[i + 2] AS g
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM lists)),
+centres AS (SELECT lc_id, sum(w * x) / sum(w) AS mu, sum(w * t) / sum(w) AS mt, max(w * x) AS top FROM cells GROUP BY lc_id),
+r AS (SELECT *, x - mu AS a, y - mu AS c, 1 / (e * e + f * f) AS w2, 1 / (e * e + f * f + g * g) AS w3, sqrt(w) / f AS wr, n / (n - 1) * (x - med) / e * (y - med) / f AS p FROM cells JOIN centres USING (lc_id)),
+far AS (SELECT lc_id, i - row_number() OVER (PARTITION BY lc_id ORDER BY i) AS island FROM r WHERE x >= med + e),
+islands AS (SELECT lc_id, count(*) AS islands FROM (SELECT lc_id, island FROM far GROUP BY ALL HAVING count(*) >= 3) GROUP BY lc_id),
+biggest AS (SELECT lc_id, sum(w * abs(x)) / sum(w) AS big FROM (SELECT *, row_number() OVER (PARTITION BY lc_id ORDER BY abs(x) DESC, t, i) AS place FROM r) WHERE place <= 10 GROUP BY lc_id)
+SELECT lc_id, sum(w * a * (t - mt)) / sum(w * (t - mt) * (t - mt)) AS LinearTrend,
+  CASE WHEN count(*) FILTER (WHERE u = t) = 0 THEN sum(w2 * abs(y - x) / (u - t)) / sum(w2) ELSE sum(w2 * abs(y - x) / nullif(u - t, 0)) / sum(w2) FILTER (WHERE u > t) END AS MaxSlope,
+  sum(abs(y - x) * sqrt(w2)) AS abs_sum_changes, sum(wr * a * c) / sum(w * a * a) AS auto_corr, sum(w3 * x * y * z) / sum(w3) AS c3,
+  (count(*) FILTER (WHERE mx - x <= 3 * e) > 1)::INT AS check_for_max_duplicate, 1 - max(i - 1) FILTER (WHERE mx - x <= 3 * e) / any_value(n) AS check_max_last_loc,
+  sqrt(sum(w * (y - x) * (y - x)) / sum(w) FILTER (WHERE y IS NOT NULL)) AS complexity, coalesce(any_value(islands), 0) / any_value(n) AS con_above1, min(i - 1) FILTER (WHERE w * x = top) / any_value(n) AS first_loc_max,
+  sqrt(sum(w * (x - med) * (x - med)) FILTER (WHERE x > med) / sum(w) FILTER (WHERE x > med) / (sum(w * (x - med) * (x - med)) FILTER (WHERE x <= med) / sum(w) FILTER (WHERE x <= med))) AS half_mag_amplitude_ratio,
+  sum(w * a * a * a * a) / sum(w) / pow(sum(w * a * a) / sum(w), 2) - 3 AS kurtosis, (sqrt(sum(w * a * a) / sum(w)) > 0.3 * (any_value(mx) - any_value(mn)))::INT AS large_standard_deviation,
+  sum(abs(y - x) / (e + f)) / sum(1 / (e + f)) AS mean_abs_change, sum(w2 * (y - x)) / sum(w2) AS mean_change, any_value(big) AS mean_n_abs_max,
+  count(*) FILTER (WHERE (x > med) <> (y > med) AND abs(y - x) > e) / any_value(n) AS number_of_crossings, sum(w * a * a * a) / sum(w) / pow(sum(w * a * a) / sum(w), 1.5) AS skewness,
+  sqrt(sum(w * a * a) / sum(w)) / any_value(mu) AS std_over_mean, sum(sign(p) * sqrt(abs(p))) / (any_value(n) - 1) AS stetsonJ, sum(w3 * (z - x) * (y - x)) / sum(w3) AS time_reversal_asymmetry,
+  sum(wr * (y - x) * (y - x)) / sum(wr) / (sum(w * a * a) / sum(w)) AS vonNeumannRatio
+FROM r LEFT JOIN islands USING (lc_id) LEFT JOIN biggest USING (lc_id) GROUP BY lc_id""", ["lc_id"])
 
 
 # --- features that NumPy computes per series ---------------------------------------------------------------------
