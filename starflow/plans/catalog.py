@@ -136,6 +136,39 @@ SELECT lc_id, sum(w * a * (t - mt)) / sum(w * (t - mt) * (t - mt)) AS LinearTren
   sum(wr * (y - x) * (y - x)) / sum(wr) / (sum(w * a * a) / sum(w)) AS vonNeumannRatio
 FROM r LEFT JOIN islands USING (lc_id) LEFT JOIN biggest USING (lc_id) GROUP BY lc_id""", ["lc_id"])
 
+#: Weighted features of levels, runs, places and the weighted median, which lies between the values around half of all weight.
+WEIGHTED_LEVELS = ["PercentAmplitude", "above3", "above5", "below1", "below3", "below5", "check_for_min_duplicate", "check_min_last_loc", "con_above3", "con_below1", "con_below3", "con_below5", "count_above", "count_below",
+                   "cusum", "first_loc_min", "index_mass_quantile", "longest_strike_above", "longest_strike_below", "mean_second_derivative", "median_distance", "quantile_5", "quantile_50", "quantile_95", "stetsonL", "sum_values",
+                   "symmetry_looking", "time_reversal_asymmetry_normalized", "variance_larger_than_standard_deviation", "variation_coefficient"]
+_island = lambda test, least: f"coalesce(list_max([len(r) FOR r IN regexp_extract_all(array_to_string([CASE WHEN {test} THEN 'y' ELSE 'n' END FOR k IN range(1, n + 1)], ''), 'y+')]), 0)" if least is None else f"len(list_filter(regexp_extract_all(array_to_string([CASE WHEN {test} THEN 'y' ELSE 'n' END FOR k IN range(1, n + 1)], ''), 'y+'), lambda r: len(r) >= {least}))"
+_runs = ", ".join(f"{_island(t, 3)} AS {name}" for name, t in {"con_above3": "xs[k] >= med + 3 * es[k]", "con_below1": "xs[k] <= med - es[k]", "con_below3": "xs[k] <= med - 3 * es[k]", "con_below5": "xs[k] <= med - 5 * es[k]"}.items())
+QUERIES["lc_features_weighted_levels"] = partial(_features, view="flux", wanted=WEIGHTED_LEVELS, weighted=True, space="flux")
+ORACLES["lc_features_weighted_levels"] = settled_sql(WEIGHTED_LEVELS, f"""
+WITH lc AS ({light_curves_sql("flux")}), {_NORMED},
+sorted AS (SELECT *, sum(1 / (e * e)) OVER (PARTITION BY lc_id ORDER BY x, time, seq ROWS UNBOUNDED PRECEDING) / sum(1 / (e * e)) OVER (PARTITION BY lc_id) AS c FROM b),
+around AS (SELECT lc_id, max(c) FILTER (WHERE c <= 0.5) AS c0, arg_max(x, c) FILTER (WHERE c <= 0.5) AS x0, min(c) FILTER (WHERE c > 0.5) AS c1, arg_min(x, c) FILTER (WHERE c > 0.5) AS x1 FROM sorted GROUP BY lc_id),
+middle AS (SELECT lc_id, CASE WHEN c0 IS NULL THEN x1 ELSE x0 + (x1 - x0) * (0.5 - c0) / (c1 - c0) END AS wm FROM around),
+lists AS (SELECT lc_id, count(*) AS n, list(x ORDER BY time, seq) AS xs, list(e ORDER BY time, seq) AS es, list(time ORDER BY time, seq) AS ts, median(x) AS med, stddev_pop(x) AS sd, max(x) AS mx, min(x) AS mn,
+  sum(x / (e * e)) / sum(1 / (e * e)) AS mu, quantile_cont(x, 0.05) AS q5, quantile_cont(x, 0.95) AS q95 FROM b GROUP BY lc_id),
+runs AS (SELECT lc_id, {_runs}, {_island("xs[k] > wm + es[k]", None)} AS up, {_island("xs[k] < wm - es[k]", None)} AS down FROM lists JOIN middle USING (lc_id)),
+r AS (SELECT *, xs[i] AS x, es[i] AS e, ts[i] AS t, 1 / (es[i] * es[i]) AS w, list_sum([y - med FOR y IN xs[1:i]]) AS drift, n / (n - 1) * (xs[i] - med) / es[i] * (xs[i + 1] - med) / es[i + 1] AS p,
+  CASE WHEN i > 1 THEN 2 / (ts[i + 1] - ts[i - 1]) * ((xs[i + 1] - xs[i]) / (ts[i + 1] - ts[i]) - (xs[i] - xs[i - 1]) / (ts[i] - ts[i - 1])) END AS bend,
+  CASE WHEN i > 1 THEN 1 / (es[i - 1] * es[i - 1] + es[i] * es[i] + es[i + 1] * es[i + 1]) END AS wb, xs[i + 3] - xs[i] AS leap, 1 / (es[i] * es[i] + es[i + 3] * es[i + 3]) AS wl,
+  sqrt((pow(xs[i + 1] - xs[i], 2) + pow(ts[i + 1] - ts[i], 2)) / (es[i] * es[i] + es[i + 1] * es[i + 1])) AS way FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM lists JOIN middle USING (lc_id))),
+m AS (SELECT *, sum(abs(x) * w) OVER (PARTITION BY lc_id ORDER BY i) AS mass, sum(abs(x) * w) OVER (PARTITION BY lc_id) AS whole, min(w * x) OVER (PARTITION BY lc_id) AS least FROM r)
+SELECT lc_id, max(abs(x - wm)) / any_value(wm) AS PercentAmplitude, sum(w) FILTER (WHERE x > med + sd / 3) / sum(w) AS above3, sum(w) FILTER (WHERE x > med + sd / 5) / sum(w) AS above5,
+  coalesce(sum(w) FILTER (WHERE med - x > sd), 0) / sum(w) AS below1, sum(w) FILTER (WHERE med - x > sd / 3) / sum(w) AS below3, sum(w) FILTER (WHERE med - x > sd / 5) / sum(w) AS below5,
+  (count(*) FILTER (WHERE x - mn <= 3 * e) > 1)::INT AS check_for_min_duplicate, 1 - max(i - 1) FILTER (WHERE x - mn <= 3 * e) / any_value(n) AS check_min_last_loc,
+  {", ".join(f"any_value(runs.{c}) / any_value(n) AS {c}" for c in ("con_above3", "con_below1", "con_below3", "con_below5"))},
+  sum(w) FILTER (WHERE x > wm) / sum(w) AS count_above, sum(w) FILTER (WHERE x < wm) / sum(w) AS count_below, (max(drift) - min(drift)) / (any_value(n) * sqrt(sum(w * (x - med) * (x - med)) / sum(w))) AS cusum,
+  min(i - 1) FILTER (WHERE w * x = least) / any_value(n) AS first_loc_min, min(i) FILTER (WHERE mass >= 0.5 * whole) / any_value(n) AS index_mass_quantile, any_value(up) / any_value(n) AS longest_strike_above,
+  any_value(down) / any_value(n) AS longest_strike_below, sum(wb * bend) / sum(wb) FILTER (WHERE bend IS NOT NULL) AS mean_second_derivative, median(way) AS median_distance, any_value(q5) AS quantile_5,
+  any_value(med) AS quantile_50, any_value(q95) AS quantile_95,
+  sum(sign(p) * sqrt(abs(p))) / (any_value(n) - 1) * avg(abs(x - med) / e) / sqrt(avg((x - med) * (x - med) * w)) / 0.798 AS stetsonL, any_value(mu) AS sum_values,
+  (abs(any_value(mu) - any_value(wm)) < 0.5 * (any_value(mx) - any_value(mn)))::INT AS symmetry_looking, sum(wl * leap * leap * leap) / sum(wl) / pow(sum(wl * leap * leap) / sum(wl), 1.5) AS time_reversal_asymmetry_normalized,
+  (sum(w * (x - mu) * (x - mu)) > sum(w))::INT AS variance_larger_than_standard_deviation, sqrt(sum(w * (x - mu) * (x - mu)) / sum(w)) / any_value(mu) AS variation_coefficient
+FROM m JOIN runs USING (lc_id) GROUP BY lc_id""", ["lc_id"])
+
 
 # --- features that NumPy computes per series ---------------------------------------------------------------------
 
