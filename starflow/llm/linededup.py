@@ -3,9 +3,9 @@
 A run is an immutable table of distinct lines ``(h1, h2, n_docs, max_doc)``, bucketed and sorted by the hash pair. A batch
 of documents is summed to one row a line, in how many documents it stands and in which largest one, and merge-anti-joined
 with the runs: lines that no run holds become the batch's own run, so that a line is in one run for good and merging the
-runs of a full level (``runs.Levels``) only unites them. The lines that a run holds are sightings: they are kept, with
-what the run has of the line, in a table that is small beside the runs, as is a new line that stands in enough documents
-of its own batch. The lines that are dropped are read from the sightings alone; no run is looked at again.
+runs of a full level (``runs.Levels``) only unites them. The lines that a run holds are sightings, marked in what the batch
+writes: they are kept, with what the run has of the line, in a table that is small beside the runs, as is a new line that
+stands in enough documents of its own batch. The lines that are dropped are read from the sightings alone; no run is looked at again.
 
 Only hash pairs (128 bits) of lines long enough are shuffled; documents are counted before the shuffle, so a line that
 every document holds costs one row a task. Where lines are matched with the documents they leave, the few lines that
@@ -47,9 +47,14 @@ class LineIndex:
 
     def __init__(self, spark, shortest: int = 20, copies: int = 3, fanout: int = 4):
         self.shortest, self.copies = shortest, copies
-        self.levels = Levels(spark, H, fanout)
+        self.levels = Levels(spark, H, fanout, self.new)
         self.sightings: list[DataFrame] = []
 
+    @staticmethod
+    def new(rows: DataFrame) -> DataFrame:
+        """Of a run as it was written, the lines that no run held before."""
+        return rows.where("held IS NULL")
+
     def keys(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """``(doc_id, text_id, h1, h2, pos, first)``: one row per long line of each row of ``docs``; ``first`` marks the
         first of equal lines in it."""
@@ -77,15 +82,14 @@ class LineIndex:
         batch = keys.groupBy(*H).agg(F.sum(F.col("first").cast("long")).alias("n_docs"), F.max("doc_id").alias("max_doc"))
         held = []
         for k, run in enumerate(self.levels.runs()):
-            batch = batch.join(run.select(*H, F.struct("n_docs", "max_doc").alias(f"in_{k}")), [*H], "left")
+            batch = batch.join(self.new(run).select(*H, F.struct("n_docs", "max_doc").alias(f"in_{k}")), [*H], "left")
             held.append(F.col(f"in_{k}"))
         held = F.coalesce(*held) if held else F.lit(None).cast("struct<n_docs:long,max_doc:long>")  # one run holds a line, if any
-        met = stored(batch.select(*H, "n_docs", "max_doc", held.alias("held")))
-        self.levels.add(self.levels.write(met.where("held IS NULL").drop("held")))
+        name = self.levels.write(batch.select(*H, "n_docs", "max_doc", held.alias("held")))
         own = F.struct("n_docs", "max_doc")
-        seen = met.where(F.col("held").isNotNull() | (F.col("n_docs") >= self.copies))
-        first = seen.select(*H, F.coalesce("held", own).alias("first"), F.when(F.col("held").isNotNull(), own).alias("again"))
-        self.sightings.append(stored(first))
+        seen = self.levels.read(name).where(F.col("held").isNotNull() | (F.col("n_docs") >= self.copies))
+        self.sightings.append(stored(seen.select(*H, F.coalesce("held", own).alias("first"), F.when(F.col("held").isNotNull(), own).alias("again"))))
+        self.levels.add(name)
 
     def repeated(self) -> DataFrame:
         """``(h1, h2, n_docs, max_doc)`` of the lines that lose copies: what the line's run has and all later sightings."""

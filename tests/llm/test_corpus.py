@@ -158,7 +158,7 @@ def test_runs_are_merge_anti_joined_and_compacted(spark):
         index.add(index.keys(spark.createDataFrame(batch, "doc_id long, text string")))
     assert sorted(map(len, index.levels.names.values())) == [1, 1]  # two runs of level 0 have become one of level 1
     key = {spark.sql(f"SELECT xxhash64(1, repeat('{c}', 20)) AS h").first().h: c for c in "abcd"}
-    top, low = ({key[r.h1]: (r.n_docs, r.max_doc) for r in index.levels.read(index.levels.names[level][0]).collect()} for level in (1, 0))
+    top, low = ({key[r.h1]: (r.n_docs, r.max_doc) for r in index.new(index.levels.read(index.levels.names[level][0])).collect()} for level in (1, 0))
     assert top == {"a": (2, 2), "b": (1, 1), "c": (1, 3)} and low == {"d": (1, 4)}  # each line in one run, as first met
     seen = sorted((key[r.h1], r.first.n_docs, r.again.n_docs) for s in index.sightings for r in s.collect())
     assert seen == [("b", 1, 1), ("b", 1, 1), ("c", 1, 1)]
@@ -178,7 +178,7 @@ def test_lines_repeat_by_the_join_with_the_runs_alone(spark, monkeypatch):
         index = linededup.LineIndex(spark)
         for rows in batches:
             index.add(index.keys(spark.createDataFrame(rows, "doc_id long, text string")))
-        held = sum(index.levels.read(n).count() for level in index.levels.names.values() for n in level)
+        held = sum(index.new(index.levels.read(n)).count() for level in index.levels.names.values() for n in level)
         out = [(r.n_docs, r.max_doc) for r in index.repeated().collect()]
         index.levels.remove()
         return out, held
