@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from starflow.operators import periods, spectrum
+from starflow.plans import catalog
 
 
 @pytest.mark.parametrize("n", [5, 49, 400, 3000])
@@ -66,3 +67,31 @@ def test_odd_rows(spark):
     assert {r.lc_id for r in got} == {"d"} and all(r.power is None for r in got)
     assert {r.lc_id for r in spectrum.fast_periodogram(df, band="band").collect()} == {"d"}
     assert spectrum.fast_periodogram(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bands", [False, True])
+def test_blocks_equal_the_join(spark, bands, monkeypatch):
+    monkeypatch.setattr(periods, "CELLS", 100)
+    rng = np.random.default_rng(5)
+    rows = [(i, "gri"[j % 3], j, float(rng.uniform(0, 9)), float(rng.normal()), float(rng.uniform(0.1, 1))) for i, n in enumerate((1, 2, 9, 40)) for j in range(n)]
+    rows += [(7, "g", j, 2.0 + j, None if j == 2 else 1.0 * j * j, 0.0 if j == 3 else None if j == 4 else 0.5) for j in range(8)] + [(8, "g", j, 1.0 * j, 2.0, 0.0) for j in range(4)]
+    df = spark.createDataFrame(rows, "lc_id long, band string, seq long, time double, x double, e double")
+    sql = periods.multiband_sql("{p}") if bands else periods.periodogram_sql("{p}")
+    want = {(r.lc_id, r.k): r for r in spark.sql(f"WITH {sql} SELECT * FROM power", p=df).collect()}
+    found = periods.periodogram(df, band="band" if bands else None)
+    got = {(r.lc_id, r.k): r for r in found.collect()}
+    assert got.keys() == want.keys() and {i for i, _ in got} == {1, 2, 3, 7}
+    for at, r in want.items():
+        assert got[at].frequency == pytest.approx(r.frequency, rel=1e-14)
+        if at[0] > 1:  # two points are fitted by any sinusoid
+            assert (got[at].power is None) == (r.power is None) and got[at].power == pytest.approx(r.power, rel=1e-7, abs=1e-12)
+    if not bands:
+        peaks = [(r.lc_id, r["rank"], r.period, r.power) for r in periods.periodogram(df, peaks=3).orderBy("lc_id", "rank").collect() if r.lc_id > 1]
+        best = [(r.lc_id, r["rank"], r.period, r.power) for r in periods.best_periods(found, 3).orderBy("lc_id", "rank").collect() if r.lc_id > 1]
+        assert peaks == best
+
+
+@pytest.mark.parametrize("name", ["lc_periods", "lc_periodogram", "lc_periodogram_full", "lc_multiband"])
+def test_no_pair_of_point_and_frequency_is_a_row(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and "Generate" not in plan
