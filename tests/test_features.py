@@ -1,11 +1,16 @@
+import datetime
+import random
 from statistics import NormalDist
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from series_oracle import derivative, features as expected
 
 from starflow.functions import features, grouped, registry
 from starflow.operators.extract import extract
+from starflow.plans import catalog
 
 
 def series(seed):
@@ -133,3 +138,18 @@ def test_wide_peaks():
     flat = np.array([0, 1, 3, 3, 3, 3, 3, 3, 1, 0.0])
     assert grouped.cwt_like_peaks(flat, np.ones(10), False) == 1 / 10
     assert grouped.cwt_like_peaks(np.array([0, 9, 0, 9, 0.0]), np.ones(5), False) == 0  # high but narrow
+
+
+@pytest.mark.parametrize("name", ["lc_features_basic", "lc_features_independent", "lc_features_weighted_independent", "lc_features_weighted_levels"])
+def test_points_of_zero_flux_keep_their_errors(spark, tmp_path, name):
+    rng = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(minutes=rng.randrange(40_000)), k % 2, "click", 0.0 if k in (8, 21) else round(rng.expovariate(0.02), 2), "{}") for k in range(120)]
+    table = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    table["ts"] = table["ts"].astype("datetime64[us]")
+    table.to_parquet(tmp_path / "events.parquet")
+    got = catalog.QUERIES[name](spark, str(tmp_path)).toPandas().sort_values("lc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(catalog.ORACLES[name]).df().sort_values("lc_id").reset_index(drop=True)[list(got.columns)]
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=True)
