@@ -326,3 +326,23 @@ def test_bands(spark):
     assert off < 0.15
     with pytest.raises(Exception, match="no fit of band z"):
         periods.predict_bands(fits, points.limit(1).withColumn("band", F.lit("z"))).collect()
+
+
+def test_nearest_rows_equal_all_distances(spark):
+    rng = np.random.default_rng(11)
+    columns = [f"c{k}" for k in range(6)]
+    cells = rng.normal(1e6, 1, (150, 6)).round(1)
+    cells[75:] = cells[:75]  # copies, with gaps of their own
+    cells[7, 2], gaps = 1e9, rng.random((150, 6)) < 0.3
+    gaps[5], gaps[9, 1:] = True, True
+    cells[gaps] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(cells)], "id long, " + ", ".join(f"{c} double" for c in columns))
+    want = cells.copy()
+    for i, c in np.argwhere(gaps):
+        both = ~gaps[i] & ~gaps
+        d = np.where(both, (cells[i] - cells) ** 2, 0).sum(1) * 6 / np.maximum(both.sum(1), 1)
+        at = [j for j in np.lexsort((np.arange(150), d)) if both[j].any() and not gaps[j, c]][:3]
+        want[i, c] = cells[at, c].mean() if at else np.nanmean(cells[:, c])
+    for block in (16, 16384):
+        got = matrix._nearest(df, df, columns, 3, "id", block).orderBy("id").toPandas()[columns].to_numpy()
+        np.testing.assert_allclose(got, want, rtol=1e-14)
