@@ -153,3 +153,15 @@ def test_points_of_zero_flux_keep_their_errors(spark, tmp_path, name):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     want = con.sql(catalog.ORACLES[name]).df().sort_values("lc_id").reset_index(drop=True)[list(got.columns)]
     pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=True)
+
+
+def test_leading_digits_of_converted_magnitudes_are_those_of_the_sql(spark, tmp_path):
+    """Fluxes at a whole share of the largest, where the last bit decides the digit."""
+    cases = {43.28: 0.2, 149.51: 0.5, 113.97: 0.5, 76.24: 0.5, 68.88: 0.5, 109.13: 0.5, 15.12: 0.05, 81.9: 0.5, 120.12: 0.4}
+    rows = [(v, (1 + v) / share - 1) for v, share in cases.items()]
+    rows = [(8 * u + k, f"2024-01-0{1 + k}", u, round(value, 2)) for u, pair in enumerate(rows) for k, value in enumerate((*pair, 1.5, 7.25))]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "cast(ts AS timestamp_ntz) AS ts", "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog._features(spark, str(tmp_path), view="mag", wanted=["benford_correlation"], weighted=False, space="flux")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert dict(map(tuple, got.collect())) == dict(duck.execute(catalog._features_sql("mag", ["benford_correlation"], False, "flux")).fetchall())
