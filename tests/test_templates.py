@@ -97,3 +97,28 @@ def test_noise_of_the_users(spark):
     again = {r.seq: r.noisy_mag for r in simulate.add_noise(df.repartition(7), lambda m: m * 0 + 0.03, vectorised=True).collect()}
     assert all(again[s] == r.noisy_mag for s, r in rows.items())
     assert {r.magerr for r in simulate.add_noise(df.where("seq = 1"), lambda m: m * 0 - 1).collect()} == {1e-5}
+
+
+def test_series_of_a_task_are_fitted_at_once(spark, monkeypatch):
+    """Forty series need as many template evaluations as one; their fits are those of each alone, whatever they share a chunk with."""
+    import pandas as pd
+
+    calls = []
+    splines, value = {n: templates.Spline(v) for n, v in SHAPES.items()}, templates.Spline.value
+    monkeypatch.setattr(templates.Spline, "value", lambda self, phase: calls.append(len(phase)) or value(self, phase))
+
+    def rows(lc):
+        points = [r for r in planted(lc, 2.3 + 0.01 * lc, 0.2)][: 30 + lc]
+        return sorted([(lc, None, p, None, None) for p in (2.5, 2.9, 4.0)[: 1 + lc % 3]] + [(lc, b, t, x, e) for _, b, t, x, e in points], key=lambda r: (r[1] or "", r[2]))
+
+    table = lambda found: pd.DataFrame(found, columns=["lc_id", "band", "time", "x", "e"])
+    alone = [templates._fits(table(rows(lc)), splines, {}, True, 20) for lc in range(40)]
+    calls.clear()
+    together = templates._fits(table([r for lc in range(40) for r in rows(lc)]), splines, {}, True, 20)
+    assert len(calls) == 20 * 2 * 3
+    order = ["lc_id", "period", "band"]
+    pd.testing.assert_frame_equal(together.sort_values(order, ignore_index=True), pd.concat(alone).sort_values(order, ignore_index=True), rtol=1e-6, atol=1e-7)
+    monkeypatch.undo()
+    many = [(lc, b, t, x, e) for lc in range(250) for _, b, t, x, e in planted(lc)]
+    fits = templates.fit_band_templates(spark.createDataFrame(many, SCHEMA).coalesce(1), spark.createDataFrame([(lc, 2.7) for lc in range(250)], "lc_id long, period double"), SHAPES)
+    assert fits.count() == fits.select("lc_id", "band").distinct().count() == 500 and fits.agg(F.min("score")).first()[0] > 0.9
