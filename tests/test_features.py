@@ -165,3 +165,25 @@ def test_leading_digits_of_converted_magnitudes_are_those_of_the_sql(spark, tmp_
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert dict(map(tuple, got.collect())) == dict(duck.execute(catalog._features_sql("mag", ["benford_correlation"], False, "flux")).fetchall())
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_quantiles_are_read_by_rank(spark, weighted):
+    """No aggregate gathers values, which would sort the widened points again, nor are the points joined with themselves."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for lc, n in enumerate((1, 2, 3, 5, 21, 101, 101, 60, 60)):
+        x = np.round(rng.normal(5, 2, n), 1) if lc != 6 else np.full(n, 2.5)
+        e = rng.uniform(0.1, 0.5, n) * (rng.random(n) > (0.3 if lc == 7 else 0)) * (lc != 8)
+        rows += [(lc, k, float(k // 2), float(x[k]), float(e[k])) for k in range(n)]
+    relation = spark.createDataFrame(rows, "lc_id long, seq long, time double, x double, e double")
+    relation.createOrReplaceTempView("ranked_points")
+    ranked_points = relation.toPandas()  # noqa: F841  read by DuckDB
+    names = ["FluxPercentileRatioMid20", "Gskew", "PercentDifferenceFluxPercentile", "amplitude", "medianAbsDev", "median_buffer_range", "median_distance", "quantile_25", "quantile_95", "symmetry_looking"]
+    result = spark.sql(features.query(names, weighted, features.SPARK, "ranked_points"))
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "Join" not in plan
+    want = duckdb.sql(features.query(names, weighted, features.DUCKDB, "ranked_points")).df().sort_values("lc_id")
+    got = result.toPandas().sort_values("lc_id")
+    for name in names:
+        np.testing.assert_allclose(got[name].to_numpy(float), want[name].to_numpy(float), rtol=1e-12, atol=1e-12, err_msg=name)
