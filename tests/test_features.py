@@ -187,3 +187,15 @@ def test_quantiles_are_read_by_rank(spark, weighted):
     got = result.toPandas().sort_values("lc_id")
     for name in names:
         np.testing.assert_allclose(got[name].to_numpy(float), want[name].to_numpy(float), rtol=1e-12, atol=1e-12, err_msg=name)
+
+
+def test_points_of_a_task_are_bounded(spark, points, monkeypatch):
+    """Parts grow with the points, whatever adaptive execution would gather."""
+    from starflow.operators import extract as module
+
+    names = ["meanMag", "amplitude", "sample_entropy", "kurtosis_deriv"]
+    want = sorted(map(tuple, extract(points, names).collect()))
+    monkeypatch.setattr(module, "POINTS", 20)
+    result = extract(points, names)
+    assert "9), REPARTITION_BY_NUM" in result._jdf.queryExecution().executedPlan().toString()  # 162 points
+    np.testing.assert_allclose(np.array(sorted(map(tuple, result.collect())), float), np.array(want, float), rtol=1e-12)
