@@ -1,6 +1,7 @@
 """The map's parts against sums over all rows, and how well it keeps neighbours."""
 
 import math
+import pickle
 import random
 
 import numpy as np
@@ -77,3 +78,16 @@ def test_few_rows(spark, monkeypatch):
     monkeypatch.setattr(embedding, "MOST", 2)
     with pytest.raises(ValueError, match="representative"):
         embedding.tsne(df, names)
+
+
+def test_rounds_send_no_rows_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "BLOCK", 64)
+    df, names, _ = clusters(spark, 240)
+    sent, kind = [], type(df)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: [r for r in [collect(self)] if sent.append(len(pickle.dumps([tuple(v) for v in r]))) is None][0])
+    context, broadcast = spark.sparkContext, spark.sparkContext.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda value: [sent.append(len(pickle.dumps(value))), broadcast(value)][1])
+    out = embedding.tsne(df.repartition(3), names, perplexity=15, rounds=6)
+    assert sum(sent) < 6 * 240 * 8  # once 48 bytes a row and round came and 24 went
+    assert out.count() == 240 and out.selectExpr("count(DISTINCT x)").first()[0] == 240
