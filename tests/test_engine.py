@@ -306,6 +306,24 @@ def test_registered_selection_decides(spark, monkeypatch):
     assert "rejected" in [decided[c] for c in names[1:]] and "accepted" not in [decided[c] for c in names[1:]]
 
 
+def test_shuffled_values_go_by_the_order_of_hashes(spark, monkeypatch):
+    monkeypatch.setattr(learn, "CELLS", 3_000)
+    df = spark.range(9_000, 0, -1, 3).selectExpr("id * 3 AS id", "CASE WHEN id % 5 > 0 THEN id * 0.5D END AS a", "CASE WHEN id % 7 = 0 THEN double('NaN') ELSE -id * 1D END AS b")
+    got = learn.shuffled(df, ["a", "b"], "id", 11).orderBy("id").collect()
+    for k, c in enumerate("ab"):
+        want = [r[c] for r in df.orderBy(F.xxhash64(F.lit(11), F.lit(k), "id"), "id").collect()]
+        assert [str(r[f"shadow_{c}"]) for r in got] == [str(v) for v in want]
+    assert [(r.id, str(r.a)) for r in got] == [(r.id, str(r.a)) for r in df.orderBy("id").collect()]
+
+
+def test_selection_sorts_the_rows_once(spark, monkeypatch):
+    sorts, running = [], learn.ranges.running
+    monkeypatch.setattr(learn.ranges, "running", lambda *given: [sorts.append(given), running(*given)][1])
+    df = spark.range(60).selectExpr("id", "cast(id % 2 AS STRING) AS label", "rand(1) + id % 2 AS a", "rand(2) AS b")
+    learn.select_features(df, ["a", "b"], trials=3, trees=3)
+    assert len(sorts) == 1  # once two a trial, one of them of all cells
+
+
 def test_bands(spark):
     rng = np.random.default_rng(4)
     rows = []
