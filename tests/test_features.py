@@ -189,6 +189,20 @@ def test_quantiles_are_read_by_rank(spark, weighted):
         np.testing.assert_allclose(got[name].to_numpy(float), want[name].to_numpy(float), rtol=1e-12, atol=1e-12, err_msg=name)
 
 
+def test_values_on_the_borders_of_the_buffer_range_are_those_of_the_sql(spark):
+    """Cents whose distance from the median is a tenth of the range but for the last bit of an interpolated quantile."""
+    cents = [
+        [49, 102, 112, 147, 208, 282, 290, 751, 972, 1153, 1395, 1742, 1817, 1935, 1997, 2044, 2245, 2265, 2317, 2319, 2460, 2500, 2791, 2905, 3267, 3367, 3484, 3525, 3964, 4068, 4218, 4253, 4253, 4494, 4698, 4741, 4986, 4992, 5229, 5416, 5630, 5736, 6698, 7159, 7308, 8177, 8214, 9462, 9885, 10012, 10452, 10551, 11939, 12040, 12331, 13229, 13327, 14604, 17222, 19422, 20394],
+        [7, 7, 47, 201, 248, 284, 288, 405, 453, 643, 646, 767, 873, 919, 1080, 1137, 1339, 1447, 1458, 1545, 1686, 1859, 1865, 1867, 2057, 2131, 2226, 2241, 2290, 2559, 2592, 2905, 3116, 3147, 3211, 3262, 3362, 4070, 4158, 4650, 4716, 5013, 5111, 5130, 5340, 5433, 5435, 5509, 5519, 6325, 6957, 7157, 7801, 7847, 8742, 9016, 9367, 9385, 10343, 11061, 11668, 12280, 13027, 14658, 15106, 15931, 16073, 18757, 21778, 25178],
+    ]
+    rows = [(lc, k, float(k), v / 100, 1.0) for lc, values in enumerate(cents) for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "lc_id long, seq long, time double, x double, e double").createOrReplaceTempView("border_points")
+    border_points = pd.DataFrame(rows, columns=["lc_id", "seq", "time", "x", "e"])  # noqa: F841  read by DuckDB
+    query = lambda d: features.query(["median_buffer_range"], False, d, "border_points")
+    got, want = dict(map(tuple, spark.sql(query(features.SPARK)).collect())), dict(duckdb.sql(query(features.DUCKDB)).fetchall())
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_points_of_a_task_are_bounded(spark, points, monkeypatch):
     """Parts grow with the points, whatever adaptive execution would gather."""
     from starflow.operators import extract as module
