@@ -155,6 +155,19 @@ def test_points_of_zero_flux_keep_their_errors(spark, tmp_path, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=True)
 
 
+def test_shares_of_no_point_are_those_of_the_sql(spark, tmp_path):
+    """Series without a point so far below the median, one of them without scatter."""
+    days = [(0, v) for v in (10, 10, 10, 10, 10, 90)] + [(1, v) for v in (10, 20, 30, 40, 50, 90)] + [(2, 7)] * 6 + [(3, v) for v in (80, 90, 90, 90, 90, 90)]
+    rows = [(k, f"2024-01-0{1 + k % 6}", u, float(v)) for k, (u, v) in enumerate(days)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "cast(ts AS timestamp_ntz) AS ts", "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    shares = ["lc_id", "above3", "above5", "below1", "below3", "below5", "count_above", "count_below"]
+    got = catalog.QUERIES["lc_features_weighted_levels"](spark, str(tmp_path)).select(*shares)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(duck.execute(f"SELECT {', '.join(shares)} FROM ({catalog.ORACLES['lc_features_weighted_levels']})").fetchall())
+    assert sorted(map(tuple, got.collect())) == want and None in want[0] and want[1].count(None) == 0
+
+
 def test_leading_digits_of_converted_magnitudes_are_those_of_the_sql(spark, tmp_path):
     """Fluxes at a whole share of the largest, where the last bit decides the digit."""
     cases = {43.28: 0.2, 149.51: 0.5, 113.97: 0.5, 76.24: 0.5, 68.88: 0.5, 109.13: 0.5, 15.12: 0.05, 81.9: 0.5, 120.12: 0.4}
