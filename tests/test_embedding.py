@@ -91,3 +91,46 @@ def test_rounds_send_no_rows_to_the_driver(spark, monkeypatch):
     out = embedding.tsne(df.repartition(3), names, perplexity=15, rounds=6)
     assert sum(sent) < 6 * 240 * 8  # once 48 bytes a row and round came and 24 went
     assert out.count() == 240 and out.selectExpr("count(DISTINCT x)").first()[0] == 240
+
+
+def test_affinities_travel_packed(spark, monkeypatch):
+    """Edges equal those of all pairs, and neither they nor neighbours are rows of a shuffle or compared one by one."""
+    monkeypatch.setattr(embedding, "BLOCK", 64)
+    monkeypatch.setattr(embedding, "cut", lambda df: df)
+    df, names, x = clusters(spark, 150, repeats=10)
+    blocks = embedding._blocks(df.selectExpr("id AS i", f"array({', '.join(names)}) AS x").repartition(3), 8, 10.0, 6, 1, 160)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "array_distinct" not in plan
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.zeros((160, 160))
+    for i, row in enumerate(d[:140]):
+        near = np.argsort(row, kind="stable")[:30]
+        want[i, near] = embedding.affinities(row[near], 10.0)
+    got, rows = np.zeros((160, 160)), 0
+    for r in blocks.collect():
+        degree, to, p = (np.frombuffer(r[c], t) for c, t in (("degree", np.int32), ("to", np.int32), ("p", np.float32)))
+        got[r.block * 64 + np.repeat(np.arange(len(degree)), degree), to] = p
+        rows += len(degree)
+    assert rows == 160 and np.abs(got - got.T).max() == 0 and got.sum() == pytest.approx(1, abs=1e-5)
+    few = slice(1, 140)  # the copies of row 0 may be one another's neighbours in any order
+    want = (want + want.T) / 320
+    assert np.abs(got[few, few] - want[few, few]).max() < 1e-6
+
+
+def test_affinities_of_many_rows():
+    draw = np.random.default_rng(8)
+    d = np.sort(draw.exponential(size=(40, 30)) * 10.0 ** draw.integers(-8, 8, (40, 1)), 1)
+    d[3], d[4, 12:], d[5], d[6, 1:] = 0.0, np.inf, np.inf, np.inf
+    got = embedding.affinities_of(d, 7.0)
+    for row, p in zip(d, got):
+        held = row < np.inf
+        assert p[held] == pytest.approx(embedding.affinities(row[held], 7.0), rel=1e-9) and (p[~held] == 0).all()
+
+
+def test_field_is_not_read_at_all_rows(monkeypatch):
+    monkeypatch.setattr(embedding.Field, "at", None)
+    y = np.random.default_rng(4).normal(scale=9.0, size=(300, 2))
+    kernel = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
+    assert embedding.Field.of(y).total == pytest.approx(kernel.sum() - 300, rel=5e-3)
+    assert all(embedding._even(n) >= n and embedding._even(n) % 2 == 0 for n in range(2, 400))
