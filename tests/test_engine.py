@@ -364,3 +364,53 @@ def test_nearest_rows_equal_all_distances(spark):
     for block in (16, 16384):
         got = matrix._nearest(df, df, columns, 3, "id", block).orderBy("id").toPandas()[columns].to_numpy()
         np.testing.assert_allclose(got, want, rtol=1e-14)
+
+
+def nearest_by_all_pairs(x, y, ids, k):
+    found = {}
+    for i in range(len(x)):
+        both = ~np.isnan(x[i]) & ~np.isnan(y)
+        total = np.zeros(len(y))
+        for c in range(x.shape[1]):
+            total += np.where(both[:, c], (x[i, c] - y[:, c]) ** 2, 0)
+        with np.errstate(all="ignore"):
+            d = total * x.shape[1] / both.sum(1)
+        order = [j for j in np.lexsort((ids, d)) if np.isfinite(d[j])]
+        for c in np.flatnonzero(np.isnan(x[i])):
+            if near := [int(ids[j]) for j in order if not np.isnan(y[j, c])][:k]:
+                found[i, int(c)] = near
+    return found
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_nearest_donors_are_those_of_all_pairs(seed):
+    """Of any scale, with copies, ties, sparse and empty columns."""
+    draw = np.random.default_rng(seed)
+    width, n, k = int(draw.integers(1, 9)), int(draw.integers(1, 700)), int(draw.integers(1, 5))
+    y = draw.normal(size=(n, width)) * 10.0 ** draw.integers(-6, 9, width) * (1 if seed % 3 else 1e30)
+    if seed % 2:
+        y = np.round(y[draw.integers(0, max(1, n // 5), n)], 1)
+    y[draw.random(y.shape) < draw.choice([0.05, 0.5, 0.9])] = np.nan
+    if seed % 4 == 3:
+        y[:, 0] = np.nan
+    x, ids = y[draw.integers(0, n, 30)].copy(), draw.permutation(n)
+    x[draw.random(x.shape) < 0.3] = np.nan
+    middle = np.array([np.nanmean(v) if (~np.isnan(v)).any() else 0.0 for v in y.T])
+    best = matrix._Best(x, np.arange(30), k, ids.dtype)
+    for lo in range(0, n, 300):
+        matrix._search(best, y[lo : lo + 300], ids[lo : lo + 300], middle, lo, 100)
+    got = {(int(i), int(c)): best.j[s][: best.found[s]].tolist() for s, (i, c) in enumerate(zip(best.row, best.column)) if best.found[s]}
+    assert got == nearest_by_all_pairs(x, y, ids, k)
+
+
+def test_no_pair_is_shuffled_for_nearest_rows(spark, monkeypatch):
+    draw, plain = np.random.default_rng(4), matrix._nearest
+    y = np.where(draw.random((700, 3)) < 0.2, np.nan, draw.normal(size=(700, 3)))
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(y)], "id long, a double, b double, c double")
+    monkeypatch.setattr(matrix, "_nearest", lambda *a: plain(*a, block=50))  # several tasks, each of which reads several files
+    out = matrix.impute(df, ["a", "b", "c"], "knn")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CoGroup" not in plan
+    want = {cell: np.mean([y[j, cell[1]] for j in near]) for cell, near in nearest_by_all_pairs(y, y, np.arange(700), 3).items()}
+    got = {r.id: (r.a, r.b, r.c) for r in out.collect()}
+    assert len(got) == 700 and all(got[i][c] == pytest.approx(v, abs=1e-12) for (i, c), v in want.items())
